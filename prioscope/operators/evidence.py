@@ -54,10 +54,10 @@ def keyword_items(subject: Column, description: Column, profile: Profile = FULL)
         for group in profile.evidence_lists
         for word in profile.words(group)
     ]
-    text = F.lower(F.concat(subject, F.lit(" "), description))
-    present = F.slice(
-        F.filter(F.array(*listed), lambda k: F.contains(text, k["word"])), 1, profile.max_keywords
-    )
+    # The one-element array binds the lowered text once, not once per lexicon entry.
+    text = F.array(F.lower(F.concat(subject, F.lit(" "), description)))
+    found = F.transform(text, lambda t: F.filter(F.array(*listed), lambda k: F.contains(t, k["word"])))
+    present = F.slice(found[0], 1, profile.max_keywords)
     title = F.lower(subject)
     return F.transform(
         present,

@@ -15,6 +15,7 @@ from prioscope.settings import (
 )
 from prioscope.sources.staging import kept
 
+MAX_CATEGORIES = 10_000
 META = ["channel_code", "type_code", "log_hours", "text_length"]
 
 
@@ -85,9 +86,15 @@ def term_weights(df: DataFrame, terms: DataFrame, text_col: str = "combined_text
 
 
 def category_codes(df: DataFrame, column: str) -> list[str]:
-    """Distinct values in alphabetical order; the position is the code."""
-    known = df.select(F.coalesce(F.col(column), F.lit("Unknown")).alias("v")).distinct().orderBy("v")
-    return [row["v"] for row in known.limit(10_001).toLocalIterator()]
+    """Distinct values in alphabetical order; the position is the code.
+
+    The values become part of the model, so a column that is no category is refused.
+    """
+    known = df.select(F.coalesce(F.col(column), F.lit("Unknown")).alias("v")).distinct()
+    found = sorted(row["v"] for row in known.limit(MAX_CATEGORIES + 1).collect())
+    if len(found) > MAX_CATEGORIES:
+        raise ValueError(f"{column} has more than {MAX_CATEGORIES} values")
+    return found
 
 
 def category_code(c: Column, known: list[str]) -> Column:
@@ -97,11 +104,13 @@ def category_code(c: Column, known: list[str]) -> Column:
 
 
 def with_metadata(df: DataFrame, channels: list[str], types: list[str], text_col: str = "combined_text") -> DataFrame:
+    """Add the four columns. The log of hours at or below -1 is undefined and reads as 0."""
+    hours = F.coalesce(F.col("resolution_hours"), F.lit(DEFAULT_HOURS)).cast("double")
     return df.withColumns(
         {
             "channel_code": category_code(F.col("channel"), channels).cast("double"),
             "type_code": category_code(F.col("ticket_type"), types).cast("double"),
-            "log_hours": F.log1p(F.coalesce(F.col("resolution_hours"), F.lit(DEFAULT_HOURS)).cast("double")),
+            "log_hours": F.when(hours > -1, F.log1p(hours)).otherwise(F.lit(0.0)),
             "text_length": F.length(text_col) / F.lit(1000.0),
         }
     )

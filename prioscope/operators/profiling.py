@@ -45,14 +45,30 @@ def describe_all(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     numbers = [c for c in columns if types[c].startswith(_NUMERIC)]
     names = ["minimum", "q1", "median", "q3", "maximum"]
 
+    result = []
+    if texts:
+        result.append(_describe_texts(df, texts))
+    if numbers:
+        result.append(_describe_numbers(df, numbers, names))
+    joined = result[0] if len(result) == 1 else result[0].unionByName(result[1], allowMissingColumns=True)
+    absent = [c for c in ("unique", "top", "freq", "mean", "std", *names) if c not in joined.columns]
+    return joined.withColumns({c: F.lit(None) for c in absent}).select(
+        "column", "count", "unique", "top", "freq", "mean", "std", *names
+    )
+
+
+def _describe_texts(df: DataFrame, texts: list[str]) -> DataFrame:
     values = _long(df, texts).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     most = F.min_by("value", F.struct((-F.col("n")).alias("n"), F.col("value")))
-    text_part = values.groupBy("column").agg(
+    return values.groupBy("column").agg(
         F.sum("n").alias("count"),
         F.count(F.lit(1)).alias("unique"),
         most.alias("top"),
         F.max("n").alias("freq"),
     )
+
+
+def _describe_numbers(df: DataFrame, numbers: list[str], names: list[str]) -> DataFrame:
     pairs = F.array(
         *[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in numbers]
     )
@@ -60,12 +76,7 @@ def describe_all(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     moments = numeric.groupBy("column").agg(
         F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")
     )
-    number_part = moments.join(
-        quantiles(numeric, "v", [0.0, 0.25, 0.5, 0.75, 1.0], names, ["column"]), "column"
-    )
-    return text_part.unionByName(number_part, allowMissingColumns=True).select(
-        "column", "count", "unique", "top", "freq", "mean", "std", *names
-    )
+    return moments.join(quantiles(numeric, "v", [0.0, 0.25, 0.5, 0.75, 1.0], names, ["column"]), "column")
 
 
 def null_counts(df: DataFrame) -> DataFrame:

@@ -39,22 +39,26 @@ def audit_fast(
     return fusion.label_mismatch(fusion.fast_fusion(scored))
 
 
+def audit_rows(df: DataFrame, model=None) -> DataFrame:
+    """Tickets one by one: the hours are not compared with others, the label stays the rule's."""
+    labeled = fusion.label_mismatch(fusion.fast_fusion(rule_signal(df)))
+    if model is None:
+        decided = fusion.rule_only_prediction(labeled)
+    else:
+        decided = classify.with_decision(model.predict(labeled))
+    return evidence.with_record(decided)
+
+
 def audit_one(spark: SparkSession, ticket: dict, model=None) -> DataFrame:
-    """One ticket through the same columns as a batch; the label stays the rule's."""
+    """A single ticket through the same columns as a table."""
     given = {
         "ticket_id": "ADHOC-001", "channel": "Email", "ticket_type": "Technical Issue",
         "resolution_hours": 24.0, "customer_email": "user@example.com", "product": "Unknown", **ticket,
     }
-    row = spark.createDataFrame([given])
-    row = row.withColumn(
+    row = spark.createDataFrame([given]).withColumn(
         "combined_text", F.concat_ws(" ", F.lower("subject"), F.lower("description"))
     )
-    labeled = fusion.label_mismatch(fusion.fast_fusion(rule_signal(row)))
-    if model is None:
-        decided = fusion.rule_only_prediction(labeled)
-    else:
-        decided = classify.with_decision(model.predict(labeled))
-    return evidence.with_record(decided)
+    return audit_rows(row, model)
 
 
 @dataclass
@@ -69,7 +73,9 @@ def audit_batch(
 ) -> BatchAudit:
     """Clean, fast inference, model label, evidence.
 
-    Without a model the rule label stays and the probability is the rule score.
+    Without a model the rule label stays and the probability is the rule score. The audited
+    table is stored once and both results read it: a filter on the label must not be pushed
+    through the scoring, which would then run twice.
     """
     audited = audit_fast(clean_tickets(raw, order_col), thresholds)
     if model is None:
@@ -79,20 +85,18 @@ def audit_batch(
         decided = classify.adopt_prediction(
             classify.with_decision(model.predict(audited)).drop("prediction_confidence")
         )
-    decided = decided.withColumn("model_used", F.lit(model_name))
-    return BatchAudit(decided, evidence.evidence_records(decided))
+    stored = kept(decided.withColumn("model_used", F.lit(model_name)), "audited")
+    return BatchAudit(stored, evidence.evidence_records(stored))
 
 
 def audit_file(
     spark: SparkSession, path: str, out: str, model=None, model_name: str = "rule_based", file_format: str = "csv"
 ) -> BatchAudit:
-    """Audit a file and write predictions and evidence; the audited table is computed once."""
+    """Audit a file and write predictions and evidence."""
     made = audit_batch(files.read_tickets(spark, path, file_format), model, model_name)
-    stored = kept(made.audited.drop("rule_features"), "audited")
-    records = evidence.evidence_records(stored)
-    files.write_predictions(stored, f"{out}/predictions")
-    files.write_json(records, f"{out}/dossiers")
-    return BatchAudit(stored, records)
+    files.write_predictions(made.audited, f"{out}/predictions")
+    files.write_json(made.records, f"{out}/dossiers")
+    return made
 
 
 @dataclass

@@ -46,16 +46,18 @@ def ticket_table(spark: SparkSession, folder: str) -> DataFrame:
             "part": key % n_parts,
         }
     )
+    # Narrow lookups first, texts last, so that no text is moved more than once.
     joined = (
-        keyed.join(F.broadcast(opening_table(spark)), "k")
+        keyed.join(events, F.col("event_id") == F.col("event"))
+        .join(parts, F.col("p_partkey") == F.col("part"))
+        .join(customers, F.col("c_custkey") == F.col("o_custkey"))
         .join(lengths, "talk")
         .withColumn("step", key % F.col("n_turns"))
         .join(turns, (F.col("conv_id") == F.col("talk")) & (F.col("turn") == F.col("step")))
-        .join(events, F.col("event_id") == F.col("event"))
-        .join(parts, F.col("p_partkey") == F.col("part"))
-        .join(customers, F.col("c_custkey") == F.col("o_custkey"))
+        .join(F.broadcast(opening_table(spark)), "k")
     )
-    hours = F.round(F.col("base_hours") * (F.lit(0.5) + F.col("value") / 70), 2)
+    exact = F.col("base_hours") * (F.lit(0.5) + F.col("value") / 70)
+    hours = F.floor(exact * 100 + 0.5) / 100
     return joined.select(
         F.format_string("TKT-%05d", key + 1).alias("ticket_id"),
         F.when(key % 101 != 0, F.col("opening_subject")).alias("subject"),
