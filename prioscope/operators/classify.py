@@ -95,7 +95,7 @@ def fit_text_model(train: DataFrame, label_col: str = "label", id_col: str = "ti
     )
     regression = LogisticRegression(
         featuresCol="features", labelCol="label", weightCol="class_weight", regParam=1.0 / (LR_C * rows),
-        elasticNetParam=0.0, standardization=False, maxIter=LR_ITERATIONS, tol=1e-6, family="binomial",
+        elasticNetParam=0.0, standardization=False, maxIter=LR_ITERATIONS, tol=1e-5, family="binomial",
     )
     model.regression = regression.fit(kept(ready, "training"))
     return model
