@@ -72,16 +72,24 @@ def keyword_groups(keywords: list[str]) -> list[list[str]]:
 def _start_pattern(group: list[str]) -> str:
     """Zero-width pattern that captures the keyword of the group which starts here.
 
-    The cheap test of the first letter comes before the boundary test.
+    The cheap test of the first letter comes before the boundary test, and keywords are
+    tried by first letter.
     """
-    initials = "".join(sorted({quote(k[0]) for k in group}))
-    left = f"(?<!{WORD})" if _is_word(group[0][0]) else f"(?<={WORD})"
+    by_initial: dict[str, list[str]] = {}
+    for keyword in group:
+        by_initial.setdefault(keyword[0], []).append(keyword)
     options = "|".join(
-        quote(k) + (f"(?!{WORD})" if _is_word(k[-1]) else f"(?={WORD})") for k in group
+        f"{quote(first)}(?:{'|'.join(_ending(k) for k in words)})" for first, words in by_initial.items()
     )
+    initials = "".join(quote(first) for first in by_initial)
+    left = f"(?<!{WORD})" if _is_word(group[0][0]) else f"(?<={WORD})"
     return f"(?=[{initials}]){left}(?=({options}))"
 
 
+def _ending(keyword: str) -> str:
+    return quote(keyword[1:]) + (f"(?!{WORD})" if _is_word(keyword[-1]) else f"(?={WORD})")
+
+
 def _negated_before(negations: list[str], window: int) -> str:
     """Look-behind: a negation lies within the last ``window`` characters.
 
@@ -106,9 +114,14 @@ def negated_hits(
     negations: list[str] = NEGATIONS,
     window: int = NEGATION_WINDOW,
 ) -> Column:
-    """The hits that follow a negation within the window."""
+    """The hits that follow a negation within the window.
+
+    Null if no negation occurs in the text at all, which plain substring tests tell.
+    """
     behind = _negated_before(negations, window)
-    return _extract(text, [(g, _start_pattern(g) + behind) for g in keyword_groups(keywords)])
+    hits = _extract(text, [(g, _start_pattern(g) + behind) for g in keyword_groups(keywords)])
+    shortest = [n for n in negations if not any(o != n and o in n for o in negations)]
+    return F.when(_any([F.contains(text, F.lit(n)) for n in shortest]), hits)
 
 
 def _extract(text: Column, patterns: list[tuple[list[str], str]]) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from prioscope.functions.levels import band
 from prioscope.functions.text import word_ngrams, word_tokens
 from prioscope.functions.vectors import sparse_vector
+from prioscope.operators.grams import gram_rows
 from prioscope.operators.ordering import running_sums
 from prioscope.settings import (
     DEFAULT_HOURS, FULL, MAX_NGRAM, MAX_TERMS, MIN_DOCUMENTS, Profile, RESOLUTION_TOKENS,
@@ -41,8 +42,7 @@ def vocabulary(
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = df.select(id_col, text_col).repartition(partitions, id_col)
     per_document = (
-        with_grams(spread, text_col, profile)
-        .select(id_col, F.explode("grams").alias("term"))
+        gram_rows(spread, id_col, text_col, MAX_NGRAM, profile.shortest_token)
         .groupBy(id_col, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -72,8 +72,7 @@ def term_weights(df: DataFrame, terms: DataFrame, text_col: str = "combined_text
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = df.select(id_col, text_col).repartition(partitions, id_col)
     raw = (
-        with_grams(spread, text_col, profile)
-        .select(id_col, F.explode("grams").alias("term"))
+        gram_rows(spread, id_col, text_col, MAX_NGRAM, profile.shortest_token)
         .join(F.broadcast(known), "term")
         .groupBy(id_col, "term")
         .agg((sublinear(F.count(F.lit(1)).cast("double")) * F.first("idf")).alias("w"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from prioscope.functions.levels import best_level
 from prioscope.functions.numbers import rounded
-from prioscope.functions.text import word_tokens
+from prioscope.operators.grams import gram_rows
 from prioscope.functions.vectors import cosine, norm
 from prioscope.sources.staging import kept
 from prioscope.settings import FULL, LEVELS, Profile
@@ -26,16 +26,6 @@ def anchor_table(spark, profile: Profile = FULL) -> DataFrame:
 # --- term weights ---------------------------------------------------------------
 
 
-def one_and_two_grams(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """One row per word and per pair of neighbouring words."""
-    tokens = df.select(key_col, word_tokens(F.col(text_col), shortest=2).alias("a"))
-    rest = F.slice("a", F.lit(2), F.size("a"))
-    pairs = tokens.select(key_col, F.explode(F.arrays_zip("a", rest.alias("b"))).alias("p"))
-    word, pair = F.col("p.a"), F.concat_ws(" ", "p.a", "p.b")
-    terms = F.when(F.col("p.b").isNull(), F.array(word)).otherwise(F.array(word, pair))
-    return pairs.select(key_col, F.explode(terms).alias("term"))
-
-
 def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document and term.
 
@@ -44,7 +34,7 @@ def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     documents = df.select(F.col(id_col).alias("doc"), F.col(text_col)).repartition(partitions, "doc")
     return (
-        one_and_two_grams(documents, "doc", text_col)
+        gram_rows(documents, "doc", text_col, longest=2, shortest=2)
         .groupBy("doc", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -55,7 +45,7 @@ def anchor_counts(spark, profile: Profile = FULL) -> DataFrame:
     joined = [(level, " ".join(profile.anchors[level])) for level in LEVELS]
     documents = spark.createDataFrame(joined, "level string, text string")
     return (
-        one_and_two_grams(documents.coalesce(1), "level", "text")
+        gram_rows(documents.coalesce(1), "level", "text", longest=2, shortest=2)
         .groupBy("term")
         .agg(*[F.count_if(F.col("level") == level).alias(side) for level, side in zip(LEVELS, _SIDES)])
     )
