@@ -221,8 +221,17 @@ ANCHOR_SUMS = ", ".join(
 
 PIECES: dict[str, tuple[list[str], str]] = {
     "phrases": ([], f"SELECT * FROM (VALUES {values([(k, *o) for k, o in enumerate(OPENINGS)])}) v(k, opening_subject, phrase, base_hours)"),
+    "lengths": ([], "SELECT conv_id AS talk, count(*) AS n_turns FROM conversations GROUP BY 1"),
+    "spine": (
+        ["lengths"],
+        f"""SELECT k.*, k.o_orderkey % n_turns AS step FROM (
+              SELECT o_orderkey, o_custkey, o_orderpriority, o_orderkey % {len(OPENINGS)} AS opening,
+                o_custkey % (SELECT max(conv_id) + 1 FROM conversations) AS talk,
+                o_orderkey % (SELECT count(*) FROM events) AS event, o_orderkey % (SELECT count(*) FROM part) AS part
+              FROM orders) k JOIN lengths USING (talk)""",
+    ),
     "tickets": (
-        ["phrases"],
+        ["phrases", "spine"],
         f"""SELECT printf('TKT-%05d', o_orderkey + 1) AS ticket_id,
               CASE WHEN o_orderkey % 101 <> 0 THEN opening_subject END AS subject,
               CASE WHEN o_orderkey % 103 <> 0 THEN phrase || ' ' || t.text END AS description,
@@ -235,13 +244,11 @@ PIECES: dict[str, tuple[list[str], str]] = {
               CASE WHEN o_orderkey % 59 <> 0 THEN {pick(TYPES, '((o_orderkey // 200) % 5)')} END AS ticket_type,
               lower(replace(c_name, '#', '.')) || '@example.com' AS customer_email,
               p_type AS product, o_orderkey AS ticket_key
-            FROM orders
-            JOIN phrases ON k = o_orderkey % {len(OPENINGS)}
-            JOIN (SELECT conv_id AS talk, count(*) AS n_turns FROM conversations GROUP BY 1)
-              ON talk = o_custkey % (SELECT max(conv_id) + 1 FROM conversations)
-            JOIN conversations t ON t.conv_id = talk AND t.turn = o_orderkey % n_turns
-            JOIN events ON event_id = o_orderkey % (SELECT count(*) FROM events)
-            JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)
+            FROM spine
+            JOIN phrases ON k = opening
+            JOIN conversations t ON t.conv_id = talk AND t.turn = step
+            JOIN events ON event_id = event
+            JOIN part p ON p_partkey = spine.part
             JOIN customer ON c_custkey = o_custkey""",
     ),
     "parsed": (
