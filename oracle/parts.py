@@ -221,14 +221,14 @@ ANCHOR_SUMS = ", ".join(
 
 PIECES: dict[str, tuple[list[str], str]] = {
     "phrases": ([], f"SELECT * FROM (VALUES {values([(k, *o) for k, o in enumerate(OPENINGS)])}) v(k, opening_subject, phrase, base_hours)"),
-    "lengths": ([], "SELECT conv_id AS talk, count(*) AS n_turns FROM conversations GROUP BY 1"),
+    "talk_lengths": ([], "SELECT conv_id AS talk, count(*) AS n_turns FROM conversations GROUP BY 1"),
     "spine": (
-        ["lengths"],
+        ["talk_lengths"],
         f"""SELECT k.*, k.o_orderkey % n_turns AS step FROM (
               SELECT o_orderkey, o_custkey, o_orderpriority, o_orderkey % {len(OPENINGS)} AS opening,
                 o_custkey % (SELECT max(conv_id) + 1 FROM conversations) AS talk,
                 o_orderkey % (SELECT count(*) FROM events) AS event, o_orderkey % (SELECT count(*) FROM part) AS part
-              FROM orders) k JOIN lengths USING (talk)""",
+              FROM orders) k JOIN talk_lengths USING (talk)""",
     ),
     "tickets": (
         ["phrases", "spine"],
