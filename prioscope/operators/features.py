@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from prioscope.functions.levels import band
 from prioscope.functions.text import word_ngrams, word_tokens
 from prioscope.functions.vectors import sparse_vector
-from prioscope.operators.grams import gram_rows
+from prioscope.operators.grams import distinct_documents, gram_rows
 from prioscope.operators.ordering import running_sums
 from prioscope.settings import (
     DEFAULT_HOURS, FULL, MAX_NGRAM, MAX_TERMS, MIN_DOCUMENTS, Profile, RESOLUTION_TOKENS,
@@ -39,15 +39,14 @@ def vocabulary(
     that the last place needs is found from the counts alone, so the final sort only sees
     the winners and those tied with the last one.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.select(id_col, text_col).repartition(partitions, id_col)
+    documents = distinct_documents(df, id_col, text_col)
     per_document = (
-        gram_rows(spread, id_col, text_col, MAX_NGRAM, profile.shortest_token)
-        .groupBy(id_col, "term")
+        gram_rows(documents, ["doc", "copies"], "text", MAX_NGRAM, profile.shortest_token)
+        .groupBy("doc", "copies", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     counted = per_document.groupBy("term").agg(
-        F.sum("tf").alias("term_count"), F.count(F.lit(1)).alias("document_count")
+        F.sum(F.col("tf") * F.col("copies")).alias("term_count"), F.sum("copies").alias("document_count")
     )
     usable = kept(counted.where(F.col("document_count") >= min_documents), "term-counts")
     levels = usable.groupBy("term_count").agg(F.count(F.lit(1)).alias("n"))
@@ -66,13 +65,13 @@ def sublinear(tf: Column) -> Column:
 
 
 def term_weights(df: DataFrame, terms: DataFrame, text_col: str = "combined_text", id_col: str = "ticket_id", profile: Profile = FULL) -> DataFrame:
-    """Unit-length weights as rows (id, term, weight), by joins alone."""
+    """Unit-length weights as rows (id, term, weight), by joins alone. Ids must be unique."""
     documents = df.agg(F.count(F.lit(1))).scalar()
     known = terms.select("term", smoothed_idf(F.col("document_count"), documents).alias("idf"))
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = df.select(id_col, text_col).repartition(partitions, id_col)
     raw = (
-        gram_rows(spread, id_col, text_col, MAX_NGRAM, profile.shortest_token)
+        gram_rows(spread, [id_col], text_col, MAX_NGRAM, profile.shortest_token)
         .join(F.broadcast(known), "term")
         .groupBy(id_col, "term")
         .agg((sublinear(F.count(F.lit(1)).cast("double")) * F.first("idf")).alias("w"))

@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from prioscope.functions.text import word_tokens
 
 
-def gram_rows(df: DataFrame, key_col: str, text_col: str, longest: int, shortest: int = 1) -> DataFrame:
+def document_key(id_col: str, text_col: str) -> Column:
+    """Names a row by id and text, so rows that share an id by mistake stay apart."""
+    return F.concat_ws(" ", F.col(id_col), F.xxhash64(text_col))
+
+
+def distinct_documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text, copies), spread by document so that its terms can be counted in place.
+
+    Rows that are equal in id and text become one, which counts ``copies`` times.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.select(document_key(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
+    return keyed.repartition(partitions, "doc").groupBy("doc", "text").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def gram_rows(df: DataFrame, keys: list[str], text_col: str, longest: int, shortest: int = 1) -> DataFrame:
     """One row ``term`` per run of up to ``longest`` (one to three) neighbouring words.
 
     ``shortest`` is the least length of a word.
     """
-    tokens = df.select(key_col, word_tokens(F.col(text_col), shortest).alias("a"))
+    tokens = df.select(*keys, word_tokens(F.col(text_col), shortest).alias("a"))
     shifted = [F.slice("a", F.lit(i), F.size("a")).alias(n) for i, n in ((2, "b"), (3, "c"))]
-    spots = tokens.select(key_col, F.explode(F.arrays_zip("a", *shifted[: longest - 1])).alias("p"))
+    spots = tokens.select(*keys, F.explode(F.arrays_zip("a", *shifted[: longest - 1])).alias("p"))
     names = ["p.a", "p.b", "p.c"][:longest]
     runs = [F.concat_ws(" ", *names[:n]) for n in range(1, longest + 1)]
     terms = F.array(runs[0])
     for n in range(2, longest + 1):
         terms = F.when(F.col(names[n - 1]).isNotNull(), F.array(*runs[:n])).otherwise(terms)
-    return spots.select(key_col, F.explode(terms).alias("term"))
+    return spots.select(*keys, F.explode(terms).alias("term"))

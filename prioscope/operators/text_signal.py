@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from prioscope.functions.levels import best_level
 from prioscope.functions.numbers import rounded
-from prioscope.operators.grams import gram_rows
+from prioscope.operators.grams import distinct_documents, document_key, gram_rows
 from prioscope.functions.vectors import cosine, norm
 from prioscope.sources.staging import kept
 from prioscope.settings import FULL, LEVELS, Profile
@@ -27,15 +27,11 @@ def anchor_table(spark, profile: Profile = FULL) -> DataFrame:
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document and term.
-
-    Documents are spread by id, so their terms are counted where they are cut.
-    """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    documents = df.select(F.col(id_col).alias("doc"), F.col(text_col)).repartition(partitions, "doc")
+    """One row per document and term, counted where the document lies."""
+    documents = distinct_documents(df, id_col, text_col)
     return (
-        gram_rows(documents, "doc", text_col, longest=2, shortest=2)
-        .groupBy("doc", "term")
+        gram_rows(documents, ["doc", "copies"], "text", longest=2, shortest=2)
+        .groupBy("doc", "copies", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
@@ -45,7 +41,7 @@ def anchor_counts(spark, profile: Profile = FULL) -> DataFrame:
     joined = [(level, " ".join(profile.anchors[level])) for level in LEVELS]
     documents = spark.createDataFrame(joined, "level string, text string")
     return (
-        gram_rows(documents.coalesce(1), "level", "text", longest=2, shortest=2)
+        gram_rows(documents.coalesce(1), ["level"], "text", longest=2, shortest=2)
         .groupBy("term")
         .agg(*[F.count_if(F.col("level") == level).alias(side) for level, side in zip(LEVELS, _SIDES)])
     )
@@ -55,7 +51,7 @@ def document_frequency(terms: DataFrame, anchors: DataFrame) -> DataFrame:
     """Documents per term, the four anchor documents included."""
     in_anchors = reduce(lambda a, b: a + b, [(F.col(s) > 0).cast("long") for s in _SIDES])
     return (
-        terms.select("term", F.lit(1).cast("long").alias("n"))
+        terms.select("term", F.col("copies").alias("n"))
         .unionByName(anchors.select("term", in_anchors.alias("n")))
         .groupBy("term")
         .agg(F.sum("n").alias("df"))
@@ -94,6 +90,8 @@ def tfidf_similarity(
 ) -> DataFrame:
     """Cosine of each document to the four anchor texts, fitted on anchors plus ``df``.
 
+    Keyed by ``doc``, see ``document_key``.
+
     Terms split by how common they are. A term is common if it is in at least
     ``postings / 200,000`` documents; there can be no more than 200,000 of those, so they
     are broadcast and their rows are summed where they lie. The rest are rare, so no key
@@ -135,7 +133,7 @@ def tfidf_similarity(
         .groupBy("doc")
         .agg(F.sum(square).alias("square"), *[F.sum(s).alias(s) for s in _SIDES])
         .select(
-            F.col("doc").alias(id_col),
+            "doc",
             *[
                 F.round(F.coalesce(F.col(s), F.lit(0.0)) / F.sqrt("square"), 12).alias(s)
                 for s in _SIDES
@@ -230,11 +228,12 @@ def semantic_signal(
     similar = tfidf_similarity(df, id_col, text_col, profile)
     scores = {level: F.col(side) for level, side in zip(LEVELS, _SIDES)}
     picked = similar.select(
-        id_col,
+        "doc",
         best_level(scores, prefer_severe=False).alias("semantic_severity"),
         F.greatest(*_SIDES).alias("semantic_score"),
     )
-    joined = df.join(picked, id_col, "left").select(*df.columns, "semantic_severity", "semantic_score")
+    keyed = df.withColumn("doc", document_key(id_col, text_col))
+    joined = keyed.join(picked, "doc", "left").select(*df.columns, "semantic_severity", "semantic_score")
     return joined.na.fill({"semantic_severity": LEVELS[0], "semantic_score": 0.0})
 
 

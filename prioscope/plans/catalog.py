@@ -15,6 +15,7 @@ from prioscope.operators import (
     breakdowns, classify, cleaning, evaluate, evidence, features, fusion, ordering, profiling,
     rule_signal as rules, splitting, text_signal as texts, time_signal as times,
 )
+from prioscope.operators.grams import document_key
 from prioscope.plans.audit import audit_batch, audit_fast, audit_rows, label_tickets
 from prioscope.settings import (
     COMPACT, FULL, LEVELS, CRITICAL_WORDS, ESCALATION_PHRASES, IMPACT_PATTERNS, QUANTIFIER_PATTERNS,
@@ -482,7 +483,8 @@ def se6_softmax_confidence(spark, d):
 def se7_tfidf_similarity(spark, d):
     found = texts.tfidf_similarity(clean(spark, d))
     sides = [f"anchor_{l.lower()}" for l in LEVELS]
-    return _round(clean(spark, d).select("ticket_id").join(found, "ticket_id", "left").na.fill(0.0), 6, *sides)
+    keyed = clean(spark, d).select("ticket_id", document_key("ticket_id", "combined_text").alias("doc"))
+    return _round(keyed.join(found, "doc", "left").na.fill(0.0).drop("doc"), 6, *sides)
 
 
 @query("se8_text_signal")

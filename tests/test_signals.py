@@ -105,6 +105,15 @@ def test_tfidf_with_rare_and_common_terms_gives_the_same(spark, monkeypatch):
         assert rows[str(i)].semantic_score == pytest.approx(max(sims), abs=1e-9)
 
 
+def test_tfidf_with_shared_ids_and_copies(spark):
+    pairs = [("a", "server is down"), ("a", "change my profile"), ("b", "server is down"), ("b", "server is down"), ("c", "the the end")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, ticket_id string, combined_text string")
+    rows = {r.i: r for r in A.semantic_signal(df).collect()}
+    assert len(rows) == 5
+    for i, sims in enumerate(similarities([t for _, t in pairs])):
+        assert rows[i].semantic_score == pytest.approx(max(sims), abs=1e-9)
+
+
 def test_vector_mode(spark):
     anchors = spark.createDataFrame(
         [(0, "Low", [1.0, 0.0]), (1, "Medium", [0.0, 1.0]), (2, "High", [1.0, 0.0])], "rank int, level string, anchor array<double>"
