@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -15,7 +15,18 @@ from prioscope.functions.numbers import rounded
 from prioscope.operators import features as X
 from prioscope.operators.evaluate import class_scores, confusion
 from prioscope.settings import FULL, LR_C, LR_ITERATIONS, Profile
-from prioscope.sources.staging import kept
+from prioscope.sources.staging import fresh_path, kept
+
+
+def stored(spark: SparkSession, model, name: str):
+    """Write a fitted model and read it back.
+
+    A freshly fitted model drags its training summary, and with it the session, into the
+    tasks that apply it; once the session has observed a metric, that cannot be serialised.
+    """
+    path = fresh_path(spark, name)
+    model.write().save(path)
+    return type(model).load(path)
 
 
 # --- first classifier: weighted n-grams and metadata -------------------------------------
@@ -32,6 +43,7 @@ class TextModel:
     moments: DataFrame
     regression: LogisticRegressionModel
     profile: Profile = FULL
+    losses: list = field(default_factory=list)
 
     def with_features(self, df: DataFrame) -> DataFrame:
         described = X.with_metadata(df, self.channels, self.types)
@@ -97,16 +109,15 @@ def fit_text_model(train: DataFrame, label_col: str = "label", id_col: str = "ti
         featuresCol="features", labelCol="label", weightCol="class_weight", regParam=1.0 / (LR_C * rows),
         elasticNetParam=0.0, standardization=False, maxIter=LR_ITERATIONS, tol=1e-5, family="binomial",
     )
-    model.regression = regression.fit(kept(ready, "training"))
+    fitted = regression.fit(kept(ready, "training"))
+    model.losses = [float(v) for v in fitted.summary.objectiveHistory]
+    model.regression = stored(train.sparkSession, fitted, "regression")
     return model
 
 
 def objective_history(model: TextModel) -> DataFrame:
-    spark = model.moments.sparkSession
-    history = model.regression.summary.objectiveHistory
-    return spark.createDataFrame(
-        [(i, "train_loss", float(v)) for i, v in enumerate(history)], "round int, metric string, value double"
-    )
+    rows = [(i, "train_loss", v) for i, v in enumerate(model.losses)]
+    return model.moments.sparkSession.createDataFrame(rows, "round int, metric string, value double")
 
 
 # --- second classifier: hashed words of the tagged string ----------------------------------
@@ -165,9 +176,9 @@ def fit_tagged_model(
     best, best_score, waited, history = None, 0.0, 0, []
     for i, penalty in enumerate(penalties, start=1):
         fitted = tagged_pipeline(penalty, buckets).fit(data)
-        candidate = TaggedModel(fitted, [], 0.0)
-        score = macro_f1(candidate.predict(validation))
         loss = fitted.stages[-1].summary.objectiveHistory[-1]
+        fitted = stored(train.sparkSession, fitted, "tagged-model")
+        score = macro_f1(TaggedModel(fitted, [], 0.0).predict(validation))
         history += [(i, "train_loss", float(loss)), (i, "val_f1", float(score))]
         if best is None or score > best_score:
             best, best_score, waited = fitted, score, 0

@@ -39,9 +39,13 @@ def staged(spark: SparkSession, key: str, name: str, build, spread_by: str | Non
     return spark.read.parquet(path)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of this application that nothing has written to."""
+    return f"{shared_folder(spark)}/prioscope/{spark.sparkContext.applicationId}/kept/{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write a result that several later steps read, and go on from storage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/prioscope/{spark.sparkContext.applicationId}/kept/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)

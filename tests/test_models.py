@@ -146,6 +146,16 @@ def test_regression_equals_newton_steps(spark, table, model):
     assert np.mean((np.array(got) >= 0.5) == (y == 1)) > 0.8
 
 
+def test_models_work_after_an_observation(spark, table, model):
+    from pyspark.sql import Observation
+
+    seen = Observation("before")
+    table.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == model.predict(table).count()
+    fresh = C.fit_tagged_model(table, table, penalties=(0.01,), buckets=256)
+    assert fresh.predict(table).count() == 160
+
+
 def test_saved_model_gives_the_same(spark, table, model, tmp_path):
     path = str(tmp_path / "m")
     model.save(path)
