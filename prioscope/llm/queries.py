@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prioscope.llm import exact, sharding, urls
+from prioscope.llm import benchmark, exact, near, sharding, urls
 
 SHARD_BYTES = 64 * 1024 * 1024
 
@@ -17,17 +17,27 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(_read(spark, folder, "pages"), urls.rule_table(spark, urls.RULES))
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark.contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(_read(spark, folder, "documents"), SHARD_BYTES).drop("row")
 
 
+def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_classes(_read(spark, folder, "documents")).drop("key")
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.decide(_read(spark, folder, "documents"), exact.fresh_index(spark))
 
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op4_decontamination": op4_decontamination,
     "op7_sharding": op7_sharding,
+    "op8_minhash": op8_minhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

@@ -28,7 +28,7 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 5_000
 SAMPLE_PER_RANGE = 40
 MAX_RANGES = 20_000
 
