@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prioscope.llm import benchmark, exact, near, sharding, urls
+from prioscope.llm import benchmark, exact, html, near, quality, sharding, toxicity, urls
 
 SHARD_BYTES = 64 * 1024 * 1024
 
@@ -17,10 +17,19 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(_read(spark, folder, "pages"), urls.rule_table(spark, urls.RULES))
 
 
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(_read(spark, folder, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return benchmark.contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _read(spark, folder, "labels")))
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(_read(spark, folder, "documents"), SHARD_BYTES).drop("row")
 
@@ -29,20 +38,28 @@ def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_classes(_read(spark, folder, "documents")).drop("key")
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.decide(_read(spark, folder, "documents"), exact.fresh_index(spark))
 
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op3_html_text": op3_html_text,
     "op4_decontamination": op4_decontamination,
+    "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op8_minhash": op8_minhash,
+    "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 CHECKS = {
     "op2_url_filter": urls.ORACLE,
+    "op3_html_text": html.ORACLE,
     "op7_sharding": sharding.oracle(SHARD_BYTES),
     "op10_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
