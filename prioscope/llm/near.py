@@ -98,9 +98,7 @@ def _shingle_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text, h, _ = distinct_counts(*shingle_hashes(lists, WIDTH))
             five = np.ascontiguousarray((h >> np.uint64(24)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
             ends = np.searchsorted(text, np.arange(len(lists) + 1))
-            yield pd.DataFrame(
-                {"content": [_content(w) for w in lists], "shingles": [five[a:b].tobytes() for a, b in zip(ends, ends[1:])]}
-            )
+            yield pd.DataFrame({"key": part["key"].values, "shingles": [five[a:b].tobytes() for a, b in zip(ends, ends[1:])]})
 
 
 def _numbers(packed: bytes) -> np.ndarray:
@@ -141,7 +139,7 @@ def _filter_slots(keys: DataFrame) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(content, shingles) of the wanted nodes; ``wanted`` has the row key of one text of each."""
+    """(id, shingles) of the wanted nodes; ``wanted`` has the id and the row key of one text of each."""
     bits = docs.sparkSession.sparkContext.broadcast(_filter_slots(wanted))
 
     @F.pandas_udf(T.BooleanType())
@@ -150,14 +148,14 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return pd.Series((bits.value[s >> 6] >> (s & 63)) & 1 == 1)
 
     texts = docs.select(text_of().alias("text"), row_key().alias("key")).where(maybe(F.pmod(F.xxhash64("key"), F.lit(1 << FILTER_BITS))))
-    sets = texts.select("text").mapInPandas(_shingle_sets, "content binary, shingles binary")
-    return kept(sets.dropDuplicates(["content"]), "shingles")
+    sets = texts.mapInPandas(_shingle_sets, "key binary, shingles binary")
+    return kept(sets.join(wanted, "key").select("id", "shingles").dropDuplicates(["id"]), "shingles")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
     """Pairs (a, b) whose shingle sets are alike enough."""
-    left = sets.select(F.col("content").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("content").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(left, "a").join(right, "b").where(_jaccard("sa", "sb") >= limit).select("a", "b")
 
 
@@ -165,8 +163,8 @@ def _alike_in_size(a: Column, b: Column, limit: float) -> Column:
     return (a >= b * limit) & (b >= a * limit)
 
 
-def near_links(docs: DataFrame, limit: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Row sketches (key, doc_id, content) and the components (node, label) of contents that have links."""
+def near_links(docs: DataFrame, limit: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (key, doc_id, content, n), nodes (id, content) with words, and (node, label) of nodes that have links."""
     rows = kept(
         docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(
             _sketches, "key binary, doc_id long, content binary, n int, bands array<long>, registers binary"
@@ -174,38 +172,38 @@ def near_links(docs: DataFrame, limit: float = SIMILARITY) -> tuple[DataFrame, D
         "sketches",
     )
     nodes = kept(
-        rows.where("n > 0").groupBy("content").agg(
-            F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers")
-        ),
+        rows.where("n > 0")
+        .groupBy("content")
+        .agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
+        .withColumn("id", F.monotonically_increasing_id()),
         "nodes",
     )
-    level = nodes.select("content", F.explode("bands").alias("bucket"))
+    level = nodes.select("id", F.explode("bands").alias("bucket"))
     sets, labels, links, refined = None, None, None, 0
     while True:
-        sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("content").alias("centre")).where("size > 1")
+        sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("centre")).where("size > 1")
         shared = kept(level.join(sizes, "bucket"), "buckets")
         if sets is None:
-            wanted = nodes.join(shared.select("content").distinct(), "content", "left_semi")
-            sets = _sets_of(docs, wanted.select("key"))
-        stars = shared.where("content <> centre").groupBy("content").agg(F.min("centre").alias("b")).withColumnRenamed("content", "a")
+            sets = _sets_of(docs, nodes.select("id", "key").join(shared.select("id").distinct(), "id", "left_semi"))
+        stars = shared.where("id <> centre").groupBy("id").agg(F.min("centre").alias("b")).withColumnRenamed("id", "a")
         if labels is not None:
             stars = _apart(stars, labels)
         links = _grown(links, _linked(stars, sets, limit))
-        labels = components(links)
-        mixed_ = _mixed_buckets(shared, labels)
+        mixed_ = _mixed_buckets(shared, components(links))
         last = refined >= REFINEMENTS
         small = mixed_ if last else mixed_.where(F.col("size") <= LARGE_BUCKET)
-        found = _cross_pairs(small, nodes, limit)
-        links = _grown(links, _linked(found, sets, limit))
+        links = _grown(links, _linked(_cross_pairs(small, nodes, limit), sets, limit))
+        labels = components(links)
         large = mixed_.where(F.col("size") > LARGE_BUCKET)
         if last or large.isEmpty():
-            return rows.select("key", "doc_id", "content"), components(links)
-        labels = components(links)
+            return rows.select("key", "doc_id", "content", "n"), nodes.select("id", "content"), labels
         refined += 1
         level = kept(
-            large.select("bucket", "content").join(nodes.select("content", "bands"), "content").select(
-                "content", F.explode("bands").alias("band"), "bucket"
-            ).select("content", F.xxhash64("bucket", "band").alias("bucket")).where("bucket IS NOT NULL").distinct(),
+            large.select("bucket", "id")
+            .join(nodes.select("id", "bands"), "id")
+            .select("id", "bucket", F.explode("bands").alias("band"))
+            .select("id", F.xxhash64("bucket", "band").alias("bucket"))
+            .distinct(),
             "refined",
         )
 
@@ -226,17 +224,17 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _mixed_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (bucket, size, content, label) of buckets that hold more than one component."""
-    labelled = kept(_labelled(shared.select("bucket", "size", "content"), labels, "content", "label"), "labelled")
+    """Rows (bucket, size, id, label) of buckets that hold more than one component."""
+    labelled = kept(_labelled(shared.select("bucket", "size", "id"), labels, "id", "label"), "labelled")
     both = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     return labelled.join(both.select("bucket"), "bucket", "left_semi")
 
 
 def _cross_pairs(rows: DataFrame, nodes: DataFrame, limit: float) -> DataFrame:
     """Pairs of a bucket in different components whose sizes and registers allow a link."""
-    full = kept(rows.select("bucket", "content", "label").join(nodes.select("content", "n", "registers"), "content"), "cross")
-    left = full.select("bucket", F.col("content").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("registers").alias("ra"))
-    right = full.select("bucket", F.col("content").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
+    full = kept(rows.select("bucket", "id", "label").join(nodes.select("id", "n", "registers"), "id"), "cross")
+    left = full.select("bucket", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("registers").alias("ra"))
+    right = full.select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
     pairs = left.join(right, "bucket").where((F.col("la") < F.col("lb")) & _alike_in_size(F.col("na"), F.col("nb"), limit))
     return pairs.where(_agreement("ra", "rb") >= LEAST_ESTIMATE).select("a", "b").distinct()
 
@@ -246,15 +244,14 @@ def near_classes(docs: DataFrame, limit: float = SIMILARITY) -> DataFrame:
 
     ``key`` tells rows apart by id and text.
     """
-    rows, labels = near_links(docs, limit)
-    empty = F.unhex(F.lit(_content([]).hex()))
-    alone = F.when(F.col("content") == empty, F.col("key")).otherwise(F.col("content"))
+    rows, nodes, labels = near_links(docs, limit)
+    rows = rows.withColumn("content", F.when(F.col("n") > 0, F.col("content")).otherwise(F.col("key"))).drop("n")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    contents = rows.withColumn("content", alone).groupBy("content").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    classed = _labelled(contents, labels, "content", "label")
+    contents = rows.groupBy("content").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    numbered = _labelled(contents.join(nodes, "content", "left"), labels, "id", "label")
+    classed = kept(numbered.withColumn("label", F.coalesce(F.col("label").cast("string"), F.hex("content"))).drop("id"), "classed")
     classes = classed.groupBy("label").agg(F.min("first").alias("head"), F.sum("n").alias("class_size"))
-    by_content = kept(classed.select("content", "label", "n").join(classes, "label").select("content", "n", "head", "class_size"), "classes")
-    joined = by_group(rows.withColumn("content", alone), by_content, "content", "n", rows.count())
-    return joined.select(
+    by_content = kept(classed.select("content", "label", "n").join(classes, "label").drop("label"), "classes")
+    return by_group(rows, by_content, "content", "n", rows.count()).select(
         "key", "doc_id", F.col("head.doc_id").alias("class_id"), "class_size", (F.col("key") == F.col("head.key")).alias("kept")
     )

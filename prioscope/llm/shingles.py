@@ -10,7 +10,7 @@ import pandas as pd
 
 WORD = re.compile(r"\w+")
 _SEED = np.uint64(0x9E3779B97F4A7C15)
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
