@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prioscope.llm import benchmark, exact, html, near, quality, sharding, toxicity, urls
+from prioscope.llm import benchmark, exact, html, near, passages, quality, sharding, toxicity, urls
 
 SHARD_BYTES = 64 * 1024 * 1024
 
@@ -13,6 +13,10 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.remove_repeats(_read(spark, folder, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(_read(spark, folder, "pages"), urls.rule_table(spark, urls.RULES))
 
@@ -47,6 +51,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repeated_passages": op1_repeated_passages,
     "op2_url_filter": op2_url_filter,
     "op3_html_text": op3_html_text,
     "op4_decontamination": op4_decontamination,
