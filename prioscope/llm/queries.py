@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prioscope.llm import benchmark, exact, html, near, passages, quality, sharding, toxicity, urls
+from prioscope.llm import benchmark, exact, html, near, passages, pieces, quality, sharding, toxicity, urls
 
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARD_BYTES = 64 * 1024 * 1024
 
 
@@ -29,6 +30,10 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return benchmark.contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
 
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode(_read(spark, folder, "documents"), pieces.load_model(PIECE_MODEL))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _read(spark, folder, "labels")))
@@ -55,6 +60,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_html_text": op3_html_text,
     "op4_decontamination": op4_decontamination,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op8_minhash": op8_minhash,
