@@ -29,18 +29,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from prioscope.llm.common import kept, row_key, text_of
+from prioscope.llm.common import free_name, kept, row_key, text_of
 from prioscope.llm.shingles import chunks, words_of
 
 K1, B = 1.2, 0.75
 WIDTH = 5
 #: A passage must reach this share of an item's own BM25 score to be verified.
-SCORE_SHARE = 0.35
+SCORE_SHARE = 0.5
 #: Shares of the five-word shingles of the question and of the answer that a passage must hold.
 QUESTION_SHARE, ANSWER_SHARE = 0.5, 0.5
 LEAST_PASSAGE = 64
-BLOCK = 8
-MAX_POSTINGS = 1_000_000
+#: A shard's items are cut into at most so many blocks, and a shard has about so many postings.
+MAX_BLOCKS = 128
+MAX_POSTINGS = 200_000
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 
 
@@ -103,9 +104,7 @@ class Shard:
     lists: list[tuple[list[int], list[float], float, dict[int, float]]]
     block_max: np.ndarray
     passage: int
-
-    def exceeds(self, score: float) -> bool:
-        return score >= SCORE_SHARE - 1e-9
+    block: int
 
 
 def _shard(items: pd.DataFrame, rows: pd.DataFrame, passage: int) -> Shard:
@@ -118,29 +117,30 @@ def _shard(items: pd.DataFrame, rows: pd.DataFrame, passage: int) -> Shard:
         parts.append((frozenset(early), frozenset(_shingles(whole)) - frozenset(early)))
     terms: dict[str, int] = {}
     lists = []
-    block_max = np.zeros((rows["term"].nunique(), len(items) // BLOCK + 1), np.float32)
+    block = max(1, math.ceil(len(items) / MAX_BLOCKS))
+    block_max = np.zeros((rows["term"].nunique(), len(items) // block + 1), np.float32)
     for term, own in rows.groupby("term"):
         pairs = sorted((place[nr], x) for nr, x in zip(own["nr"], own["impact"]))
         blocks: dict[int, float] = {}
         for i, x in pairs:
-            blocks[i // BLOCK] = max(blocks.get(i // BLOCK, 0.0), x)
+            blocks[i // block] = max(blocks.get(i // block, 0.0), x)
         for k, x in blocks.items():
             block_max[len(terms), k] = x
         terms[term] = len(terms)
         lists.append(([i for i, _ in pairs], [x for _, x in pairs], max(x for _, x in pairs), blocks))
-    return Shard(list(items["item_id"]), parts, terms, lists, block_max, passage)
+    return Shard(list(items["item_id"]), parts, terms, lists, block_max, passage, block)
 
 
 def wand(query: list[int], shard: Shard) -> list[tuple[int, float]]:
     """Every item whose impacts over the query's terms reach the threshold, by block-max WAND."""
     cursors = [[0, shard.lists[t]] for t in query]
-    found = []
+    found, limit = [], SCORE_SHARE - 1e-9
     while cursors:
         cursors.sort(key=lambda c: c[1][0][c[0]])
         total, pivot = 0.0, -1
         for k, (_, (_, _, most, _)) in enumerate(cursors):
             total += most
-            if shard.exceeds(total):
+            if total >= limit:
                 pivot = k
                 break
         if pivot < 0:
@@ -148,14 +148,14 @@ def wand(query: list[int], shard: Shard) -> list[tuple[int, float]]:
         item = cursors[pivot][1][0][cursors[pivot][0]]
         while pivot + 1 < len(cursors) and cursors[pivot + 1][1][0][cursors[pivot + 1][0]] == item:
             pivot += 1
-        block = item // BLOCK
-        if not shard.exceeds(sum(c[1][3].get(block, 0.0) for c in cursors[: pivot + 1])):
-            target = (block + 1) * BLOCK
+        block = item // shard.block
+        if sum([c[1][3].get(block, 0.0) for c in cursors[: pivot + 1]]) < limit:
+            target = (block + 1) * shard.block
             if pivot + 1 < len(cursors):
                 target = min(target, cursors[pivot + 1][1][0][cursors[pivot + 1][0]])
         elif cursors[0][1][0][cursors[0][0]] == item:
             score = sum(c[1][1][c[0]] for c in cursors[: pivot + 1])
-            if shard.exceeds(score):
+            if score >= limit:
                 found.append((item, score))
             target = item + 1
         else:
@@ -229,9 +229,10 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     for nr, item, score in _passages(list(part["text"]), shard.value):
                         best[nr, item] = max(score, best.get((nr, item), 0.0))
                     keys = part["key"].tolist()
-                    yield pd.DataFrame(
-                        [(keys[nr], shard.value.ids[item], score) for (nr, item), score in best.items()], columns=["key", "item_id", "score"]
-                    )
+                    if best:
+                        yield pd.DataFrame(
+                            [(keys[nr], shard.value.ids[item], score) for (nr, item), score in best.items()], columns=["key", "item_id", "score"]
+                        )
 
         passes.append(kept(docs.select(row_key().alias("key"), text_of().alias("text")).mapInPandas(search, shape), "hits"))
         shard.unpersist()
@@ -253,5 +254,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows that match no item, with all their columns."""
-    struck = hits(docs, benchmark).select(F.col("key").alias("_struck")).distinct()
-    return docs.join(struck, row_key() == F.col("_struck"), "left_anti")
+    name = free_name(docs, "_struck")
+    struck = hits(docs, benchmark).select(F.col("key").alias(name)).distinct()
+    return docs.join(struck, row_key() == F.col(name), "left_anti")

@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from prioscope.sources.staging import kept
+from prioscope.sources.staging import fresh_path
+
+_SCRATCH: list[str] = []
 
 HELD_OUT_PARTS, HELD_OUT_PART = 4, 2
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several later steps read to the shared folder, and go on from there."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    _SCRATCH.append(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that ``kept`` wrote in this process, once nothing reads them any more."""
+    while _SCRATCH:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_of(name: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -40,7 +57,7 @@ def keep_rows(docs: DataFrame, keys: DataFrame, key_col: str) -> DataFrame:
     name = free_name(docs, "_row_key")
     keyed = docs.withColumn(name, row_key())
     wanted = keys.select(F.col(key_col).alias(name)).distinct()
-    return keyed.join(wanted, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
+    return keyed.join(wanted, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def by_group(rows: DataFrame, groups: DataFrame, key: str, size_col: str, total: int, most: int = 1000) -> DataFrame:
@@ -55,4 +72,4 @@ def by_group(rows: DataFrame, groups: DataFrame, key: str, size_col: str, total:
     return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))
 
 
-__all__ = ["by_group", "free_name", "held_out", "keep_rows", "kept", "row_key", "text_of"]
+__all__ = ["by_group", "free_name", "held_out", "keep_rows", "kept", "release", "row_key", "text_of"]
