@@ -128,7 +128,8 @@ def unit_counts(docs: DataFrame, shared) -> DataFrame:
                 found.update(model.units(model.marked(text)))
                 if len(found) > _COUNTER_SIZE:
                     yield out()
-        yield out()
+        if found:
+            yield out()
 
     return docs.select(text_of().alias("text")).mapInPandas(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from prioscope.llm import benchmark, exact, html, near, passages, pieces, quality, sharding, toxicity, urls
 
-PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARD_BYTES = 64 * 1024 * 1024
 
 
@@ -31,7 +31,7 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces.encode(_read(spark, folder, "documents"), pieces.load_model(PIECE_MODEL))
+    return pieces.encode(_read(spark, folder, "documents"), pieces.load_model(corpus_pipeline.PIECE_MODEL))
 
 
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,6 +66,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 CHECKS = {

@@ -137,7 +137,8 @@ def judge_urls(
     spread = intervals.withColumn("range", F.explode(ranges_of("start")))
 
     def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _sweep(left, right)[["page_id", "host", "path", "row", "rule", "verdict", "length", "host_length"]]
+        found = _sweep(left, right)[["page_id", "host", "path", "row", "rule", "verdict", "length", "host_length"]]
+        return found.astype({c: object for c in ("host", "path", "rule", "verdict")})  # one Arrow array per column, whatever came in batches
 
     kind = dict(asked.dtypes)["page_id"]
     found = placed.groupBy("range").cogroup(spread.groupBy("range")).applyInPandas(
