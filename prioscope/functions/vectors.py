@@ -24,7 +24,7 @@ def cosine(a: Column, b: Column, a_norm: Column | None = None, b_norm: Column |
 
 
 def sparse_vector(size: Column, indices: Column, values: Column) -> Column:
-    """Sparse ML vector from arrays, without leaving the JVM."""
+    """Sparse ML vector from arrays, without leaving the JVM. Prints and parses each row: for training tables only."""
     body = F.struct(
         F.lit(0).alias("type"),
         size.alias("size"),

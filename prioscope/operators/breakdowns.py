@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from prioscope.functions.levels import level_rank
 from prioscope.functions.numbers import rounded
 from prioscope.operators.cleaning import keep_short_cases, type_for_display
-from prioscope.operators.ordering import quantiles
+from prioscope.operators.ordering import quantiles_of_counts, value_counts
 from prioscope.settings import LEVELS
+from prioscope.sources.staging import kept
 
 _IS_MISMATCH = "mismatch_label = 'Mismatch'"
 
@@ -79,14 +80,18 @@ def type_volumes(df: DataFrame) -> DataFrame:
 
 
 def box_statistics(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
-    """Five-number summary per group and the 1.5 IQR whisker ends."""
+    """Five-number summary per group and the 1.5 IQR whisker ends.
+
+    Equal values are counted once, and everything else works on the stored counts.
+    """
     names = ["minimum", "q1", "median", "q3", "maximum"]
-    boxes = quantiles(df, value_col, [0.0, 0.25, 0.5, 0.75, 1.0], names, [group_col])
+    counts = kept(value_counts(df, value_col, [group_col]), "value-counts")
+    boxes = kept(quantiles_of_counts(counts, [0.0, 0.25, 0.5, 0.75, 1.0], names, [group_col]), "boxes")
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fenced = boxes.withColumns({"_low": F.col("q1") - reach, "_high": F.col("q3") + reach})
-    value = F.col(value_col)
+    value = F.col("_v").cast(dict(df.dtypes)[value_col])
     ends = (
-        df.join(fenced.select(group_col, "_low", "_high"), group_col)
+        counts.join(fenced.select(group_col, "_low", "_high"), group_col)
         .where(value.between(F.col("_low"), F.col("_high")))
         .groupBy(group_col)
         .agg(F.min(value).alias("lower_whisker"), F.max(value).alias("upper_whisker"))
@@ -97,8 +102,8 @@ def box_statistics(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
 
 
 def hours_box_by(df: DataFrame, group_col: str, limit: float | None = 200.0) -> DataFrame:
-    kept = df if limit is None else keep_short_cases(df, limit)
-    return box_statistics(kept.select(group_col, "resolution_hours"), "resolution_hours", group_col)
+    cases = df if limit is None else keep_short_cases(df, limit)
+    return box_statistics(cases.select(group_col, "resolution_hours"), "resolution_hours", group_col)
 
 
 def level_ranks(df: DataFrame) -> DataFrame:

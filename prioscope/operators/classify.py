@@ -15,7 +15,7 @@ from prioscope.functions.numbers import rounded
 from prioscope.operators import features as X
 from prioscope.operators.evaluate import class_scores, confusion
 from prioscope.settings import FULL, LR_C, LR_ITERATIONS, Profile
-from prioscope.sources.staging import fresh_path, kept
+from prioscope.sources.staging import folder_exists, fresh_path, kept
 
 
 def stored(spark: SparkSession, model, name: str):
@@ -38,22 +38,24 @@ class TextModel:
 
     terms: list
     idf: list
-    channels: list
-    types: list
+    channels: DataFrame
+    types: DataFrame
     moments: DataFrame
     regression: LogisticRegressionModel
     profile: Profile = FULL
     losses: list = field(default_factory=list)
 
-    def with_features(self, df: DataFrame) -> DataFrame:
+    def with_features(self, df: DataFrame, coefficients: list | None = None) -> DataFrame:
         described = X.with_metadata(df, self.channels, self.types)
         scaled = X.standardise(described, self.moments)
-        return X.assembled(X.text_vectors(scaled, self.terms, self.idf, profile=self.profile))
+        return X.text_weights(scaled, self.terms, self.idf, profile=self.profile, coefficients=coefficients)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Add ``mismatch_probability`` and ``prediction``. One narrow pass over the table."""
-        scored = self.regression.transform(self.with_features(df))
-        chance = scored.withColumn("mismatch_probability", vector_to_array("probability")[1])
+        weights = self.regression.coefficients.toArray().tolist()
+        words = len(self.terms)
+        score = F.col("text_score") + X.meta_score(weights[words:], self.regression.intercept)
+        chance = self.with_features(df, weights[:words]).withColumn("mismatch_probability", 1 / (1 + F.exp(-score)))
         return chance.select(
             *df.columns,
             "mismatch_probability",
@@ -66,10 +68,10 @@ class TextModel:
         self.moments.write.mode("overwrite").parquet(f"{path}/moments")
         rows = [(i, t, float(w)) for i, (t, w) in enumerate(zip(self.terms, self.idf))]
         spark.createDataFrame(rows, "i int, term string, idf double").write.mode("overwrite").parquet(f"{path}/terms")
-        codes = [("channel", i, v) for i, v in enumerate(self.channels)]
-        codes += [("type", i, v) for i, v in enumerate(self.types)]
-        codes.append(("profile", 0, self.profile.name))
-        spark.createDataFrame(codes, "kind string, i int, value string").write.mode("overwrite").parquet(f"{path}/codes")
+        self.channels.write.mode("overwrite").parquet(f"{path}/channels")
+        self.types.write.mode("overwrite").parquet(f"{path}/types")
+        spark.createDataFrame([(self.profile.name,)], "profile string").write.mode("overwrite").parquet(f"{path}/profile")
+        objective_history(self).write.mode("overwrite").parquet(f"{path}/history")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "TextModel":
@@ -77,19 +79,19 @@ class TextModel:
 
         regression = LogisticRegressionModel.load(f"{path}/regression")
         terms = spark.read.parquet(f"{path}/terms").orderBy("i").collect()
-        codes = spark.read.parquet(f"{path}/codes").orderBy("kind", "i").collect()
-        named = {k: [r["value"] for r in codes if r["kind"] == k] for k in ("channel", "type", "profile")}
+        profile = spark.read.parquet(f"{path}/profile").first()["profile"]
+        history = spark.read.parquet(f"{path}/history").orderBy("round").collect()
         return TextModel(
-            [r["term"] for r in terms], [r["idf"] for r in terms], named["channel"], named["type"],
-            spark.read.parquet(f"{path}/moments"), regression,
-            settings.COMPACT if named["profile"] == ["compact"] else settings.FULL,
+            [r["term"] for r in terms], [r["idf"] for r in terms], spark.read.parquet(f"{path}/channels"),
+            spark.read.parquet(f"{path}/types"), spark.read.parquet(f"{path}/moments"), regression,
+            settings.COMPACT if profile == "compact" else settings.FULL, [r["value"] for r in history],
         )
 
 
 def fit_text_model(train: DataFrame, label_col: str = "label", id_col: str = "ticket_id", profile: Profile = FULL) -> TextModel:
     """Balanced, L2-penalised logistic regression.
 
-    Only bounded pieces reach the driver: at most 15,000 terms and the category names.
+    Only bounded pieces reach the driver: at most 15,000 terms.
     The weighted loss is a mean over weights that sum to the row count, so a penalty of
     1 / (C * rows) equals the summed loss at C.
     """
@@ -103,7 +105,7 @@ def fit_text_model(train: DataFrame, label_col: str = "label", id_col: str = "ti
     moments = kept(X.meta_moments(X.with_metadata(train, channels, types)), "moments")
     model = TextModel(terms, idf, channels, types, moments, None, profile)
     ready = X.with_class_weights(model.with_features(train), label_col).select(
-        F.col(label_col).cast("double").alias("label"), "features", "class_weight"
+        F.col(label_col).cast("double").alias("label"), X.feature_vector(len(terms)).alias("features"), "class_weight"
     )
     regression = LogisticRegression(
         featuresCol="features", labelCol="label", weightCol="class_weight", regParam=1.0 / (LR_C * rows),
@@ -122,17 +124,15 @@ def objective_history(model: TextModel) -> DataFrame:
 
 # --- second classifier: hashed words of the tagged string ----------------------------------
 
+TAGGED_ITERATIONS = 50
+
 
-def tagged_pipeline(reg_param: float, buckets: int = 1 << 16) -> Pipeline:
+def tagged_features(buckets: int = 1 << 16) -> Pipeline:
     return Pipeline(
         stages=[
             Tokenizer(inputCol="model_text", outputCol="_words"),
             HashingTF(inputCol="_words", outputCol="_counts", numFeatures=buckets),
             IDF(inputCol="_counts", outputCol="features", minDocFreq=2),
-            LogisticRegression(
-                featuresCol="features", labelCol="label", weightCol="class_weight", regParam=reg_param,
-                maxIter=50,
-            ),
         ]
     )
 
@@ -157,29 +157,42 @@ class TaggedModel:
         )
 
     def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(path)
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        spark = SparkSession.active()
+        training_history(spark, self).write.mode("overwrite").parquet(f"{path}/history")
 
     @staticmethod
     def load(path: str) -> "TaggedModel":
-        return TaggedModel(PipelineModel.load(path), [], float("nan"))
+        pipeline = PipelineModel.load(f"{path}/pipeline")
+        rows = SparkSession.active().read.parquet(f"{path}/history").orderBy("round", "metric").collect()
+        scores = [r["value"] for r in rows if r["metric"] == "val_f1"]
+        return TaggedModel(pipeline, [tuple(r) for r in rows], max(scores, default=float("nan")))
 
 
 def fit_tagged_model(
     train: DataFrame, validation: DataFrame, penalties: tuple = (0.1, 0.01, 0.001, 0.0001), patience: int = 2,
-    buckets: int = 1 << 16,
+    buckets: int = 1 << 16, iterations: int = TAGGED_ITERATIONS,
 ) -> TaggedModel:
-    """Try penalties in turn, keep the best validation macro F1, stop after ``patience`` rounds without gain."""
+    """Try penalties in turn, keep the best validation macro F1, stop after ``patience`` rounds without gain.
+
+    The features do not depend on the penalty, so they are fitted and stored once. ``iterations``
+    bounds each fit; the history says how many a round used.
+    """
     data = X.with_class_weights(X.model_text(train)).select(
         F.col("label").cast("double").alias("label"), "model_text", "class_weight"
     )
     data = kept(data, "tagged")
+    described = stored(train.sparkSession, tagged_features(buckets).fit(data), "tagged-features")
+    ready = kept(described.transform(data).select("label", "features", "class_weight"), "tagged-ready")
     best, best_score, waited, history = None, 0.0, 0, []
     for i, penalty in enumerate(penalties, start=1):
-        fitted = tagged_pipeline(penalty, buckets).fit(data)
-        loss = fitted.stages[-1].summary.objectiveHistory[-1]
-        fitted = stored(train.sparkSession, fitted, "tagged-model")
+        regression = LogisticRegression(
+            featuresCol="features", labelCol="label", weightCol="class_weight", regParam=penalty, maxIter=iterations
+        ).fit(ready)
+        loss, used = regression.summary.objectiveHistory[-1], regression.summary.totalIterations
+        fitted = PipelineModel([*described.stages, stored(train.sparkSession, regression, "tagged-model")])
         score = macro_f1(TaggedModel(fitted, [], 0.0).predict(validation))
-        history += [(i, "train_loss", float(loss)), (i, "val_f1", float(score))]
+        history += [(i, "train_loss", float(loss)), (i, "val_f1", float(score)), (i, "iterations", float(used))]
         if best is None or score > best_score:
             best, best_score, waited = fitted, score, 0
         else:
@@ -240,13 +253,12 @@ def label_from_prediction(df: DataFrame, prediction_col: str = "prediction") ->
 
 
 def load_model(spark: SparkSession, text_path: str, tagged_path: str | None = None, wanted: str = "baseline"):
-    """The wanted model, or the first classifier if the second cannot be read; with its name."""
-    from pyspark.errors import AnalysisException
-    from py4j.protocol import Py4JJavaError
-
-    if wanted == "advanced" and tagged_path is not None:
-        try:
-            return TaggedModel.load(tagged_path), "advanced"
-        except (AnalysisException, Py4JJavaError):
-            pass
-    return TextModel.load(spark, text_path), "baseline"
+    """(model, its name, why): the wanted model, or the first classifier if the second is not there.
+
+    Only a missing folder leads to the first classifier; a folder that cannot be read raises its error.
+    """
+    if wanted == "advanced":
+        if tagged_path is not None and folder_exists(spark, tagged_path):
+            return TaggedModel.load(tagged_path), "advanced", ""
+        return TextModel.load(spark, text_path), "baseline", f"no model at {tagged_path}"
+    return TextModel.load(spark, text_path), "baseline", ""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,13 +10,12 @@ from prioscope.functions.levels import band
 from prioscope.functions.text import word_ngrams, word_tokens
 from prioscope.functions.vectors import sparse_vector
 from prioscope.operators.grams import distinct_documents, gram_rows
-from prioscope.operators.ordering import running_sums
+from prioscope.operators.ordering import number_values, running_sums
 from prioscope.settings import (
     DEFAULT_HOURS, FULL, MAX_NGRAM, MAX_TERMS, MIN_DOCUMENTS, Profile, RESOLUTION_TOKENS,
 )
 from prioscope.sources.staging import kept
 
-MAX_CATEGORIES = 10_000
 META = ["channel_code", "type_code", "log_hours", "text_length"]
 
 
@@ -64,50 +63,28 @@ def sublinear(tf: Column) -> Column:
     return 1 + F.log(tf)
 
 
-def term_weights(df: DataFrame, terms: DataFrame, text_col: str = "combined_text", id_col: str = "ticket_id", profile: Profile = FULL) -> DataFrame:
-    """Unit-length weights as rows (id, term, weight), by joins alone. Ids must be unique."""
-    documents = df.agg(F.count(F.lit(1))).scalar()
-    known = terms.select("term", smoothed_idf(F.col("document_count"), documents).alias("idf"))
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.select(id_col, text_col).repartition(partitions, id_col)
-    raw = (
-        gram_rows(spread, [id_col], text_col, MAX_NGRAM, profile.shortest_token)
-        .join(F.broadcast(known), "term")
-        .groupBy(id_col, "term")
-        .agg((sublinear(F.count(F.lit(1)).cast("double")) * F.first("idf")).alias("w"))
-    )
-    lengths = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_length"))
-    return raw.join(lengths, id_col).select(id_col, "term", (F.col("w") / F.col("_length")).alias("weight"))
-
-
 # --- metadata -----------------------------------------------------------------------
 
 
-def category_codes(df: DataFrame, column: str) -> list[str]:
-    """Distinct values in alphabetical order; the position is the code.
-
-    The values become part of the model, so a column that is no category is refused.
-    """
-    known = df.select(F.coalesce(F.col(column), F.lit("Unknown")).alias("v")).distinct()
-    found = sorted(row["v"] for row in known.limit(MAX_CATEGORIES + 1).collect())
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} values")
-    return found
+def category_codes(df: DataFrame, column: str) -> DataFrame:
+    """(value, code) of the distinct values, alphabetical codes from 0, stored. Any number of values will do."""
+    known = df.select(F.coalesce(F.col(column), F.lit("Unknown")).alias("value"))
+    return kept(number_values(known, "value", "code"), "codes")
 
 
-def category_code(c: Column, known: list[str]) -> Column:
-    """Code of a value; one not seen in training takes the first."""
-    pairs = [F.lit(x) for code, value in enumerate(known) for x in (value, code)]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.coalesce(c, F.lit("Unknown"))), F.lit(0))
+def with_code(df: DataFrame, column: str, codes: DataFrame, out_col: str) -> DataFrame:
+    """Add the code of a value; one not seen in training takes the first."""
+    named = codes.select(F.col("value").alias("_value"), F.col("code").cast("double").alias(out_col))
+    joined = df.join(named, F.coalesce(F.col(column), F.lit("Unknown")) == F.col("_value"), "left").drop("_value")
+    return joined.withColumn(out_col, F.coalesce(out_col, F.lit(0.0)))
 
 
-def with_metadata(df: DataFrame, channels: list[str], types: list[str], text_col: str = "combined_text") -> DataFrame:
+def with_metadata(df: DataFrame, channels: DataFrame, types: DataFrame, text_col: str = "combined_text") -> DataFrame:
     """Add the four columns. The log of hours at or below -1 is undefined and reads as 0."""
     hours = F.coalesce(F.col("resolution_hours"), F.lit(DEFAULT_HOURS)).cast("double")
-    return df.withColumns(
+    coded = with_code(with_code(df, "channel", channels, "channel_code"), "ticket_type", types, "type_code")
+    return coded.withColumns(
         {
-            "channel_code": category_code(F.col("channel"), channels).cast("double"),
-            "type_code": category_code(F.col("ticket_type"), types).cast("double"),
             "log_hours": F.when(hours > -1, F.log1p(hours)).otherwise(F.lit(0.0)),
             "text_length": F.length(text_col) / F.lit(1000.0),
         }
@@ -133,22 +110,52 @@ def standardise(df: DataFrame, moments: DataFrame) -> DataFrame:
 # --- vectors -------------------------------------------------------------------------
 
 
-def text_vectors(df: DataFrame, terms: list[str], idf: list[float], text_col: str = "combined_text", profile: Profile = FULL) -> DataFrame:
-    """Add ``text_vector``: sublinear counts times idf, unit length. No shuffle."""
+def _scaled(df: DataFrame, by: list[float], out_col: str) -> DataFrame:
+    """Each term's count times its own factor, in the order of the counts."""
+    return ElementwiseProduct(scalingVec=Vectors.dense(by), inputCol="_tf", outputCol="_scaled").transform(df).withColumn(
+        out_col, F.unwrap_udt("_scaled")["values"]
+    ).drop("_scaled")
+
+
+def text_weights(
+    df: DataFrame, terms: list[str], idf: list[float], text_col: str = "combined_text", profile: Profile = FULL,
+    coefficients: list[float] | None = None,
+) -> DataFrame:
+    """Add ``text_indices`` and ``text_values``: sublinear counts times idf, unit length. No shuffle, and no vector per row.
+
+    With ``coefficients`` per term, ``text_score`` is the sum of the values times theirs.
+    """
     counted = CountVectorizerModel.from_vocabulary(terms, inputCol="grams", outputCol="_tf").transform(
         with_grams(df, text_col, profile)
     )
-    plain = counted.withColumn("_s", F.unwrap_udt("_tf"))
-    logged = F.transform(F.col("_s.values"), sublinear)
-    damped = plain.withColumn("_w", sparse_vector(F.lit(len(terms)), F.col("_s.indices"), logged))
-    scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_w", outputCol="_x").transform(damped)
-    unit = Normalizer(p=2.0, inputCol="_x", outputCol="text_vector").transform(scaled)
-    return unit.select(*df.columns, "text_vector")
-
-
-def assembled(df: DataFrame) -> DataFrame:
-    """Add ``features`` from the text vector and the standardised metadata."""
-    return VectorAssembler(inputCols=["text_vector", *META], outputCol="features").transform(df)
+    plain = _scaled(counted, idf, "_idf").withColumns({"text_indices": F.unwrap_udt("_tf")["indices"], "_n": F.unwrap_udt("_tf")["values"]})
+    raw = F.zip_with("_n", "_idf", lambda n, x: sublinear(n) * (x / n))
+    weighed = plain.withColumn("_w", raw)
+    square = F.aggregate("_w", F.lit(0.0), lambda total, x: total + x * x)
+    # One struct holds both, so that the length is not worked out anew for every value.
+    unit = weighed.withColumn("_whole", F.transform(F.array(F.sqrt(square)), lambda length: F.transform("_w", lambda x: x / length)))
+    done = unit.withColumn("text_values", F.get("_whole", F.lit(0)))
+    added = ["text_indices", "text_values"]
+    if coefficients is not None:
+        done = _scaled(done, coefficients, "_c")
+        parts = F.zip_with(F.zip_with("_c", "_n", lambda c, n: c / n), "text_values", lambda c, x: c * x)
+        done = done.withColumn("text_score", F.aggregate(parts, F.lit(0.0), lambda total, x: total + x))
+        added.append("text_score")
+    return done.select(*df.columns, *added)
+
+
+def feature_vector(width: int) -> Column:
+    """Text weights and standardised metadata as one sparse vector, for training."""
+    places = F.array(*[F.lit(width + i) for i in range(len(META))])
+    return sparse_vector(F.lit(width + len(META)), F.concat("text_indices", places), F.concat("text_values", F.array(*META)))
+
+
+def meta_score(coefficients: list[float], intercept: float) -> Column:
+    """Metadata times their coefficients, and the intercept."""
+    total = F.lit(float(intercept))
+    for name, weight in zip(META, coefficients):
+        total = total + F.col(name) * float(weight)
+    return total
 
 
 # --- class weights and model strings ---------------------------------------------------

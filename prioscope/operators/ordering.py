@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from prioscope.sources.staging import kept
+
 _FIRST_DIGIT = 1024
 _SECOND_DIGIT = 65536
 
@@ -85,13 +87,19 @@ def running_sums(
 def quantiles(
     df: DataFrame, value_col: str, shares: list[float], names: list[str], by: list[str] | None = None
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per group, one column per share."""
+    """Exact quantiles with linear interpolation, one row per group, one column per share. NaN and null do not count."""
     by = by or []
-    counts = (
-        df.where(F.col(value_col).isNotNull())
-        .groupBy(*by, F.col(value_col).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    return quantiles_of_counts(value_counts(df, value_col, by), shares, names, by)
+
+
+def value_counts(df: DataFrame, value_col: str, by: list[str]) -> DataFrame:
+    """(by, _v, _n): how often each number occurs."""
+    number = F.col(value_col).cast("double")
+    return df.where(number.isNotNull() & ~F.isnan(number)).groupBy(*by, number.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def quantiles_of_counts(counts: DataFrame, shares: list[float], names: list[str], by: list[str]) -> DataFrame:
+    """Quantiles from stored ``value_counts``."""
     placed = running_sums(counts, "_v", ["_n"], by)
     last = F.col("all__n") - 1
 
@@ -136,10 +144,43 @@ def median(df: DataFrame, value_col: str, name: str = "median") -> DataFrame:
 
 
 def number_by(df: DataFrame, key_col: str, out_col: str) -> DataFrame:
-    """Number rows from 1 in the order of a unique numeric key."""
-    keyed = df.withColumn("_one", F.lit(1).cast("long"))
-    numbered = running_sums(keyed, key_col, ["_one"])
-    return numbered.withColumn(out_col, F.col("before__one") + 1).select(*df.columns, out_col)
+    """Number rows from 1 in the order of a numeric key; NaN comes after all numbers, null last.
+
+    Rows with the same key, NaN or null are numbered in no particular order. Only the keys are
+    ranked; the other columns move once, when the numbers are joined back to the stored table.
+    """
+    stored = kept(df.withColumn("_row", F.monotonically_increasing_id()), "to-number")
+    key = F.col(key_col).cast("double")
+    kind = F.when(key.isNull(), 2).when(F.isnan(key), 1).otherwise(0)
+    keys = stored.select("_row", F.col(key_col).alias("_key"), kind.alias("_kind"))
+    sizes = {r["_kind"]: r["count"] for r in keys.groupBy("_kind").count().collect()}
+    parts, before = [], 0
+    for k, value in ((0, "_key"), (1, "_row"), (2, "_row")):
+        if sizes.get(k):
+            own = keys.where(F.col("_kind") == k).withColumn("_one", F.lit(1).cast("long"))
+            ranked = running_sums(own, value, ["_one"])
+            parts.append(ranked.select("_row", (F.col("before__one") + 1 + before).alias(out_col)))
+            before += sizes[k]
+    if not parts:
+        return stored.select(*df.columns, F.lit(0).cast("long").alias(out_col))
+    numbers = parts[0]
+    for more in parts[1:]:
+        numbers = numbers.unionByName(more)
+    return stored.join(numbers, "_row").select(*df.columns, out_col)
+
+
+def number_values(df: DataFrame, column: str, out_col: str) -> DataFrame:
+    """(column, number) of the distinct values in sorted order, from 0, without sorting in one task.
+
+    The sorted table is stored, so that partition and place within it are fixed.
+    """
+    ordered = kept(df.select(column).distinct().orderBy(column).withColumn("_at", F.monotonically_increasing_id()), "values")
+    part = F.shiftright("_at", 33)
+    sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    span = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(span), F.lit(0)).alias("_start"))
+    within = F.col("_at") - F.shiftleft(part, 33)
+    return ordered.withColumn("_part", part).join(starts, "_part").select(column, (F.col("_start") + within).alias(out_col))
 
 
 def number_as_read(df: DataFrame, out_col: str) -> DataFrame:

@@ -10,6 +10,7 @@ from prioscope.functions.numbers import rounded, share
 from prioscope.operators.breakdowns import box_statistics
 from prioscope.operators.ordering import quantiles
 from prioscope.settings import LEVELS
+from prioscope.sources.staging import kept
 
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -103,7 +104,9 @@ def total_nulls(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows that repeat an earlier combination of ``columns``, and their share."""
-    groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    # Rows are told apart by a digest of the columns, so whole texts are not shuffled.
+    told = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    groups = df.select(told.alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
     found = groups.agg(F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("duplicates"))
     return found.select(
         "rows",
@@ -132,12 +135,14 @@ def percentile_rows(df: DataFrame, value_col: str, percents: list[int]) -> DataF
 def histogram(df: DataFrame, value_col: str, bins: int, by: list[str] | None = None) -> DataFrame:
     """Equal-width bins between minimum and maximum; empty bins are listed too.
 
-    The last bin holds the maximum. A single value gets a range of one around it.
+    The last bin holds the maximum. A single value gets a range of one around it. With groups,
+    equal values are counted first, so that only counts meet the ends of their group.
     """
     by = by or []
     value = F.col(value_col).cast("double")
-    data = df.where(value.isNotNull()).select(*by, value.alias("_v"))
-    ends = data.groupBy(*by).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.count("_v").alias("_n"))
+    rows = df.where(value.isNotNull()).select(*by, value.alias("_v"))
+    data = kept(rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")), "value-counts") if by else rows.withColumn("_c", F.lit(1))
+    ends = data.groupBy(*by).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.sum("_c").alias("_n"))
     same = F.col("_a") == F.col("_b")
     ends = ends.where(F.col("_n") > 0).select(
         *by, "_n",
@@ -149,8 +154,8 @@ def histogram(df: DataFrame, value_col: str, bins: int, by: list[str] | None = N
         return rows.join(ends, by) if by else rows.crossJoin(F.broadcast(ends))
 
     position = F.floor((F.col("_v") - F.col("_a")) / (F.col("_b") - F.col("_a")) * bins)
-    binned = with_ends(data).select(*by, F.least(position, F.lit(bins - 1)).cast("int").alias("bin"))
-    counted = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
+    binned = with_ends(data).select(*by, "_c", F.least(position, F.lit(bins - 1)).cast("int").alias("bin"))
+    counted = binned.groupBy(*by, "bin").agg(F.sum("_c").alias("n"))
     every = ends.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("_b") - F.col("_a")) / bins
     return every.join(counted, [*by, "bin"], "left").select(

@@ -69,7 +69,7 @@ class BatchAudit:
 
 def audit_batch(
     raw: DataFrame, model=None, model_name: str = "rule_based", thresholds: DataFrame | None = None,
-    order_col: str | None = None,
+    order_col: str | None = None, note: str = "",
 ) -> BatchAudit:
     """Clean, fast inference, model label, evidence.
 
@@ -85,15 +85,23 @@ def audit_batch(
         decided = classify.adopt_prediction(
             classify.with_decision(model.predict(audited)).drop("prediction_confidence")
         )
-    stored = kept(decided.withColumn("model_used", F.lit(model_name)), "audited")
+    stored = kept(decided.withColumns({"model_used": F.lit(model_name), "model_note": F.lit(note)}), "audited")
     return BatchAudit(stored, evidence.evidence_records(stored))
 
 
 def audit_file(
-    spark: SparkSession, path: str, out: str, model=None, model_name: str = "rule_based", file_format: str = "csv"
+    spark: SparkSession, path: str, out: str, model=None, model_name: str = "rule_based", file_format: str = "csv",
+    text_path: str | None = None, tagged_path: str | None = None, wanted: str | None = None,
 ) -> BatchAudit:
-    """Audit a file and write predictions and evidence."""
-    made = audit_batch(files.read_tickets(spark, path, file_format), model, model_name)
+    """Audit a file and write predictions and evidence.
+
+    With ``wanted`` the model of that name is loaded; if it is not there the first classifier
+    takes its place, and ``model_note`` in the result says why.
+    """
+    note = ""
+    if wanted is not None:
+        model, model_name, note = classify.load_model(spark, text_path, tagged_path, wanted)
+    made = audit_batch(files.read_tickets(spark, path, file_format), model, model_name, note=note)
     files.write_predictions(made.audited, f"{out}/predictions")
     files.write_json(made.records, f"{out}/dossiers")
     return made
@@ -127,6 +135,8 @@ def train(raw: DataFrame, out: str, profile: Profile = FULL, with_second: bool =
     predicted = kept(first.predict(part["test"]), "test")
     reports = [evaluate.evaluate(predicted, "Baseline TF-IDF+LR", score="mismatch_probability")]
     second, chosen = None, predicted
+    if with_second and part["validation"].isEmpty():
+        raise ValueError("the second classifier needs a validation share; pass with_second=False")
     if with_second:
         second = classify.fit_tagged_model(part["train"], part["validation"])
         second.save(f"{out}/tagged_model")

@@ -198,7 +198,7 @@ def sk8_display_columns(spark, d):
 
 @query("cl1_ticket_ids")
 def cl1_ticket_ids(spark, d):
-    bare = tickets(spark, d).drop("ticket_id").where(F.col("priority") != "NOT SPECIFIED")
+    bare = tickets(spark, d).drop("ticket_id")
     return cleaning.with_ticket_ids(bare, "ticket_key").select("ticket_key", "ticket_id")
 
 
@@ -443,12 +443,13 @@ def se2_mean_vectors(spark, d):
 
 def _hashed_letters():
     def predict(batch):
-        out = np.zeros((len(batch), 26), dtype=np.float32)
-        for i, value in enumerate(batch):
-            codes = np.frombuffer(str(value).lower().encode("ascii", "ignore"), dtype=np.uint8)
-            codes = codes[(codes >= 97) & (codes <= 122)] - 97
-            out[i] = np.bincount(codes, minlength=26)
-        return out
+        """Counts of the 26 letters, over the code points of all texts of the batch at once."""
+        texts = [str(t).lower() for t in batch]
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64) - ord("a")
+        text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        letter = (codes >= 0) & (codes < 26)
+        counts = np.bincount(text[letter] * 26 + codes[letter], minlength=26 * len(texts))
+        return counts.reshape(len(texts), 26).astype(np.float32)
 
     return predict
 
@@ -618,13 +619,25 @@ def ml3_vocabulary(spark, d):
     return features.vocabulary(clean(spark, d))
 
 
+def _terms(spark, d) -> tuple[list[str], list[float]]:
+    """The whole vocabulary and its idf, as the classifier has them."""
+    source = clean(spark, d)
+    idf = features.smoothed_idf(F.col("document_count"), F.lit(float(source.count())))
+    rows = sorted((r["term"], r["idf"]) for r in features.vocabulary(source).select("term", idf.alias("idf")).collect())
+    return [t for t, _ in rows], [w for _, w in rows]
+
+
+def _weight_columns() -> list:
+    total = F.aggregate("text_values", F.lit(0.0), lambda a, x: a + x)
+    return [
+        F.size("text_values").cast("long").alias("terms"), F.round(F.array_max("text_values"), 6).alias("top_weight"), F.round(total, 6).alias("weight_sum")
+    ]
+
+
 @query("ml4_term_weights")
 def ml4_term_weights(spark, d):
-    source = clean(spark, d)
-    found = features.term_weights(source, features.vocabulary(source))
-    return found.groupBy("ticket_id").agg(
-        F.count(F.lit(1)).alias("terms"), F.round(F.max("weight"), 6).alias("top_weight"), F.round(F.sum("weight"), 6).alias("weight_sum")
-    )
+    found = features.text_weights(clean(spark, d), *_terms(spark, d))
+    return found.where(F.size("text_values") > 0).select("ticket_id", *_weight_columns())
 
 
 def _metadata(spark, d) -> DataFrame:
@@ -653,11 +666,16 @@ def ml7_standardised(spark, d):
 def ml8_assembled_vector(spark, d):
     found = _metadata(spark, d)
     scaled = features.standardise(found, features.meta_moments(found))
-    terms = features.vocabulary(clean(spark, d), size=500).select("term").collect()
-    words = sorted(r["term"] for r in terms)
-    vectors = features.assembled(features.text_vectors(scaled, words, [1.0] * len(words)))
-    parts = F.unwrap_udt("features")
-    return vectors.select("ticket_id", F.coalesce(parts["size"], F.size(parts["values"])).alias("width"))
+    terms, idf = _terms(spark, d)
+    vectors = features.text_weights(scaled, terms, idf).withColumn("parts", F.unwrap_udt(features.feature_vector(len(terms))))
+    values, n = F.col("parts.values"), F.size("parts.values") - len(features.META)
+    text = F.slice(values, F.lit(1), n)
+    square = F.aggregate(text, F.lit(0.0), lambda a, x: a + x * x)
+    meta = [F.round(F.get(values, n + i), 6).alias(c) for i, c in enumerate(features.META)]
+    return vectors.select(
+        "ticket_id", F.col("parts.size").alias("width"), n.cast("long").alias("terms"),
+        F.round(F.aggregate(text, F.lit(0.0), lambda a, x: a + x), 6).alias("weight_sum"), F.round(F.sqrt(square), 6).alias("length"), *meta,
+    )
 
 
 @query("ml9_class_weights")
@@ -702,19 +720,36 @@ def _tagged_model(spark, d) -> classify.TaggedModel:
     key = (spark.sparkContext.applicationId, d, "tagged")
     if key not in _MODELS:
         parts = _parts(spark, d)
-        _MODELS[key] = classify.fit_tagged_model(parts["train"], parts["validation"], (0.01, 0.001, 0.1), buckets=1 << 14)
+        _MODELS[key] = classify.fit_tagged_model(parts["train"], parts["validation"])
     return _MODELS[key]
 
 
 @query("mo1_text_model_report")
 def mo1_text_model_report(spark, d):
+    """Sizes of the test part, and whether the report is consistent and beats the larger class."""
     predicted = _text_model(spark, d).predict(_parts(spark, d)["test"])
-    return _flat_report(evaluate.evaluate(predicted, "Baseline TF-IDF+LR", score="mismatch_probability"))
+    report = _flat_report(evaluate.evaluate(predicted, "Baseline TF-IDF+LR", score="mismatch_probability"))
+    larger = F.greatest("n_mismatch", F.col("n_samples") - F.col("n_mismatch"))
+    guess = F.col("larger") / (2 * F.col("n_samples") - (F.col("n_samples") - F.col("larger")))
+    return report.withColumn("larger", larger).select(
+        "model_name", "n_samples", "n_mismatch", (F.col("macro_f1") > guess).alias("beats_larger_class"),
+        (F.abs(F.col("accuracy") - (F.col("n_samples") - F.col("fp") - F.col("fn")) / F.col("n_samples")) < 1e-3).alias("accuracy_fits"),
+        (F.col("roc_auc") > 0.5).alias("ranks_better_than_chance"),
+    )
+
+
+def _prediction_check(predicted: DataFrame) -> DataFrame:
+    """Rows, and how many break a rule that every prediction must follow."""
+    p = F.col("mismatch_probability")
+    return predicted.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(p.isNull() | (p < 0) | (p > 1)).alias("out_of_range"),
+        F.count_if((p >= 0.5).cast("int") != F.col("prediction")).alias("wrong_side"), F.countDistinct("ticket_id").alias("tickets"),
+    )
 
 
 @query("mo2_text_model_predictions")
 def mo2_text_model_predictions(spark, d):
-    return _text_model(spark, d).predict(_parts(spark, d)["test"]).select("ticket_id", "prediction", "mismatch_probability")
+    return _prediction_check(_text_model(spark, d).predict(_parts(spark, d)["test"]))
 
 
 @query("mo3_decision")
@@ -725,19 +760,24 @@ def mo3_decision(spark, d):
 
 @query("mo4_tagged_model_predictions")
 def mo4_tagged_model_predictions(spark, d):
-    return _tagged_model(spark, d).predict(_parts(spark, d)["test"]).select("ticket_id", "prediction", "mismatch_probability")
+    return _prediction_check(_tagged_model(spark, d).predict(_parts(spark, d)["test"]))
 
 
 @query("mo5_tagged_model_search")
 def mo5_tagged_model_search(spark, d):
+    """Whether the search kept its best round and stopped by its rule: two rounds without gain, or four in all."""
     model = _tagged_model(spark, d)
     scored = classify.training_history(spark, model).where(F.col("metric") == "val_f1")
-    return scored.select("round", "value").withColumn("best", F.lit(model.best))
+    rounds = scored.agg(F.max("round").alias("rounds"), F.max("value").alias("top"), F.min(F.struct(-F.col("value"), "round")).alias("first"))
+    since = F.col("rounds") - F.col("first.round")
+    return rounds.select(
+        (F.col("top") == F.lit(model.best)).alias("best_kept"), ((since == 2) | ((F.col("rounds") == 4) & (since < 2))).alias("stopped_by_rule")
+    )
 
 
 def _exclamation_model():
     def predict(batch):
-        marks = np.array([str(t).count("!") for t in batch], dtype=np.float32)
+        marks = np.strings.count(np.asarray(batch, dtype=np.dtypes.StringDType()), "!").astype(np.float32)
         chance = 1 / (1 + np.exp(1 - marks))
         return np.stack([1 - chance, chance], axis=1).astype(np.float32)
 
@@ -755,25 +795,32 @@ def mo6_external_model(spark, d):
 def mo7_load_with_fallback(spark, d):
     path = work_folder(spark, d, "text-model")
     _text_model(spark, d).save(path)
-    model, used = classify.load_model(spark, path, f"{path}-absent", "advanced")
+    model, used, why = classify.load_model(spark, path, f"{path}-absent", "advanced")
     predicted = model.predict(_parts(spark, d)["test"])
-    return predicted.groupBy("prediction").agg(F.count(F.lit(1)).alias("n")).withColumn("model_used", F.lit(used))
+    return _prediction_check(predicted).withColumns({"model_used": F.lit(used), "why_given": F.lit(why != "")})
 
 
 @query("mo8_batch_audit")
 def mo8_batch_audit(spark, d):
     done = audit_batch(tickets(spark, d), _text_model(spark, d), "baseline").audited
+    rule = F.when(F.col("inferred_severity") != F.col("priority"), "Mismatch").otherwise("Consistent")
+    sound = F.col("mismatch_probability").between(0, 1) & (F.col("predicted_label") == F.col("mismatch_label"))
     return done.select(
-        "ticket_id", "inferred_severity", "predicted_label", "mismatch_label", "mismatch_probability",
-        "mismatch_type", "severity_delta", "label_conflict", "model_used",
+        "ticket_id", "inferred_severity", "mismatch_type", "severity_delta", "model_used", sound.alias("sound"),
+        (F.col("label_conflict") == (F.col("predicted_label") != rule)).alias("conflict_fits"),
     )
 
 
 @query("mo9_training_history")
 def mo9_training_history(spark, d):
-    first = classify.objective_history(_text_model(spark, d)).withColumn("model", F.lit("text"))
-    second = classify.training_history(spark, _tagged_model(spark, d)).withColumn("model", F.lit("tagged"))
-    return first.unionByName(second)
+    """Read back with the stored models: whether the loss falls, and whether each round has its three numbers."""
+    path = work_folder(spark, d, "histories")
+    _text_model(spark, d).save(f"{path}/text")
+    _tagged_model(spark, d).save(f"{path}/tagged")
+    losses = [r["value"] for r in spark.read.parquet(f"{path}/text/history").orderBy("round").collect()]
+    rounds = classify.training_history(spark, classify.TaggedModel.load(f"{path}/tagged")).groupBy("round").agg(F.count(F.lit(1)).alias("n"))
+    falls = len(losses) > 1 and all(b <= a + 1e-9 for a, b in zip(losses, losses[1:]))
+    return rounds.agg((F.min("n") == 3).alias("rounds_complete"), (F.max("n") == 3).alias("no_round_twice")).withColumn("loss_falls", F.lit(falls))
 
 
 @query("mo10_label_from_prediction")
@@ -960,15 +1007,20 @@ def do14_record_summary(spark, d):
 # --- streams -------------------------------------------------------------------------------------------------------------------
 
 
-def _stream(spark, d) -> DataFrame:
+def _stream(spark, d, model=None) -> DataFrame:
     source = tickets(spark, d).drop("ticket_key")
     folder = work_folder(spark, d, "arriving")
     source.write.mode("overwrite").parquet(folder)
-    table = clean(spark, d)
-    middle = ordering.median(cleaning.keep_valid_priorities(tickets(spark, d)).select(
-        to_hours(F.col("resolution_time"), "string").alias("h")), "h").first()["median"]
     raw = streams.read_ticket_stream(spark, folder, "parquet", source.schema, files_per_batch=4)
-    return streams.score_stream(raw, times.fit_thresholds(table), middle)
+    return streams.score_stored(spark, raw, _scoring_state(spark, d), model)
+
+
+def _scoring_state(spark, d) -> str:
+    """Limits and median, fitted and written once; the streams only read them."""
+    path = work_folder(spark, d, "scoring-state")
+    known = cleaning.keep_valid_priorities(tickets(spark, d)).select(to_hours(F.col("resolution_time"), "string").alias("h"))
+    streams.fit_scoring(clean(spark, d), known).write.mode("overwrite").parquet(path)
+    return path
 
 
 def _fresh(spark, d, name: str) -> str:
@@ -984,6 +1036,30 @@ def st1_stream_scoring(spark, d):
     )
 
 
+@query("st1_stream_with_stored_model")
+def st1_stream_with_stored_model(spark, d):
+    path, out = work_folder(spark, d, "stream-model"), _fresh(spark, d, "scored-by-model")
+    _text_model(spark, d).save(path)
+    model, used, _ = classify.load_model(spark, path)
+    scored = _stream(spark, d, model).drop("rule_features")
+    streams.start_scoring(scored, out, f"{out}-state").awaitTermination()
+    done = spark.read.parquet(out)
+    sound = F.col("mismatch_probability").between(0, 1) & (F.col("predicted_label") == F.col("mismatch_label"))
+    return done.select("ticket_id", "rt_severity", "inferred_severity", "severity_delta", sound.alias("sound"), F.lit(used).alias("model_used"))
+
+
+@query("st1_stream_of_three_columns")
+def st1_stream_of_three_columns(spark, d):
+    folder, out = work_folder(spark, d, "three-columns"), _fresh(spark, d, "scored-three")
+    files.write_csv(cleaning.to_source_names(tickets(spark, d).select("subject", "description", "priority")), folder)
+    raw = streams.read_ticket_stream(spark, folder)
+    scored = streams.score_stored(spark, raw, _scoring_state(spark, d)).drop("rule_features")
+    streams.start_scoring(scored, out, f"{out}-state").awaitTermination()
+    return spark.read.parquet(out).groupBy("priority", "inferred_severity", "mismatch_label", "resolution_hours").agg(
+        F.count(F.lit(1)).alias("n"), F.count("ticket_id").alias("with_id")
+    )
+
+
 @query("st2_stream_evidence")
 def st2_stream_evidence(spark, d):
     out = _fresh(spark, d, "records")
@@ -1000,8 +1076,7 @@ for _column in ("mismatch_label", "inferred_severity", "priority", "channel", "t
 
 @query("an2_counts_in_level_order")
 def an2_counts_in_level_order(spark, d):
-    rare = audited(spark, d).where(F.col("rule_severity") != "Medium")
-    return breakdowns.counts_in_level_order(rare, "rule_severity")
+    return breakdowns.counts_in_level_order(audited(spark, d), "rule_severity")
 
 
 @query("an3_mismatch_rate_by_priority")
@@ -1031,7 +1106,7 @@ def an7_priority_matrix(spark, d):
 
 @query("an8_ordered_matrix")
 def an8_ordered_matrix(spark, d):
-    return breakdowns.ordered_priority_matrix(audited(spark, d).where(F.col("priority") != "High"))
+    return breakdowns.ordered_priority_matrix(audited(spark, d))
 
 
 @query("an9_type_volumes")
@@ -1087,8 +1162,7 @@ _MOMENTS = ["mean", "std", "minimum", "q1", "median", "q3", "maximum"]
 
 @query("pr2_describe")
 def pr2_describe(spark, d):
-    columns = ["priority", "resolution_hours", "channel", "ticket_type", "customer_email", "product", "subject"]
-    return _round(profiling.describe_all(clean(spark, d).select(*columns)), 6, *_MOMENTS)
+    return _round(profiling.describe_all(clean(spark, d)), 6, *_MOMENTS)
 
 
 @query("pr3_null_counts")
@@ -1216,3 +1290,22 @@ def cl10_observed_rows(spark, d):
     cleaning.observe_rows(cleaning.keep_valid_priorities(tickets(spark, d)), seen).write.format("noop").mode("overwrite").save()
     return spark.createDataFrame([(seen.get["rows"],)], "rows_after long")
 
+
+
+@query("nv_split_without_validation")
+def nv_split_without_validation(spark, d):
+    parted = splitting.stratified_split(labeled(spark, d), validation=COMPACT.validation_share)
+    return parted.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("nv_vocabulary_of_longer_words")
+def nv_vocabulary_of_longer_words(spark, d):
+    return features.vocabulary(clean(spark, d), profile=COMPACT)
+
+
+@query("nv_anchor_weights")
+def nv_anchor_weights(spark, d):
+    """How often each anchor term of the smaller anchor set occurs per level and in the tickets."""
+    anchors = texts.anchor_counts(spark, COMPACT)
+    frequency = texts.fit_vocabulary(clean(spark, d), profile=COMPACT)
+    return anchors.join(frequency, "term")

@@ -24,21 +24,30 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(spark: SparkSession, key: str, name: str, build, spread_by: str | None = None) -> DataFrame:
     """Read table ``name`` for input ``key``, writing it first if this application has not.
 
-    ``spread_by`` writes one file per shuffle partition, so that scoring, which is bound
-    by the processor and not by input size, starts on all cores.
+    ``spread_by`` spreads the rows, so that scoring, which is bound by the processor and
+    not by input size, starts on all cores; adaptive execution sizes the files.
     """
     mark = hashlib.sha256(key.encode()).hexdigest()[:12]
     path = f"{shared_folder(spark)}/prioscope/{spark.sparkContext.applicationId}/{mark}/{name}"
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    files = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(hadoop_path):
+    if not folder_exists(spark, f"{path}/_SUCCESS"):
         table = build()
         if spread_by:
-            table = table.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), spread_by)
+            table = table.repartition(spread_by)
         table.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Delete every table this application has staged; call it when no result is read any more."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/prioscope/{spark.sparkContext.applicationId}")
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path of this application that nothing has written to."""
     return f"{shared_folder(spark)}/prioscope/{spark.sparkContext.applicationId}/kept/{name}-{uuid.uuid4().hex}"

@@ -81,27 +81,32 @@ def test_features_equal_brute_force(spark, table):
     idf = [math.log((1 + len(rows)) / (1 + seen[t])) + 1 for t in terms]
     channels, types = X.category_codes(table, "channel"), X.category_codes(table, "ticket_type")
     described = X.with_metadata(table, channels, types)
-    full = X.assembled(X.text_vectors(X.standardise(described, X.meta_moments(described)), terms, idf))
-    got = np.array([r.v for r in full.orderBy("ticket_id").select(vector_to_array("features").alias("v")).collect()])
+    full = X.text_weights(X.standardise(described, X.meta_moments(described)), terms, idf, coefficients=[0.5] * len(terms))
+    full = full.withColumn("features", X.feature_vector(len(terms)))
+    found = full.orderBy("ticket_id").select(vector_to_array("features").alias("v"), "text_score").collect()
+    got = np.array([r.v for r in found])
+    assert np.allclose([r.text_score for r in found], 0.5 * got[:, : len(terms)].sum(axis=1))
     want = np.hstack([brute_matrix(rows, terms, seen), brute_meta(rows)])
     assert np.allclose(got, want, atol=1e-9)
 
 
-def test_term_weights_agree_with_the_vectors(spark, table):
-    rows = table.collect()
-    terms, seen = brute_vocabulary([r.combined_text for r in rows], 15000)
-    m, place = brute_matrix(rows, terms, seen), {t: i for i, t in enumerate(terms)}
-    spot = {r.ticket_id: i for i, r in enumerate(rows)}
-    found = X.term_weights(table, X.vocabulary(table)).collect()
-    assert len(found) == int((m > 0).sum())
-    assert all(r.weight == pytest.approx(m[spot[r.ticket_id], place[r.term]]) for r in found)
+def codes(spark, *values):
+    return spark.createDataFrame([(v, i) for i, v in enumerate(values)], "value string, code long")
+
+
+def test_any_number_of_categories(spark):
+    df = spark.range(20_000).selectExpr("concat('c', lpad(id, 5, '0')) AS channel", "'A' AS ticket_type", "1.0 AS resolution_hours", "'abc' AS combined_text")
+    known = X.category_codes(df, "channel")
+    found = X.with_metadata(df, known, codes(spark, "A")).collect()
+    assert len(found) == 20_000 and all(r.channel_code == int(r.channel[1:]) for r in found)
 
 
 def test_unseen_category_takes_the_first_and_constant_column_is_safe(spark):
     df = spark.createDataFrame([("New", "A", 3.0, "abc"), (None, "A", -5.0, "abc")], "channel string, ticket_type string, resolution_hours double, combined_text string")
-    rows = X.with_metadata(df, ["Chat", "Unknown"], ["A"]).collect()
-    assert [r.channel_code for r in rows] == [0.0, 1.0] and rows[1].log_hours == 0.0
-    scaled = X.standardise(X.with_metadata(df, ["Chat", "Unknown"], ["A"]), X.meta_moments(X.with_metadata(df, ["Chat", "Unknown"], ["A"])))
+    described = X.with_metadata(df, codes(spark, "Chat", "Unknown"), codes(spark, "A"))
+    rows = {r.channel: r for r in described.collect()}
+    assert rows["New"].channel_code == 0.0 and rows[None].channel_code == 1.0 and rows[None].log_hours == 0.0
+    scaled = X.standardise(described, X.meta_moments(described))
     assert {r.type_code for r in scaled.collect()} == {0.0}
 
 
@@ -159,8 +164,11 @@ def test_models_work_after_an_observation(spark, table, model):
 def test_saved_model_gives_the_same(spark, table, model, tmp_path):
     path = str(tmp_path / "m")
     model.save(path)
-    loaded, used = C.load_model(spark, path, str(tmp_path / "absent"), "advanced")
-    assert used == "baseline"
+    loaded, used, why = C.load_model(spark, path, str(tmp_path / "absent"), "advanced")
+    assert used == "baseline" and "absent" in why and loaded.losses == pytest.approx(model.losses)
+    (tmp_path / "broken").mkdir()
+    with pytest.raises(Exception):
+        C.load_model(spark, path, str(tmp_path / "broken"), "advanced")
     a = {r.ticket_id: r.mismatch_probability for r in model.predict(table).collect()}
     b = {r.ticket_id: r.mismatch_probability for r in loaded.predict(table).collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
@@ -177,10 +185,10 @@ def test_tagged_model_search_stops_and_keeps_the_best(spark, table, tmp_path):
     since_best = len(scores) - 1 - scores.index(max(scores))
     assert since_best == 2 or (since_best < 2 and len(scores) == len(penalties))
     found.save(str(tmp_path / "tagged"))
-    loaded, used = C.load_model(spark, "unused", str(tmp_path / "tagged"), "advanced")
-    assert used == "advanced"
+    loaded, used, why = C.load_model(spark, "unused", str(tmp_path / "tagged"), "advanced")
+    assert used == "advanced" and why == "" and loaded.best == found.best and sorted(loaded.history) == sorted(found.history)
     assert loaded.predict(rest).columns[-2:] == ["mismatch_probability", "prediction"]
-    assert C.training_history(spark, found).count() == 2 * len(scores)
+    assert C.training_history(spark, found).count() == 3 * len(scores)
 
 
 def test_external_model(spark):
@@ -265,6 +273,36 @@ def test_stream_equals_batch(spark, tmp_path):
     assert records.count() == sum(r[5] == "Mismatch" for r in got)
 
 
+def test_stream_of_texts_without_other_columns(spark, tmp_path):
+    from prioscope.operators.time_signal import fit_thresholds
+
+    path, state = str(tmp_path / "arriving"), str(tmp_path / "state")
+    spark.createDataFrame([("Server down", "total outage", "Low"), ("Logo", "a suggestion", "High"), ("x", "y", "?")], "`Ticket Subject` string, `Ticket Description` string, `Ticket Priority` string").write.csv(path, header=True)
+    hours = spark.createDataFrame([(1.0,), (5.0,), (30.0,), (90.0,)], "h double")
+    streams.fit_scoring(hours.withColumnRenamed("h", "resolution_hours"), hours).write.parquet(state)
+    scored = streams.score_stored(spark, streams.read_ticket_stream(spark, path, multi_line=False), state)
+    streams.start_scoring(scored.drop("rule_features"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(rows) == 2 and len({r.ticket_id for r in rows}) == 2 and all(r.ticket_id.startswith("TKT-") for r in rows)
+    assert {r.resolution_hours for r in rows} == {24.0} and {r.channel for r in rows} == {"Unknown"}
+    assert fit_thresholds(hours, "h").count() == 1
+
+
+def test_numbers_survive_gaps_and_ties(spark):
+    from prioscope.operators.ordering import median, number_by, number_values
+
+    keys = [5.0, None, float("nan"), -5.0, 7.0, None, 7.0, 0.0, float("nan"), None]
+    df = spark.createDataFrame([(i, k, "text") for i, k in enumerate(keys)], "i int, k double, t string")
+    found = {r.i: r.nr for r in number_by(df, "k", "nr").collect()}
+    assert sorted(found.values()) == list(range(1, 11))
+    assert [found[i] for i in (3, 7, 0)] == [1, 2, 3] and {found[4], found[6]} == {4, 5}
+    assert {found[2], found[8]} == {6, 7} and {found[1], found[5], found[9]} == {8, 9, 10}
+    assert median(df, "k").scalar() is not None and median(df, "k").first()["median"] == 5.0
+    assert number_by(df.where("false"), "k", "nr").count() == 0 and number_by(df.where("k IS NULL"), "k", "nr").count() == 3
+    named = spark.createDataFrame([(v,) for v in "bdaacb"], "v string")
+    assert {r.v: r.n for r in number_values(named, "v", "n").collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+
+
 def test_training_flow(spark, tmp_path):
     rng = random.Random(9)
     openers = [("Server down", "complete outage, revenue loss", 2.0), ("New logo", "a small suggestion and feedback", 120.0), ("Login issue", "error and crash, it is slow", 9.0)]
