@@ -11,7 +11,8 @@ documents, whole texts) is reduced to the sentences that have any. Scoring is on
 shuffle over all documents.
 
 Defined results: null and empty texts are one empty sentence and get the score of a sentence
-without features. Without any labelled row every score is the prior 0.5. Repeated rows get the
+without features. Without labelled documents of both
+kinds nothing can be told and every score is 0. Repeated rows get the
 same score. Labels, language, source and id are not inputs. Extra columns are ignored by
 ``score`` and returned by ``clean_rows``.
 """
@@ -33,7 +34,7 @@ from prioscope.llm.labelled import training_labels
 
 TRAIN_ROWS = 30_000
 BUCKETS = 1 << 18
-MAX_FEATURES, LEAST_Z = 4096, 3.5
+MAX_FEATURES, LEAST_Z, LEAST_LOG_ODDS = 2048, 4.0, 1.0
 PREFIXES = (4, 5, 6)
 CUT = 0.3
 OFFENDING = 0.5
@@ -56,7 +57,7 @@ def sentences(text: str) -> list[tuple[int, str]]:
 @dataclass
 class Model:
     weights: dict[int, float] = field(default_factory=dict)
-    bias: float = 0.0
+    bias: float = -40.0
 
     def word(self, word: str) -> tuple[int, ...]:
         return tuple(b for b in buckets_of(word) if b in self.weights)
@@ -93,23 +94,29 @@ def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _telling(counts: pd.DataFrame, others: int, toxics: int) -> list[int]:
-    """Features whose log odds ratio is far from zero in standard errors, the farthest first."""
-    a, b = counts["toxic"].to_numpy(float) + 0.5, counts["other"].to_numpy(float) + 0.5
-    ratio = np.log(a / (toxics - a + 1)) - np.log(b / (others - b + 1))
-    z = np.abs(ratio) / np.sqrt(1 / a + 1 / b)
+    """Features whose odds differ much between toxic and other documents and not by chance (likelihood ratio), the surest first."""
+    a, b = counts["toxic"].to_numpy(float), counts["other"].to_numpy(float)
+    total, deviance = others + toxics, np.zeros(len(a))
+    for found, row, column in ((a, a + b, toxics), (b, a + b, others), (toxics - a, total - a - b, toxics), (others - b, total - a - b, others)):
+        deviance += 2 * found * np.log(np.where(found > 0, found * total / np.maximum(row * column, 1e-9), 1.0))
+    z = np.sqrt(np.maximum(deviance, 0))
+    ratio = np.log((a + 0.5) * (others - b + 0.5) / ((b + 0.5) * (toxics - a + 0.5)))
+    z = np.where(np.abs(ratio) >= LEAST_LOG_ODDS, z, 0)
     order = np.argsort(-z, kind="stable")[:MAX_FEATURES]
     return [int(x) for x in counts["bucket"].to_numpy()[order][z[order] >= LEAST_Z]]
 
 
-def fit_noisy_or(docs: list[tuple[int, int, list[frozenset[int]]]], features: list[int], rounds: int = 400, penalty: float = 2e-4) -> Model:
-    """Weights that fit document labels; ``docs`` are (label, sentences, features of the sentences that have any)."""
-    place = {f: i for i, f in enumerate(features)}
-    y = np.array([d[0] for d in docs], float)
-    bare = np.array([d[1] - len(d[2]) for d in docs], float)
-    bag = np.array([i for i, d in enumerate(docs) for _ in d[2]], np.int64)
-    row = np.array([k for k, s in enumerate(s for d in docs for s in d[2]) for _ in s], np.int64)
-    col = np.array([place[f] for d in docs for s in d[2] for f in s], np.int64)
-    w, n = np.zeros(len(features) + 1), len(docs)
+def fit_noisy_or(bags: pd.DataFrame, features: list[int], rounds: int = 400, penalty: float = 2e-4) -> Model:
+    """Weights that fit document labels. ``bags``: label, n (sentences), sizes (features of each sentence that has any) and their buckets."""
+    y = (bags["label"].to_numpy() > 0).astype(float)
+    shown = bags["sizes"].str.len().to_numpy(np.int64)
+    bare = bags["n"].to_numpy(float) - shown
+    bag = np.repeat(np.arange(len(bags)), shown)
+    sizes = np.concatenate([np.zeros(0, np.int64), *bags["sizes"]]).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    ranked = np.sort(np.array(features, np.int64))
+    col = np.searchsorted(ranked, np.concatenate([np.zeros(0, np.int64), *bags["buckets"]]).astype(np.int64))
+    w, n = np.zeros(len(features) + 1), len(bags)
     w[-1] = -6.0
     speed, spread = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
@@ -125,17 +132,17 @@ def fit_noisy_or(docs: list[tuple[int, int, list[frozenset[int]]]], features: li
         speed, spread = 0.9 * speed + 0.1 * grad, 0.99 * spread + 0.01 * grad**2
         w -= 0.1 * (speed / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-8)
         w[-1] = min(w[-1], -2.0)
-    return Model({f: float(w[i]) for f, i in place.items()}, float(w[-1]))
+    return Model({int(f): float(w[i]) for i, f in enumerate(ranked)}, float(w[-1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Learn from labelled rows that are not held out. The sample of labels is bounded, so it is broadcast."""
     sample = kept(training_labels(labels, "toxic", most), "training-labels")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(sample), "doc_id").select("text", "label")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(sample), "doc_id")
     seen = {r["toxic"]: r["count"] for r in sample.groupBy((F.col("label") > 0).alias("toxic")).count().collect()}
     if not seen.get(True) or not seen.get(False):
         return Model()
-    counts = texts.mapInPandas(_counts, "bucket long, other long, toxic long").groupBy("bucket").agg(
+    counts = texts.select("text", "label").mapInPandas(_counts, "bucket long, other long, toxic long").groupBy("bucket").agg(
         F.sum("other").alias("other"), F.sum("toxic").alias("toxic")
     )
     features = _telling(counts.toPandas().sort_values("bucket", ignore_index=True), seen[False], seen[True])
@@ -146,19 +153,23 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
         for frame in frames:
             found = [active(t, chosen.value, cache) for t in frame["text"]]
             yield pd.DataFrame(
-                {"label": frame["label"].to_numpy(np.int32), "n": [n for n, _ in found], "sentences": [[sorted(s) for _, s in x] for _, x in found]}
+                {
+                    "doc_id": frame["doc_id"], "label": frame["label"], "n": [n for n, _ in found], "sizes": [[len(s) for _, s in x] for _, x in found],
+                    "buckets": [[b for _, s in x for b in sorted(s)] for _, x in found],
+                }
             )
 
-    rows = texts.mapInPandas(bags, "label int, n int, sentences array<array<int>>").collect()
-    bags_ = sorted((int(r.label > 0), r.n, [tuple(s) for s in r.sentences]) for r in rows)
-    return fit_noisy_or([(y, n, [frozenset(s) for s in x]) for y, n, x in bags_], features)
+    rows = texts.mapInPandas(bags, "doc_id long, label int, n int, sizes array<int>, buckets array<int>").toPandas()
+    if rows["label"].nunique() < 2:
+        return Model()
+    return fit_noisy_or(rows.sort_values(["doc_id", "n"], ignore_index=True), features)
 
 
 def _judge(model: Model, text: str, cache: dict[str, tuple[int, ...]]) -> tuple[float, list[tuple[int, float]]]:
     """The document's probability and those of its sentences that have features."""
     n, found = active(text, model.weights, cache)
     own = [(nr, 1 / (1 + np.exp(-min(30.0, max(-30.0, model.bias + sum(model.weights[f] for f in s)))))) for nr, s in found]
-    bare = 1 / (1 + np.exp(-model.bias))
+    bare = float(np.exp(model.bias)) / (1 + float(np.exp(model.bias)))
     none = (n - len(own)) * np.log1p(-bare) + sum(np.log1p(-min(p, 1 - 1e-12)) for _, p in own)
     return float(-np.expm1(none)), own
 
@@ -202,7 +213,8 @@ def locate(docs: DataFrame, model: Model, least: float = OFFENDING) -> DataFrame
             for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"]):
                 parts = sentences(text)
                 rows += [(doc_id, *parts[nr], p) for nr, p in _judge(shared.value, text, cache)[1] if p >= least]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "sentence", "score"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "sentence", "score"])
 
     given = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text"))
     return given.mapInPandas(find, "doc_id string, start int, sentence string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
