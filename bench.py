@@ -6,10 +6,10 @@ import json
 import os
 import time
 
-from prioscope.operators import breakdowns, evidence, fusion, profiling, rule_signal, splitting, text_signal, time_signal
+from prioscope.operators import breakdowns, classify, evidence, fusion, profiling, rule_signal, splitting, text_signal, time_signal
 from prioscope.operators.features import vocabulary
 from prioscope.plans import catalog
-from prioscope.plans.audit import audit_fast, label_tickets
+from prioscope.plans.audit import audit_batch, audit_fast, label_tickets
 from prioscope.session import local_session
 from prioscope.sources.tables import ticket_table
 from prioscope.operators.cleaning import clean_tickets
@@ -33,8 +33,10 @@ def main() -> None:
         took[name] = round(time.time() - start, 3)
 
     run("ticket_table", lambda: spend(ticket_table(spark, folder)))
+    run("stage_tickets", lambda: catalog.tickets(spark, folder))
     raw = catalog.tickets(spark, folder)
     run("clean", lambda: spend(clean_tickets(raw)))
+    run("stage_clean", lambda: catalog.clean(spark, folder))
     clean = catalog.clean(spark, folder)
     rows = clean.count()
     run("rule_signal", lambda: spend(rule_signal.rule_signal(clean)))
@@ -42,6 +44,8 @@ def main() -> None:
     run("text_signal", lambda: spend(text_signal.semantic_signal(clean)))
     run("fast_audit", lambda: spend(audit_fast(clean)))
     run("full_labeling", lambda: spend(label_tickets(clean)))
+    run("stage_audited", lambda: catalog.audited(spark, folder))
+    run("stage_labeled", lambda: catalog.labeled(spark, folder))
     audited = catalog.audited(spark, folder)
     labeled = catalog.labeled(spark, folder)
     run("evidence", lambda: spend(evidence.evidence_records(audited)))
@@ -51,10 +55,15 @@ def main() -> None:
     run("priority_matrix", lambda: breakdowns.priority_matrix(audited).collect())
     run("hours_box", lambda: breakdowns.hours_box_by(audited, "inferred_severity").collect())
     run("histogram", lambda: profiling.histogram(audited, "resolution_hours", 50).collect())
-    run("describe", lambda: profiling.describe_all(clean.select("priority", "channel", "resolution_hours")).collect())
+    run("describe", lambda: profiling.describe_all(clean).collect())
     run("vocabulary", lambda: spend(vocabulary(clean)))
     run("split", lambda: spend(splitting.stratified_split(labeled.select("ticket_id", "label"))))
 
+    parts = splitting.stratified_split(labeled.drop("rule_features"))
+    fitted = []
+    run("train_text_model", lambda: fitted.append(classify.fit_text_model(parts.where("split = 'train'").drop("split"))))
+    run("audit_with_model", lambda: spend(audit_batch(raw, fitted[0], "baseline").records))
+
     print(
         json.dumps(
             {
@@ -64,7 +73,7 @@ def main() -> None:
                 "queries": took,
                 "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
                 "tickets": rows,
-                "tickets_per_sec": {n: round(rows / took[n]) for n in ("rule_signal", "fast_audit", "full_labeling")},
+                "tickets_per_sec": {n: round(rows / took[n]) for n in ("rule_signal", "fast_audit", "full_labeling", "audit_with_model")},
             }
         )
     )

@@ -17,9 +17,8 @@ def distinct_documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Rows that are equal in id and text become one, which counts ``copies`` times.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.select(document_key(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
-    return keyed.repartition(partitions, "doc").groupBy("doc", "text").agg(F.count(F.lit(1)).alias("copies"))
+    return keyed.repartition("doc").groupBy("doc", "text").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def gram_rows(df: DataFrame, keys: list[str], text_col: str, longest: int, shortest: int = 1) -> DataFrame:
