@@ -7,20 +7,37 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from prioscope.sources.staging import fresh_path
 
 _SCRATCH: list[str] = []
+_COLLECT = False
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 HELD_OUT_PARTS, HELD_OUT_PART = 4, 2
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write a table that several later steps read to the shared folder, and go on from there."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    _SCRATCH.append(path)
-    return df.sparkSession.read.parquet(path)
+def kept(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
+    """Write a table that several later steps read to the shared folder, and go on from there.
 
-
-def release(spark: SparkSession) -> None:
-    """Delete the tables that ``kept`` wrote in this process, once nothing reads them any more."""
+    While it is written, Python workers get ``batch`` rows at a time, few since texts may be long.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    usual = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, usual)
+    if _COLLECT:
+        _SCRATCH.append(path)
+    return spark.read.parquet(path)
+
+
+def release(spark: SparkSession, collect: bool = True) -> None:
+    """Delete the tables kept since the last call with ``collect``; nothing may read them any more.
+
+    Tables are only noted for this while ``collect`` holds, that is within the pipeline.
+    """
+    global _COLLECT
+    _COLLECT = collect
     while _SCRATCH:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
