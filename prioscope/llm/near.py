@@ -8,11 +8,12 @@ cut into bands; texts that share a band are candidates, and a link needs an exac
 their shingle sets of at least the limit. At a similarity of 0.8 a pair is missed by all bands
 with a probability of 3 in a million.
 
-Texts with the same words are one node from the start. In each bucket only the link to its least
-member is tried first; components are found; then only pairs of a bucket that lie in different
-components are tried, so a group of n copies costs about n comparisons. Buckets that are still
-large and mixed are cut by the other bands first, since a pair over the limit also agrees in
-other bands; no candidate is dropped for the size of a bucket.
+Texts with the same words are one node from the start. First every node is
+compared with the centre of one of its buckets and components are found, twice with other centres;
+then only pairs of a bucket that lie in different components are tried, so a group of n copies
+costs about n comparisons. Buckets that are still very large and mixed are cut by the other bands
+first, since a pair over the limit also agrees in other bands; no candidate is dropped for the size
+of a bucket.
 
 Defined results: null texts count as empty; a text without words is a class of its own; a text of
 one to four words is one shingle. A null id counts as the largest. Rows alike in id and text are
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from prioscope.llm.common import by_group, kept, row_key, text_of
 from prioscope.llm.components import components
+from prioscope.llm.filters import bit_filter, passes
 from prioscope.llm.shingles import chunks, distinct_counts, mixed, shingle_hashes, words_of
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -38,8 +40,8 @@ BANDS, BAND_ROWS = 32, 5
 REGISTERS = BANDS * BAND_ROWS
 #: Share of equal registers below which a pair is not verified: 4.7 standard errors under the limit.
 LEAST_ESTIMATE = 0.65
-LARGE_BUCKET, REFINEMENTS = 64, 3
-FILTER_BITS = 26
+STAR_ROUNDS = 2
+LARGE_BUCKET, REFINEMENTS = 4096, 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xD1B54A32D192ED03)
 
@@ -107,14 +109,16 @@ def _numbers(packed: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def _jaccard_of(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sorted sets."""
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+    return both / max(1, len(x) + len(y) - both)
+
+
 @F.pandas_udf(T.DoubleType())
 def _jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
-    found = []
-    for a, b in zip(left, right):
-        x, y = _numbers(a), _numbers(b)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        found.append(both / max(1, len(x) + len(y) - both))
-    return pd.Series(found, dtype="float64")
+    return pd.Series([_jaccard_of(_numbers(a), _numbers(b)) for a, b in zip(left, right)], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -126,29 +130,16 @@ def _agreement(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series((a == b).mean(axis=1))
 
 
-def _filter_slots(keys: DataFrame) -> np.ndarray:
-    """A bit filter of fixed size (8 MB) over row keys, built by Spark; it saves work and decides nothing."""
-    slot = F.pmod(F.xxhash64("key"), F.lit(1 << FILTER_BITS))
-    words = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")
-    )
-    table = words.toPandas()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bits[table["word"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64)
-    return bits
-
-
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, shingles) of the wanted nodes; ``wanted`` has the id and the row key of one text of each."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_slots(wanted))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.xxhash64("key").alias("mark")), "mark"))
 
-    @F.pandas_udf(T.BooleanType())
-    def maybe(slot: pd.Series) -> pd.Series:
-        s = slot.to_numpy(np.int64)
-        return pd.Series((bits.value[s >> 6] >> (s & 63)) & 1 == 1)
+    def chosen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield from _shingle_sets(iter([frame[passes(bits.value, frame["mark"].to_numpy(np.int64))]]))
 
-    texts = docs.select(text_of().alias("text"), row_key().alias("key")).where(maybe(F.pmod(F.xxhash64("key"), F.lit(1 << FILTER_BITS))))
-    sets = texts.mapInPandas(_shingle_sets, "key binary, shingles binary")
+    texts = docs.select(text_of().alias("text"), row_key().alias("key")).withColumn("mark", F.xxhash64("key"))
+    sets = texts.mapInPandas(chosen, "key binary, shingles binary")
     return kept(sets.join(wanted, "key").select("id", "shingles").dropDuplicates(["id"]), "shingles")
 
 
@@ -181,20 +172,21 @@ def near_links(docs: DataFrame, limit: float = SIMILARITY) -> tuple[DataFrame, D
     level = nodes.select("id", F.explode("bands").alias("bucket"))
     sets, labels, links, refined = None, None, None, 0
     while True:
-        sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("centre")).where("size > 1")
+        sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         shared = kept(level.join(sizes, "bucket"), "buckets")
         if sets is None:
             sets = _sets_of(docs, nodes.select("id", "key").join(shared.select("id").distinct(), "id", "left_semi"))
-        stars = shared.where("id <> centre").groupBy("id").agg(F.min("centre").alias("b")).withColumnRenamed("id", "a")
-        if labels is not None:
-            stars = _apart(stars, labels)
-        links = _grown(links, _linked(stars, sets, limit))
-        mixed_ = _mixed_buckets(shared, components(links))
+        mixed_ = shared if labels is None else _mixed_buckets(shared, labels)
+        for turn in range(STAR_ROUNDS):
+            links = _grown(links, _linked(_stars(mixed_, turn), sets, limit))
+            labels = components(links)
+            mixed_ = _mixed_buckets(shared, labels)
         last = refined >= REFINEMENTS
-        small = mixed_ if last else mixed_.where(F.col("size") <= LARGE_BUCKET)
-        links = _grown(links, _linked(_cross_pairs(small, nodes, limit), sets, limit))
-        labels = components(links)
+        links = links.union(_links_in_buckets(mixed_.where(F.col("size") <= LARGE_BUCKET), nodes, sets, limit))
         large = mixed_.where(F.col("size") > LARGE_BUCKET)
+        if last:
+            links = _grown(links, _linked(_cross_pairs(large, nodes, limit), sets, limit))
+        labels = components(links)
         if last or large.isEmpty():
             return rows.select("key", "doc_id", "content", "n"), nodes.select("id", "content"), labels
         refined += 1
@@ -208,6 +200,14 @@ def near_links(docs: DataFrame, limit: float = SIMILARITY) -> tuple[DataFrame, D
         )
 
 
+def _stars(buckets: DataFrame, turn: int) -> DataFrame:
+    """One pair per node: with the centre of one of its buckets, the least node once some bits are flipped, other bits each turn."""
+    flip = F.lit((turn * 0x5DEECE66D) & 0x7FFFFFFF)
+    centres = buckets.groupBy("bucket").agg(F.min(F.col("id").bitwiseXOR(flip)).alias("centre"))
+    apart = buckets.join(centres, "bucket").where(F.col("id").bitwiseXOR(flip) != F.col("centre"))
+    return apart.groupBy("id").agg(F.min("centre").bitwiseXOR(flip).alias("b")).withColumnRenamed("id", "a")
+
+
 def _grown(links: DataFrame | None, more: DataFrame) -> DataFrame:
     more = kept(more, "links")
     return more if links is None else links.union(more)
@@ -218,11 +218,6 @@ def _labelled(rows: DataFrame, labels: DataFrame, node: str, label: str) -> Data
     return rows.join(known, node, "left").withColumn(label, F.coalesce(label, node))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    both = _labelled(_labelled(pairs, labels, "a", "la"), labels, "b", "lb")
-    return both.where("la <> lb").select("a", "b")
-
-
 def _mixed_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (bucket, size, id, label) of buckets that hold more than one component."""
     labelled = kept(_labelled(shared.select("bucket", "size", "id"), labels, "id", "label"), "labelled")
@@ -230,6 +225,44 @@ def _mixed_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(both.select("bucket"), "bucket", "left_semi")
 
 
+def _links_in_buckets(rows: DataFrame, nodes: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
+    """Links between the components of a bucket, as few as connect what is alike.
+
+    A bucket has at most LARGE_BUCKET nodes, so one task can hold their registers and shingles. It
+    compares every pair whose sizes and registers allow a link and whose ends are not yet in one
+    component, and returns the links it finds, not the pairs it tried.
+    """
+    full = rows.select("bucket", "id", "label").join(nodes.select("id", "n", "registers"), "id").join(sets, "id")
+    lists = full.groupBy("bucket").agg(F.collect_list(F.struct("id", "label", "n", "registers", "shingles")).alias("nodes"))
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for members in frame["nodes"]:
+                found = _bucket_links(list(members), limit)
+                if found:
+                    yield pd.DataFrame(found, columns=["a", "b"])
+
+    return kept(lists.select("nodes").mapInPandas(compare, "a long, b long"), "links", batch=4)
+
+
+def _bucket_links(members: list, limit: float) -> list[tuple[int, int]]:
+    """Exact links of one bucket that join components; the surest candidates first."""
+    members.sort(key=lambda m: m["id"])
+    sizes = np.array([m["n"] for m in members])
+    component = np.unique(np.array([m["label"] for m in members]), return_inverse=True)[1]
+    registers = np.frombuffer(b"".join([m["registers"] for m in members]), np.uint8).reshape(len(members), REGISTERS)
+    shingles = [_numbers(m["shingles"]) for m in members]
+    found = []
+    for i in range(len(members) - 1):
+        others = np.flatnonzero((component[i + 1 :] != component[i]) & _alike_in_size(sizes[i + 1 :], sizes[i], limit)) + i + 1
+        agreement = (registers[others] == registers[i]).mean(axis=1)
+        for j in others[np.argsort(-agreement, kind="stable")][: int((agreement >= LEAST_ESTIMATE).sum())].tolist():
+            if component[i] != component[j] and _jaccard_of(shingles[i], shingles[j]) >= limit:
+                found.append((members[i]["id"], members[j]["id"]))
+                component[component == component[j]] = component[i]
+    return found
+
+
 def _cross_pairs(rows: DataFrame, nodes: DataFrame, limit: float) -> DataFrame:
     """Pairs of a bucket in different components whose sizes and registers allow a link."""
     full = kept(rows.select("bucket", "id", "label").join(nodes.select("id", "n", "registers"), "id"), "cross")
