@@ -40,9 +40,9 @@ from prioscope.llm.suffixes import suffix_arrays
 LENGTH, ANCHOR = 100, 50
 SPAN = LENGTH - ANCHOR + 1  # anchors to choose from in a window; also a window's length in symbols
 LARGE = 48
-PIECE = 1 << 20
-FILTER_BITS = 27
-SYMBOLS_AT_ONCE = 1_500_000
+PIECE = 1 << 18
+FILTER_BITS = 26
+SYMBOLS_AT_ONCE = 300_000
 _LAST_ID = 2**63 - 1
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
@@ -69,6 +69,11 @@ class _Hashes:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start])
 
+    def of_all(self, width: int) -> np.ndarray:
+        """32-bit hashes of all substrings of one width, above zero."""
+        n = len(self.sums) - width
+        return (((self.sums[width:] - self.sums[:n]) * self.down[:n] * np.uint64(_BASES[1])) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     """Least or greatest of every ``width`` neighbours, by doubling."""
@@ -79,14 +84,14 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
 
 
-def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Segments of many texts: text number, start, anchor place, number of windows, hash of the anchor and of the segment.
+def segments(texts: list[bytes], whole: bool = True) -> dict[str, np.ndarray]:
+    """Segments of many texts: the anchor's hash; if ``whole``, also text number, start, anchor place, number of windows and own hash.
 
     Texts over ``PIECE`` bytes are cut into pieces that share LENGTH - 1 bytes; that only cuts segments.
     """
     pieces = [(nr, at, t[at : at + PIECE + LENGTH - 1]) for nr, t in enumerate(texts) for at in range(0, max(1, len(t) - LENGTH + 1), PIECE) if len(t) >= LENGTH]
-    names = ("text", "start", "anchor_at", "windows", "anchor", "segment")
-    parts = [_segments(group) for group in _batches(pieces)]
+    names = ("anchor", "text", "start", "anchor_at", "windows", "segment")[: 6 if whole else 1]
+    parts = [_segments(group, whole) for group in _batches(pieces)]
     return {n: np.concatenate([p[n] for p in parts]) if parts else np.zeros(0, np.int64) for n in names}
 
 
@@ -102,38 +107,43 @@ def _batches(pieces: list[tuple[int, int, bytes]]) -> Iterator[list[tuple[int, i
         yield batch
 
 
-def _segments(pieces: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]:
+def _segments(pieces: list[tuple[int, int, bytes]], whole: bool) -> dict[str, np.ndarray]:
+    """Anchors are the leftmost least of every SPAN hashes; a segment runs from the first window with its anchor to the next one's first."""
     buffer = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
     sizes = np.array([len(p[2]) for p in pieces])
     begin = np.cumsum(sizes) - sizes
-    piece = np.repeat(np.arange(len(pieces)), sizes)
-    hashes, others = _Hashes(buffer, _BASES[0]), _Hashes(buffer, _BASES[1])
-    places = np.arange(len(buffer) - ANCHOR + 1)
-    h = hashes.of(places, places + ANCHOR)
+    hashes = _Hashes(buffer, _BASES[0])
+    h = hashes.of_all(ANCHOR)
     least = _slide(h, SPAN, np.minimum)
-    whole = piece[: len(least)] == piece[LENGTH - 1 :]
-    shown = np.concatenate([np.zeros(SPAN - 1, np.uint64), np.where(whole, least, np.uint64(0)), np.zeros(SPAN - 1, np.uint64)])
-    anchors = np.flatnonzero(_slide(shown, SPAN, np.maximum) == h)
-    windows = np.flatnonzero(whole)
-    own = np.searchsorted(anchors, windows)
-    wrong = np.arange(len(windows))
-    while len(wrong):
-        wrong = wrong[h[anchors[own[wrong]]] != least[windows[wrong]]]
-        own[wrong] += 1
-    new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (windows[1:] != windows[:-1] + 1)))
-    first, count = windows[new], np.diff(np.append(new, len(windows)))
-    at = anchors[own[new]]
-    number = piece[first]
-    offset = np.array([p[1] for p in pieces])[number] - begin[number]
-    place = (at - first).astype(np.uint64)
-    return {
-        "text": np.array([p[0] for p in pieces])[number],
-        "start": first + offset,
-        "anchor_at": at + offset,
-        "windows": count,
-        "anchor": h[at].view(np.int64),
-        "segment": mixed(others.of(first, first + count + LENGTH - 1) + place * np.uint64(_BASES[0]) + count.astype(np.uint64)).view(np.int64),
-    }
+    for at in begin[1:].tolist():
+        least[at - LENGTH + 1 : at] = 0  # no window: it would reach into the next text
+    edge = np.zeros(SPAN - 1, np.uint32)
+    anchors = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), SPAN, np.maximum) == h)
+    piece = np.searchsorted(begin, anchors, side="right") - 1
+    starts = np.empty(len(anchors), np.int64)
+    starts[1:] = np.where(h[anchors[1:]] < h[anchors[:-1]], anchors[1:] - SPAN + 1, anchors[:-1] + 1)
+    new = np.append(True, piece[1:] != piece[:-1])
+    starts[new] = begin[piece[new]]
+    ends = np.append(np.where(new, np.iinfo(np.int64).max, starts)[1:], np.iinfo(np.int64).max)
+    ends[np.append(new[1:], True)] = (begin + sizes - LENGTH + 1)[piece[np.append(new[1:], True)]]
+    # An anchor that is never the leftmost least of a window has an empty segment.
+    key = -piece * (len(buffer) + 1)
+    ends = np.minimum.accumulate((ends - key)[::-1])[::-1] + key if len(ends) else ends
+    real = np.flatnonzero(ends > starts)
+    at, first, count, number = anchors[real], starts[real], (ends - starts)[real], piece[real]
+    found = {"anchor": hashes.of(at, at + ANCHOR).view(np.int64)}
+    if whole:
+        offset = np.array([p[1] for p in pieces])[number] - begin[number]
+        place = (at - first).astype(np.uint64)
+        segment = _Hashes(buffer, _BASES[1]).of(first, first + count + LENGTH - 1)
+        found |= {
+            "text": np.array([p[0] for p in pieces])[number],
+            "start": first + offset,
+            "anchor_at": at + offset,
+            "windows": count,
+            "segment": mixed(segment + place * np.uint64(_BASES[0]) + count.astype(np.uint64)).view(np.int64),
+        }
+    return found
 
 
 def _order() -> tuple[Column, Column]:
@@ -145,15 +155,15 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(*_order(), text_of().alias("text"))
 
 
-def _read(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[bytes], dict[str, np.ndarray]]]:
+def _read(frames: Iterator[pd.DataFrame], whole: bool = True) -> Iterator[tuple[pd.DataFrame, list[bytes], dict[str, np.ndarray]]]:
     for frame in frames:
         for part in chunks(frame, "text"):
             texts = [t.encode("utf-8", "surrogatepass") for t in part["text"]]
-            yield part, texts, segments(texts)
+            yield part, texts, segments(texts, whole)
 
 
 def _anchor_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for _, _, found in _read(frames):
+    for _, _, found in _read(frames, False):
         slots, n = np.unique(found["anchor"].astype(np.int64) & 0x7FFFFFFF, return_counts=True)
         yield pd.DataFrame({"slot": slots.astype(np.int32), "n": np.minimum(n, 2).astype(np.int8)})
 
@@ -310,14 +320,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return kept(whole.unionByName(sorted_).unionByName(rest), "spans")
 
 
-def _merged(starts: list[int], lengths: list[int]) -> list[tuple[int, int]]:
-    runs: list[list[int]] = []
-    for start, length in sorted(zip(starts, lengths)):
-        if runs and start <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], start + length)
-        else:
-            runs.append([start, start + length])
-    return [(a, b) for a, b in runs]
+def _merged(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs; a span is its start times 2 ** 32 plus its length."""
+    packed = np.sort(packed)
+    start, end = packed >> 32, (packed >> 32) + (packed & 0xFFFFFFFF)
+    reach = np.maximum.accumulate(end)
+    new = np.append(True, start[1:] > reach[:-1])[: len(start)]
+    return start[new], reach[np.append(new[1:], True)[: len(start)]]
 
 
 _CUT = T.StructType(
@@ -330,10 +339,9 @@ def _cutter(with_bytes: bool):
         rows = []
         for text, found in zip(texts, spans):
             data = text.encode("utf-8", "surrogatepass")
-            runs = _merged([s["start"] for s in found], [s["bytes"] for s in found])
-            ends = [0, *[x for r in runs for x in r], len(data)]
-            rest = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2]))
-            rows.append((sum(b - a for a, b in runs), len(runs), sha256(rest).hexdigest(), rest if with_bytes else None))
+            starts, ends = _merged(np.asarray(found, np.int64))
+            rest = b"".join([data[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(data)])])
+            rows.append((int((ends - starts).sum()), len(starts), sha256(rest).hexdigest(), rest if with_bytes else None))
         return pd.DataFrame(rows, columns=_CUT.names)
 
     return F.pandas_udf(cut, _CUT)
@@ -345,7 +353,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     Only texts that have a span are shuffled to meet it.
     """
     spans = repeated_spans(docs).select(
-        "doc", F.shiftright("place", 32).alias("tie"), F.struct(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"), "bytes").alias("span")
+        "doc", F.shiftright("place", 32).alias("tie"), F.shiftleft(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)), 32).bitwiseOR(F.col("bytes").cast("long")).alias("span")
     ).groupBy("doc", "tie").agg(F.collect_list("span").alias("spans"))
     spans = kept(spans, "spans-by-document")
     mark = F.xxhash64("doc", "tie")
@@ -356,7 +364,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
         return pd.Series(passes(shared.value, slot.to_numpy(np.int64)))
 
     rows = _texts(docs).withColumn("maybe", maybe(slot_of(mark)))
-    nothing = F.array().cast("array<struct<start:int,bytes:int>>")
+    nothing = F.array().cast("array<bigint>")
     cut = rows.where("maybe").join(spans, ["doc", "tie"], "left").withColumn("cut", _cutter(with_bytes)("text", F.coalesce("spans", nothing)))
     size = F.octet_length("text").cast("long").alias("n_bytes")
     touched = cut.select("doc", "tie", size, "cut.n_removed", "cut.n_spans", "cut.kept_sha256", "cut.kept_bytes")
