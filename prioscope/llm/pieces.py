@@ -35,6 +35,8 @@ MARK = "▁"
 FREQUENT = 1 << 18
 LONGEST_UNIT = 64
 _COUNTER_SIZE = 400_000
+SHORT_UNIT = 32
+_NO_PIECE = (float("-inf"), -1)
 
 
 @dataclass
@@ -151,11 +153,16 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
 def merged_cuts() -> Column:
     """Fold a BPE model's merges: from single characters, join the best and leftmost two neighbours that make a piece."""
 
+    def once(value: Column, use) -> Column:
+        """``use`` of a value that is worked out a single time."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def fits(cuts: Column, x: Column) -> Column:
+        return once(F.array_position(cuts, x["s"]).cast("int"), lambda p: (p > 0) & F.coalesce(F.get(cuts, p + 1) == x["e"], F.lit(False)))
+
     def step(cuts: Column, _: Column) -> Column:
-        place = lambda x: F.array_position(cuts, x["s"]).cast("int")
-        fits = F.filter(F.col("edges"), lambda x: (x["e"] - x["s"] > 1) & (place(x) > 0) & F.coalesce(F.get(cuts, place(x) + 1) == x["e"], F.lit(False)))
-        best = F.get(fits, F.lit(0))
-        return F.when(best.isNull(), cuts).otherwise(F.filter(cuts, lambda c: (c <= best["s"]) | (c >= best["e"])))
+        best = F.get(F.filter(F.col("joins"), lambda x: fits(cuts, x)), F.lit(0))
+        return once(best, lambda b: F.when(b.isNull(), cuts).otherwise(F.filter(cuts, lambda c: (c <= b["s"]) | (c >= b["e"]))))
 
     every = F.sequence(F.lit(0), F.col("size"))
     return F.when(F.col("size") == 1, every).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("size") - 1), every, step))
@@ -185,7 +192,7 @@ def encoded_units(units: DataFrame, spark: SparkSession, model: PieceModel) -> D
     """(unit, pieces): each piece is (id, text); the id is null where a character has no piece."""
     edges = lattice(units, piece_table(spark, model), model.longest)
     cuts = merged_cuts() if model.merges else viterbi_cuts(_unknown_cost(model))
-    folded = edges.withColumn("cuts", cuts)
+    folded = edges.withColumn("joins", F.filter("edges", lambda x: x["e"] - x["s"] > 1)).withColumn("cuts", cuts)
 
     def piece(k: Column) -> Column:
         a, b = F.get(F.col("cuts"), k), F.get(F.col("cuts"), k + 1)
@@ -200,7 +207,26 @@ def _unknown_cost(model: PieceModel) -> float:
 
 
 def merge_ids(unit: str, model: PieceModel) -> list[int]:
-    """Ids of one unit of a BPE model, in time n log n."""
+    """Ids of one unit of a BPE model: a short one by looking at all neighbours each time, a long one in time n log n."""
+    if len(unit) > SHORT_UNIT:
+        return _merge_long(unit, model)
+    known, parts = model.scores.get, list(unit)
+    costs = [known(a + b, _NO_PIECE)[0] for a, b in zip(parts, parts[1:])]
+    while costs:
+        best = max(costs)
+        if best == _NO_PIECE[0]:
+            break
+        i = costs.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del costs[i]
+        if i < len(costs):
+            costs[i] = known(parts[i] + parts[i + 1], _NO_PIECE)[0]
+        if i:
+            costs[i - 1] = known(parts[i - 1] + parts[i], _NO_PIECE)[0]
+    return [x for p in parts for x in ([model.scores[p][1]] if p in model.scores else model.spelled(p))]
+
+
+def _merge_long(unit: str, model: PieceModel) -> list[int]:
     parts: list[str | None] = list(unit)
     left, right = list(range(-1, len(unit) - 1)), list(range(1, len(unit) + 1))
     heap: list[tuple[float, int, str]] = []
@@ -250,13 +276,19 @@ def dictionary(docs: DataFrame, model: PieceModel, shared, most: int = FREQUENT)
     """Ids (packed as 32-bit numbers) of the most frequent units, from the lattice."""
     counts = unit_counts(docs, shared).where(F.length("unit") <= LONGEST_UNIT)
     frequent = counts.orderBy(F.desc("n"), "unit").limit(most).select("unit")
-    spread = frequent.repartition("unit")
-    rows = encoded_units(spread, docs.sparkSession, model).select("unit", "pieces.id", "pieces.text").toPandas()
-    found = {}
-    for unit, ids, texts in zip(rows["unit"], rows["id"], rows["text"]):
-        flat = [x for i, t in zip(ids, texts) for x in ([int(i)] if i is not None and i == i else model.spelled(t))]
-        found[unit] = np.array(flat, np.int32).tobytes()
-    return found
+    spread = frequent.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit")
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            flat = [
+                [x for i, t in zip(ids, texts) for x in ([int(i)] if i is not None and i == i else shared.value.spelled(t))]
+                for ids, texts in zip(frame["id"], frame["text"])
+            ]
+            yield pd.DataFrame({"unit": frame["unit"], "ids": [np.array(x, np.int32).tobytes() for x in flat]})
+
+    encoded = encoded_units(spread, docs.sparkSession, model).select("unit", "pieces.id", "pieces.text")
+    rows = encoded.mapInPandas(pack, "unit string, ids binary").toPandas()
+    return dict(zip(rows["unit"], rows["ids"]))
 
 
 def encode(docs: DataFrame, model: PieceModel, most: int = FREQUENT) -> DataFrame:
@@ -270,18 +302,24 @@ def encode(docs: DataFrame, model: PieceModel, most: int = FREQUENT) -> DataFram
         rest: dict[str, bytes] = {}
         rule = merge_ids if model.merges else viterbi_ids
 
-        def unit_ids(unit: str) -> bytes:
-            packed = table.get(unit) or rest.get(unit)
+        def tail(unit: str) -> bytes:
+            packed = rest.get(unit)
             if packed is None:
-                if len(rest) > 100_000:
+                if len(rest) > 200_000:
                     rest.clear()
                 packed = rest[unit] = np.array(rule(unit, model), np.int32).tobytes()
             return packed
 
+        def packed_ids(units: list[str]) -> bytes:
+            found = list(map(table.get, units))
+            if None in found:
+                found = [f if f is not None else tail(u) for f, u in zip(found, units)]
+            return b"".join(found)
+
         for frame in frames:
             for start in range(0, len(frame), 500):
                 part = frame.iloc[start : start + 500]
-                ids = [np.frombuffer(b"".join(map(unit_ids, model.units(model.marked(t)))), np.int32) for t in part["text"]]
+                ids = [np.frombuffer(packed_ids(model.units(model.marked(t))), np.int32) for t in part["text"]]
                 same = [model.decode(i.tolist()) == t.replace(MARK, " ") for i, t in zip(ids, part["text"])]
                 yield pd.DataFrame({"doc_id": part["doc_id"].values, "ids": ids, "round_trip": same})
 
