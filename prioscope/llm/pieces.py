@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from prioscope.llm.common import text_of
+from prioscope.llm.common import kept, text_of
 
 MARK = "▁"
 FREQUENT = 1 << 18
@@ -272,10 +272,23 @@ def viterbi_ids(unit: str, model: PieceModel) -> list[int]:
     return [x for part in reversed(ids) for x in part]
 
 
+def frequent_units(counts: DataFrame, most: int) -> DataFrame:
+    """Units above a count that at most ``most`` of them reach; no sort, and only a thousand numbers reach the driver."""
+    stored = kept(counts, "unit-counts")
+    step = F.floor(F.log2("n") * 16)
+    rows = stored.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("units"), F.min("n").alias("least")).collect()
+    least, total = None, 0
+    for r in sorted(rows, key=lambda r: -r["step"]):
+        total += r["units"]
+        if total > most:
+            break
+        least = r["least"]
+    return stored.where(F.lit(False) if least is None else F.col("n") >= least).select("unit")
+
+
 def dictionary(docs: DataFrame, model: PieceModel, shared, most: int = FREQUENT) -> dict[str, bytes]:
     """Ids (packed as 32-bit numbers) of the most frequent units, from the lattice."""
-    counts = unit_counts(docs, shared).where(F.length("unit") <= LONGEST_UNIT)
-    frequent = counts.orderBy(F.desc("n"), "unit").limit(most).select("unit")
+    frequent = frequent_units(unit_counts(docs, shared).where(F.length("unit") <= LONGEST_UNIT), most)
     spread = frequent.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit")
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
