@@ -28,7 +28,8 @@ def test_word_vectors_equal_a_plain_sum(spark):
 def test_pooling_and_empty_texts():
     vectors, share = np.ones((1 << 16, WIDTH), np.float32), np.zeros(1 << 16)
     x = pooled(["", "one two", "   "], vectors, share)
-    assert not x[0].any() and not x[2].any() and np.allclose(x[1][:WIDTH], 1) and np.allclose(x[1][WIDTH:], 0)
+    assert not x[0].any() and not x[2].any() and np.allclose(x[1][:WIDTH], 1) and np.allclose(x[1][WIDTH : 2 * WIDTH], 0)
+    assert np.allclose(x[1][2 * WIDTH :], 0.5)
 
 
 def test_temperature_calibrates():
