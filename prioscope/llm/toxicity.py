@@ -3,15 +3,16 @@
 A document is a bag of sentences, and only documents have labels. A sentence's probability is a
 logistic function of its words and word beginnings; a document's is the noisy-or of its
 sentences', 1 - prod(1 - p). The weights are fitted to document labels, so the sentences that
-make a document toxic are found without having been labelled.
+make a document toxic are found without having been labelled. The fit gives every sentence the
+bias; in scoring a sentence has only what its features add to that, so sentences that show
+nothing cannot add up to a toxic document, however many there are.
 
 Features are hashed. Spark counts in how many toxic and other documents of the labelled sample
 each occurs; those that tell the two apart are kept, and the sample (at most ``TRAIN_ROWS``
 documents, whole texts) is reduced to the sentences that have any. Scoring is one pass without a
 shuffle over all documents.
 
-Defined results: null and empty texts are one empty sentence and get the score of a sentence
-without features. Without labelled documents of both
+Defined results: null and empty texts are one empty sentence and score 0. Without labelled documents of both
 kinds nothing can be told and every score is 0. Repeated rows get the
 same score. Labels, language, source and id are not inputs. Extra columns are ignored by
 ``score`` and returned by ``clean_rows``.
@@ -167,11 +168,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
 
 def _judge(model: Model, text: str, cache: dict[str, tuple[int, ...]]) -> tuple[float, list[tuple[int, float]]]:
     """The document's probability and those of its sentences that have features."""
-    n, found = active(text, model.weights, cache)
-    own = [(nr, 1 / (1 + np.exp(-min(30.0, max(-30.0, model.bias + sum(model.weights[f] for f in s)))))) for nr, s in found]
-    bare = float(np.exp(model.bias)) / (1 + float(np.exp(model.bias)))
-    none = (n - len(own)) * np.log1p(-bare) + sum(np.log1p(-min(p, 1 - 1e-12)) for _, p in own)
-    return float(-np.expm1(none)), own
+    bare = 1 / (1 + np.exp(-model.bias))
+    own = []
+    for nr, features in active(text, model.weights, cache)[1]:
+        p = 1 / (1 + np.exp(-min(30.0, max(-30.0, model.bias + sum(model.weights[f] for f in sorted(features))))))
+        own.append((nr, max(0.0, float((p - bare) / (1 - bare)))))
+    return float(abs(np.expm1(sum(np.log1p(-min(p, 1 - 1e-12)) for _, p in own)))), own
 
 
 def _scorer(docs: DataFrame, model: Model):

@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 
-from prioscope.llm.toxicity import Model, clean_rows, fit, fit_noisy_or, locate, score, sentences
+from prioscope.llm.toxicity import Model, _judge, buckets_of, clean_rows, fit, fit_noisy_or, locate, score, sentences
 
 
 def made_up(spark, n=600):
@@ -61,3 +61,19 @@ def test_tricky_rows(spark, tricky, nothing):
     assert kept.columns == tricky.columns and kept.count() == tricky.count()
     assert {r.score for r in score(tricky, fit(tricky, labels.where("false"))).collect()} <= {r.score for r in score(tricky, Model()).collect()}
     assert max(r.score for r in score(tricky, Model()).collect()) < 1e-9
+
+
+def test_length_alone_is_not_toxic(spark):
+    docs, labels = made_up(spark)
+    model = fit(docs, labels)
+    plain = "".join(f"word{i % 200} word{i % 7} and so on. " for i in range(10_000))
+    rows = [(1, plain), (2, "nothing. " * 10_000), (3, plain + "you grobian."), (4, None)]
+    found = {r.doc_id: r for r in score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert found[1].score < 0.01 and found[2].score == 0 and found[4].score == 0 and found[3].predicted == 1
+
+
+def test_sentences_with_harmless_features_add_nothing():
+    model = Model({buckets_of("calm")[0]: -2.0, buckets_of("plain")[0]: 0.0, buckets_of("lump")[0]: 8.0}, -5.0)
+    text = "all calm. a plain word. " * 5000
+    assert _judge(model, text, {})[0] == 0 and _judge(model, text + "lump.", {})[0] > 0.9
+    assert len(_judge(model, text, {})[1]) == 10_000
