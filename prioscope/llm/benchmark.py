@@ -5,16 +5,17 @@ weight of the term in the item as a share of the item's score against itself, so
 serves all items. Every document is cut into passages that overlap by half and are long enough
 to hold any item whole, and every passage queries the index by block-max WAND: sums of the
 largest impacts per block of items rule out nearly all passages, the rest walk the posting lists
-with a pivot, and every item over the threshold is retrieved. An item counts only if the passage
-holds enough of the five-word shingles of its question and of its answer.
+with a pivot, and every item over the threshold is retrieved. An item with a question and an
+answer counts only if the passage holds enough of the five-word shingles of both; an item given as
+one text counts if the passage holds enough of all its shingles, wherever they are in it.
 
 The index is split by item into shards of a bounded number of postings; each shard is broadcast
 in a pass of its own, so a driver or task never holds more than one bounded shard.
 
 Defined results: null texts count as empty; items without words match nothing; repeated items
-match each on their own; an empty benchmark leaves every document clean. An item given as one
-text has its last sentence as the answer (the last fifth of the words, if there is one sentence
-only). Extra columns are ignored.
+match each on their own; an empty benchmark leaves every document clean. For an item given as one
+text the columns of ``item_words`` show its last sentence as the answer (the last fifth of the
+words, if there is one sentence only); no verdict depends on that. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ WIDTH = 5
 SCORE_SHARE = 0.5
 #: Shares of the five-word shingles of the question and of the answer that a passage must hold.
 QUESTION_SHARE, ANSWER_SHARE = 0.5, 0.5
+#: Share of all its shingles that a passage must hold of an item that is given as one text.
+WHOLE_SHARE = 0.5
 LEAST_PASSAGE = 64
 #: A shard's items are cut into at most so many blocks, and a shard has about so many postings.
 MAX_BLOCKS = 128
@@ -62,19 +65,19 @@ def _shingles(words: list[str]) -> list[tuple[str, ...]]:
 
 
 def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(nr, item_id, question, answer) as word lists; uses the columns question and answer if there are any."""
+    """(nr, item_id, question, answer, whole): word lists, from the columns question and answer if there are any, else of one text (whole)."""
     two = {"question", "answer"} <= set(items.columns)
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             pairs = [(words_of(q), words_of(a)) for q, a in zip(frame["q"], frame["a"])] if two else [split_item(q) for q in frame["q"]]
-            yield pd.DataFrame({"nr": frame["nr"], "item_id": frame["item_id"], "question": [p[0] for p in pairs], "answer": [p[1] for p in pairs]})
+            yield pd.DataFrame({"nr": frame["nr"], "item_id": frame["item_id"], "question": [p[0] for p in pairs], "answer": [p[1] for p in pairs], "whole": not two})
 
     given = items.select(
         F.monotonically_increasing_id().alias("nr"), F.col(id_col).cast("long").alias("item_id"),
         text_of("question" if two else text_col).alias("q"), (text_of("answer") if two else F.lit("")).alias("a"),
     )
-    return kept(given.mapInPandas(split, "nr long, item_id long, question array<string>, answer array<string>").where("size(question) + size(answer) > 0"), "items")
+    return kept(given.mapInPandas(split, "nr long, item_id long, question array<string>, answer array<string>, whole boolean").where("size(question) + size(answer) > 0"), "items")
 
 
 def postings(items: DataFrame) -> DataFrame:
@@ -94,12 +97,21 @@ def postings(items: DataFrame) -> DataFrame:
     return found.withColumn("shard", F.pmod(F.xxhash64("nr"), F.lit(shards)))
 
 
+def _parts(question: list[str], answer: list[str], one: bool) -> list[tuple[frozenset, float]]:
+    """Sets of shingles of an item, and the share that a passage must hold of each."""
+    whole = frozenset(_shingles(question + answer))
+    if one:
+        return [(whole, WHOLE_SHARE)]
+    early = frozenset(_shingles(question) if len(question) >= WIDTH else [])
+    return [(early, QUESTION_SHARE), (whole - early, ANSWER_SHARE)]
+
+
 @dataclass
 class Shard:
     """One bounded part of the index, as tasks use it."""
 
     ids: list[int | None]
-    parts: list[tuple[frozenset, frozenset]]
+    parts: list[list[tuple[frozenset, float]]]
     terms: dict[str, int]
     lists: list[tuple[list[int], list[float], float, dict[int, float]]]
     block_max: np.ndarray
@@ -110,11 +122,7 @@ class Shard:
 def _shard(items: pd.DataFrame, rows: pd.DataFrame, passage: int) -> Shard:
     items = items.sort_values("nr").reset_index(drop=True)
     place = {nr: i for i, nr in enumerate(items["nr"])}
-    parts = []
-    for q, a in zip(items["question"], items["answer"]):
-        question, whole = list(q), list(q) + list(a)
-        early = _shingles(question) if len(question) >= WIDTH else []
-        parts.append((frozenset(early), frozenset(_shingles(whole)) - frozenset(early)))
+    parts = [_parts(list(q), list(a), one) for q, a, one in zip(items["question"], items["answer"], items["whole"])]
     terms: dict[str, int] = {}
     lists = []
     block = max(1, math.ceil(len(items) / MAX_BLOCKS))
@@ -167,11 +175,10 @@ def wand(query: list[int], shard: Shard) -> list[tuple[int, float]]:
 
 
 def _verified(words: list[str], item: int, shard: Shard) -> bool:
-    early, late = shard.parts[item]
     have = set(_shingles(words))
-    if any(len(x) < WIDTH for x in late):  # an item of fewer than five words
-        have |= {tuple(words[i : i + len(x)]) for x in late for i in range(len(words))}
-    return len(early & have) >= QUESTION_SHARE * len(early) and len(late & have) >= ANSWER_SHARE * len(late)
+    short = [x for part, _ in shard.parts[item] for x in part if len(x) < WIDTH]  # an item of fewer than five words
+    have |= {tuple(words[i : i + len(x)]) for x in short for i in range(len(words))}
+    return all(len(part & have) >= share * len(part) for part, share in shard.parts[item])
 
 
 def _passages(texts: list[str], shard: Shard) -> Iterator[tuple[int, int, float]]:

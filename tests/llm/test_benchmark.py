@@ -60,3 +60,14 @@ def test_small_shards_give_the_same(spark, folder, monkeypatch):
     monkeypatch.setattr(benchmark, "MAX_POSTINGS", max(1, postings(item_words(bench)).count() // 2))
     assert sorted(contamination(docs, bench).collect(), key=str) == whole
     assert any(r.contaminated for r in whole)
+
+
+def test_an_edit_at_any_place_is_found(spark):
+    """One text per item; its last sentence is one word, which must not decide."""
+    head = [f"w{i}" for i in range(17)]
+    bench = spark.createDataFrame([(7, " ".join(head) + ". End."), (8, " ".join(f"v{i}" for i in range(14)))], "item_id long, text string")
+    rows = [(k, " ".join([*head[:k], "other", *head[k + 1 :], "end"])) for k in range(17)]
+    rows += [(17, " ".join(head)), (18, " ".join(head) + " start"), (19, " ".join(head[:11]) + " rest"), (20, " ".join(head[:5]) + " end"), (21, " ".join(["x"] * 20 + ["end"]))]
+    rows += [(30 + k, " ".join("other" if i == k else f"v{i}" for i in range(14))) for k in range(14)]
+    found = {r.doc_id: r.item_ids for r in contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert found == {**{k: [7] for k in range(20)}, 20: [], 21: [], **{30 + k: [8] for k in range(14)}}
