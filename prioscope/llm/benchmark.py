@@ -1,9 +1,11 @@
 """Benchmark decontamination with a BM25 index of the test items (operator 4).
 
 Spark builds an inverted index of the items: (term, item, impact), where the impact is the BM25
-weight of the term in the item as a share of the item's score against itself, so one threshold
-serves all items. Every document is cut into passages that overlap by half and are long enough
-to hold any item whole, and every passage queries the index by block-max WAND: sums of the
+weight of the term in the item as a share of the least score that a passage can have which holds
+enough of the item's shingles, so one threshold serves all items and loses nothing that would
+count. Every document is cut into passages that overlap by half and are long enough
+to hold any item whole, and every passage that has a shingle of some item at all queries the index
+by block-max WAND: sums of the
 largest impacts per block of items rule out nearly all passages, the rest walk the posting lists
 with a pivot, and every item over the threshold is retrieved. An item with a question and an
 answer counts only if the passage holds enough of the five-word shingles of both; an item given as
@@ -31,12 +33,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from prioscope.llm.common import free_name, kept, row_key, text_of
-from prioscope.llm.shingles import chunks, words_of
+from prioscope.llm.shingles import chunks, mixed, words_of
 
 K1, B = 1.2, 0.75
 WIDTH = 5
-#: A passage must reach this share of an item's own BM25 score to be verified.
-SCORE_SHARE = 0.5
+#: A passage must reach this share of the least score that verification can accept for an item.
+SCORE_SHARE = 1.0
 #: Shares of the five-word shingles of the question and of the answer that a passage must hold.
 QUESTION_SHARE, ANSWER_SHARE = 0.5, 0.5
 #: Share of all its shingles that a passage must hold of an item that is given as one text.
@@ -65,23 +67,36 @@ def _shingles(words: list[str]) -> list[tuple[str, ...]]:
 
 
 def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(nr, item_id, question, answer, whole): word lists, from the columns question and answer if there are any, else of one text (whole)."""
+    """(nr, item_id, question, answer, whole, covered): word lists, from the columns question and answer if there are any, else of one text (whole).
+
+    ``covered`` is how many words of the item a passage holds at least, counted by place, if it holds enough of its shingles.
+    """
     two = {"question", "answer"} <= set(items.columns)
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             pairs = [(words_of(q), words_of(a)) for q, a in zip(frame["q"], frame["a"])] if two else [split_item(q) for q in frame["q"]]
-            yield pd.DataFrame({"nr": frame["nr"], "item_id": frame["item_id"], "question": [p[0] for p in pairs], "answer": [p[1] for p in pairs], "whole": not two})
+            yield pd.DataFrame(
+                {
+                    "nr": frame["nr"], "item_id": frame["item_id"], "question": [p[0] for p in pairs], "answer": [p[1] for p in pairs],
+                    "whole": not two, "covered": [_covered(*p, not two) for p in pairs],
+                }
+            )
 
     given = items.select(
         F.monotonically_increasing_id().alias("nr"), F.col(id_col).cast("long").alias("item_id"),
         text_of("question" if two else text_col).alias("q"), (text_of("answer") if two else F.lit("")).alias("a"),
     )
-    return kept(given.mapInPandas(split, "nr long, item_id long, question array<string>, answer array<string>, whole boolean").where("size(question) + size(answer) > 0"), "items")
+    shape = "nr long, item_id long, question array<string>, answer array<string>, whole boolean, covered int"
+    return kept(given.mapInPandas(split, shape).where("size(question) + size(answer) > 0"), "items")
 
 
 def postings(items: DataFrame) -> DataFrame:
-    """(shard, nr, term, impact): BM25 impacts divided by the item's score against itself."""
+    """(shard, nr, term, impact, least): BM25 impacts divided by the least score of a passage that counts.
+
+    ``least`` is that score as a share of the item's score against itself: such a passage holds ``covered``
+    words of the item, so it scores no less than the ``covered`` lightest ones, a term's impact dealt to its occurrences.
+    """
     terms = items.select("nr", F.explode(F.concat("question", "answer")).alias("term"))
     tf = terms.groupBy("nr", "term").agg(F.count(F.lit(1)).alias("tf"))
     length = items.select("nr", (F.size("question") + F.size("answer")).alias("length"))
@@ -90,9 +105,11 @@ def postings(items: DataFrame) -> DataFrame:
     weight = F.log(1 + (F.col("items") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (
         F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
     )
-    weighted = tf.join(df, "term").join(length, "nr").crossJoin(F.broadcast(whole)).select("nr", "term", weight.alias("weight"))
+    weighted = tf.join(df, "term").join(length, "nr").crossJoin(F.broadcast(whole)).select("nr", "term", "tf", weight.alias("weight"))
     found = weighted.withColumn("impact", F.col("weight") / F.sum("weight").over(Window.partitionBy("nr"))).drop("weight")
-    found = kept(found, "postings")
+    lightest = found.groupBy("nr").agg(F.sort_array(F.flatten(F.collect_list(F.expr("array_repeat(impact / tf, int(tf))")))).alias("each"))
+    least = lightest.join(items, "nr").select("nr", F.expr("aggregate(slice(each, 1, covered), 0D, (a, x) -> a + x)").alias("least"))
+    found = kept(found.join(least, "nr").select("nr", "term", (F.col("impact") / F.col("least")).alias("impact"), "least"), "postings")
     shards = max(1, math.ceil(found.count() / MAX_POSTINGS))
     return found.withColumn("shard", F.pmod(F.xxhash64("nr"), F.lit(shards)))
 
@@ -106,6 +123,13 @@ def _parts(question: list[str], answer: list[str], one: bool) -> list[tuple[froz
     return [(early, QUESTION_SHARE), (whole - early, ANSWER_SHARE)]
 
 
+def _covered(question: list[str], answer: list[str], one: bool) -> int:
+    """So many shingles begin at as many places, and the last of them goes on to its end."""
+    length = len(question) + len(answer)
+    needed = sum(math.ceil(share * len(part)) for part, share in _parts(question, answer, one))
+    return min(length, needed + min(WIDTH, length) - 1)
+
+
 @dataclass
 class Shard:
     """One bounded part of the index, as tasks use it."""
@@ -117,6 +141,17 @@ class Shard:
     block_max: np.ndarray
     passage: int
     block: int
+    least: list[float]
+    runs: dict[int, np.ndarray]
+
+
+def _runs(term: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` term numbers that begin at each place."""
+    n = max(0, len(term) - width + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(width):
+        h = mixed(h * np.uint64(31) + term[j : j + n].astype(np.uint64) + np.uint64(1))
+    return h
 
 
 def _shard(items: pd.DataFrame, rows: pd.DataFrame, passage: int) -> Shard:
@@ -136,7 +171,13 @@ def _shard(items: pd.DataFrame, rows: pd.DataFrame, passage: int) -> Shard:
             block_max[len(terms), k] = x
         terms[term] = len(terms)
         lists.append(([i for i, _ in pairs], [x for _, x in pairs], max(x for _, x in pairs), blocks))
-    return Shard(list(items["item_id"]), parts, terms, lists, block_max, passage, block)
+    runs: dict[int, list[np.ndarray]] = {}
+    for q, a in zip(items["question"], items["answer"]):
+        own = np.array([terms[w] for w in [*q, *a]], np.int64)
+        runs.setdefault(min(WIDTH, len(own)), []).append(_runs(own, min(WIDTH, len(own))))
+    by_nr = dict(zip(rows["nr"], rows["least"]))
+    least = [float(by_nr[nr]) for nr in items["nr"]]
+    return Shard(list(items["item_id"]), parts, terms, lists, block_max, passage, block, least, {k: np.unique(np.concatenate(x)) for k, x in runs.items()})
 
 
 def wand(query: list[int], shard: Shard) -> list[tuple[int, float]]:
@@ -192,7 +233,19 @@ def _passages(texts: list[str], shard: Shard) -> Iterator[tuple[int, int, float]
     sizes = np.array([len(w) for w in words])
     inside = np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     piece = np.repeat(first[:-1], sizes) + inside // half
-    known = term >= 0
+    # A passage that has no run of words of any item cannot count; its runs begin in its two pieces.
+    begins = np.zeros(first[-1] + 1, bool)
+    begins[first] = True
+    marked = np.zeros(first[-1] + 1, bool)
+    text = np.repeat(np.arange(len(words)), sizes)
+    for width, wanted in shard.runs.items():
+        run = _runs(term, width)
+        at = np.flatnonzero((term[: len(run)] >= 0) & (text[: len(run)] == text[width - 1 :]))
+        marked[piece[at[np.isin(run[at], wanted)]]] = True
+    open_ = marked[:-1] | (~begins[1:] & marked[1:])
+    used = np.append(open_, False)
+    used[1:] |= open_ & ~begins[1:]
+    known = (term >= 0) & used[piece]
     pairs = np.unique(piece[known] * len(shard.terms) + term[known])
     piece, term = np.divmod(pairs, max(1, len(shard.terms)))
     if not len(pairs):
@@ -201,18 +254,16 @@ def _passages(texts: list[str], shard: Shard) -> Iterator[tuple[int, int, float]
     bound = np.zeros((first[-1] + 1, shard.block_max.shape[1]), np.float32)
     bound[piece[starts]] = np.add.reduceat(shard.block_max[term], starts, axis=0)
     # A passage is a piece and the next one; a piece that begins a text is not a passage's end.
-    begins = np.zeros(first[-1] + 1, bool)
-    begins[first] = True
     two = bound[:-1] + np.where(begins[1:, None], 0, bound[1:])
     at = np.searchsorted(piece, np.arange(first[-1] + 2))
-    for p in np.flatnonzero(two.max(axis=1) >= SCORE_SHARE - 1e-4):
+    for p in np.flatnonzero(open_ & (two.max(axis=1) >= SCORE_SHARE - 1e-4)):
         end = p + 1 if begins[p + 1] else p + 2
         query = sorted(set(term[at[p] : at[end]].tolist()))
         nr = int(np.searchsorted(first, p, side="right")) - 1
         offset = (int(p) - int(first[nr])) * half
         for item, score in wand(query, shard):
             if _verified(words[nr][offset : offset + shard.passage], item, shard):
-                yield nr, item, score
+                yield nr, item, score * shard.least[item]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

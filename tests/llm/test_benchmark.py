@@ -71,3 +71,26 @@ def test_an_edit_at_any_place_is_found(spark):
     rows += [(30 + k, " ".join("other" if i == k else f"v{i}" for i in range(14))) for k in range(14)]
     found = {r.doc_id: r.item_ids for r in contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert found == {**{k: [7] for k in range(20)}, 20: [], 21: [], **{30 + k: [8] for k in range(14)}}
+
+
+def test_retrieval_reaches_whatever_counts(spark, folder):
+    """For every item the parts that hold just enough shingles: the least, the last and the lightest words of it."""
+    bench = spark.read.parquet(f"{folder}/benchmark.parquet")
+    rows, want = [], {}
+    for item in bench.collect():
+        words = words_of(item.text)
+        some = -(-len({tuple(words[i : i + 5]) for i in range(len(words) - 4)}) // 2) + 4
+        for start in range(len(words) - some + 1):
+            part = words[start : start + some]
+            if len({tuple(part[i : i + 5]) for i in range(some - 4)}) == some - 4:
+                want[len(rows)] = item.item_id
+                rows.append((len(rows), "aa bb cc dd " * start + " ".join(part) + " ee ff" * 50))
+    found = {r.doc_id: r.item_ids for r in contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert len(want) > 300 and [k for k, v in want.items() if v not in found[k]] == []
+
+
+def test_short_items(spark):
+    bench = spark.createDataFrame([(1, "red"), (2, "blue sky"), (3, "one two three four five")], "item_id long, text string")
+    rows = [(1, "a red car"), (2, "the sky blue"), (3, "a blue sky " * 100), (4, "x " * 63 + "one two three four five"), (5, "one two three four six")]
+    found = {r.doc_id: r.item_ids for r in contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert found == {1: [1], 2: [], 3: [2], 4: [3], 5: []}
