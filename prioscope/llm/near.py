@@ -1,12 +1,13 @@
 """Near duplicates by ProbMinHash, banding and exact verification (operator 8).
 
-Texts are five-word shingles of lower-cased words, weighted by 1 + ln(occurrences). Each
-shingle is a Poisson process whose rate is its weight; every arrival falls into one of the
-registers, which keep the earliest, and a text stops as soon as no later arrival can win. The
-share of equal registers estimates the probability Jaccard of two weighted texts. Registers are
-cut into bands; texts that share a band are candidates, and a link needs an exact Jaccard of
-their shingle sets of at least the limit. At a similarity of 0.8 a pair is missed by all bands
-with a probability of 3 in a million.
+Texts are sets of five-word shingles of lower-cased words. Each shingle is a Poisson process
+whose rate is its weight; every arrival falls into one of the registers, which keep the
+earliest, and a text stops as soon as no later arrival can win. The share of equal registers
+estimates the probability Jaccard of two weighted texts. A link is defined on plain sets, so all
+weights are equal here and the probability Jaccard is that of the sets. Registers are cut into
+bands; texts that share a band are candidates, and a link needs an exact Jaccard of their
+shingle sets of at least the limit. At a similarity of 0.8 a pair is missed by all bands with a
+probability of 3 in a million. Registers only order the candidates of a bucket; none is left out for them.
 
 Texts with the same words are one node from the start. First every node is
 compared with the centre of one of its buckets and components are found, twice with other centres;
@@ -38,8 +39,6 @@ from prioscope.llm.shingles import chunks, distinct_counts, mixed, shingle_hashe
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 32, 5
 REGISTERS = BANDS * BAND_ROWS
-#: Share of equal registers below which a pair is not verified: 4.7 standard errors under the limit.
-LEAST_ESTIMATE = 0.65
 STAR_ROUNDS = 2
 LARGE_BUCKET, REFINEMENTS = 4096, 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -74,8 +73,8 @@ def _sketches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for part in chunks(frame, "text"):
             lists = [words_of(t) for t in part["text"]]
-            text, h, n = distinct_counts(*shingle_hashes(lists, WIDTH))
-            winner = prob_minhash(text, h, 1 + np.log(n), len(lists))
+            text, h, _ = distinct_counts(*shingle_hashes(lists, WIDTH))
+            winner = prob_minhash(text, h, np.ones(len(h)), len(lists))
             band = np.zeros((len(lists), BANDS), np.uint64)
             for j in range(BAND_ROWS):
                 band = mixed(band * np.uint64(31) + winner[:, j::BAND_ROWS] + _STEP)
@@ -121,15 +120,6 @@ def _jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([_jaccard_of(_numbers(a), _numbers(b)) for a, b in zip(left, right)], dtype="float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def _agreement(left: pd.Series, right: pd.Series) -> pd.Series:
-    if not len(left):
-        return pd.Series([], dtype="float64")
-    a = np.frombuffer(b"".join(left), np.uint8).reshape(len(left), -1)
-    b = np.frombuffer(b"".join(right), np.uint8).reshape(len(right), -1)
-    return pd.Series((a == b).mean(axis=1))
-
-
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, shingles) of the wanted nodes; ``wanted`` has the id and the row key of one text of each."""
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.xxhash64("key").alias("mark")), "mark"))
@@ -229,8 +219,8 @@ def _links_in_buckets(rows: DataFrame, nodes: DataFrame, sets: DataFrame, limit:
     """Links between the components of a bucket, as few as connect what is alike.
 
     A bucket has at most LARGE_BUCKET nodes, so one task can hold their registers and shingles. It
-    compares every pair whose sizes and registers allow a link and whose ends are not yet in one
-    component, and returns the links it finds, not the pairs it tried.
+    compares every pair whose sizes allow a link and whose ends are not yet in one component,
+    and returns the links it finds, not the pairs it tried.
     """
     full = rows.select("bucket", "id", "label").join(nodes.select("id", "n", "registers"), "id").join(sets, "id")
     lists = full.groupBy("bucket").agg(F.collect_list(F.struct("id", "label", "n", "registers", "shingles")).alias("nodes"))
@@ -256,7 +246,7 @@ def _bucket_links(members: list, limit: float) -> list[tuple[int, int]]:
     for i in range(len(members) - 1):
         others = np.flatnonzero((component[i + 1 :] != component[i]) & _alike_in_size(sizes[i + 1 :], sizes[i], limit)) + i + 1
         agreement = (registers[others] == registers[i]).mean(axis=1)
-        for j in others[np.argsort(-agreement, kind="stable")][: int((agreement >= LEAST_ESTIMATE).sum())].tolist():
+        for j in others[np.argsort(-agreement, kind="stable")].tolist():
             if component[i] != component[j] and _jaccard_of(shingles[i], shingles[j]) >= limit:
                 found.append((members[i]["id"], members[j]["id"]))
                 component[component == component[j]] = component[i]
@@ -264,12 +254,12 @@ def _bucket_links(members: list, limit: float) -> list[tuple[int, int]]:
 
 
 def _cross_pairs(rows: DataFrame, nodes: DataFrame, limit: float) -> DataFrame:
-    """Pairs of a bucket in different components whose sizes and registers allow a link."""
-    full = kept(rows.select("bucket", "id", "label").join(nodes.select("id", "n", "registers"), "id"), "cross")
-    left = full.select("bucket", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("registers").alias("ra"))
-    right = full.select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
+    """Pairs of a bucket in different components whose sizes allow a link."""
+    full = kept(rows.select("bucket", "id", "label").join(nodes.select("id", "n"), "id"), "cross")
+    left = full.select("bucket", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+    right = full.select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
     pairs = left.join(right, "bucket").where((F.col("la") < F.col("lb")) & _alike_in_size(F.col("na"), F.col("nb"), limit))
-    return pairs.where(_agreement("ra", "rb") >= LEAST_ESTIMATE).select("a", "b").distinct()
+    return pairs.select("a", "b").distinct()
 
 
 def near_classes(docs: DataFrame, limit: float = SIMILARITY) -> DataFrame:

@@ -94,3 +94,14 @@ def test_a_large_family_keeps_every_link(spark, monkeypatch, large):
     rows += [(len(rows) + i, " ".join(base)) for i in range(60)]
     found = check(spark.createDataFrame(rows, "doc_id long, text string"))
     assert Counter(r.class_id for r in found if r.kept) == {r.class_id: 1 for r in found}
+
+
+def test_repeated_shingles_do_not_hide_a_link(spark):
+    """Sets just alike enough, one text with half of its shingles repeated many times."""
+    rows = []
+    for pair in range(40):
+        words = [f"p{pair}w{i}" for i in range(204)]
+        edited = [f"p{pair}e{i}" if i in (120, 140, 160, 180) else w for i, w in enumerate(words)]
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(edited[:104] * 20 + edited[104:]))]
+    found = check(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in found if r.kept) == list(range(0, 80, 2))
