@@ -35,7 +35,8 @@ from prioscope.llm.labelled import training_labels
 
 TRAIN_ROWS = 30_000
 BUCKETS = 1 << 18
-MAX_FEATURES, LEAST_Z, LEAST_LOG_ODDS = 2048, 4.0, 1.0
+MAX_FEATURES, LEAST_Z = 4096, 3.5
+FIT_FEATURES = 1 << 18
 PREFIXES = (4, 5, 6)
 CUT = 0.3
 OFFENDING = 0.5
@@ -101,8 +102,6 @@ def _telling(counts: pd.DataFrame, others: int, toxics: int) -> list[int]:
     for found, row, column in ((a, a + b, toxics), (b, a + b, others), (toxics - a, total - a - b, toxics), (others - b, total - a - b, others)):
         deviance += 2 * found * np.log(np.where(found > 0, found * total / np.maximum(row * column, 1e-9), 1.0))
     z = np.sqrt(np.maximum(deviance, 0))
-    ratio = np.log((a + 0.5) * (others - b + 0.5) / ((b + 0.5) * (toxics - a + 0.5)))
-    z = np.where(np.abs(ratio) >= LEAST_LOG_ODDS, z, 0)
     order = np.argsort(-z, kind="stable")[:MAX_FEATURES]
     return [int(x) for x in counts["bucket"].to_numpy()[order][z[order] >= LEAST_Z]]
 
@@ -112,23 +111,32 @@ def fit_noisy_or(bags: pd.DataFrame, features: list[int], rounds: int = 400, pen
     y = (bags["label"].to_numpy() > 0).astype(float)
     shown = bags["sizes"].str.len().to_numpy(np.int64)
     bare = bags["n"].to_numpy(float) - shown
-    bag = np.repeat(np.arange(len(bags)), shown)
-    sizes = np.concatenate([np.zeros(0, np.int64), *bags["sizes"]]).astype(np.int64)
-    row = np.repeat(np.arange(len(sizes)), sizes)
+    bag = np.repeat(np.arange(len(bags), dtype=np.int32), shown)
+    sizes = np.concatenate([np.zeros(0, np.int32), *bags["sizes"]]).astype(np.int32)
+    ends = np.cumsum(sizes, dtype=np.int64)
     ranked = np.sort(np.array(features, np.int64))
-    col = np.searchsorted(ranked, np.concatenate([np.zeros(0, np.int64), *bags["buckets"]]).astype(np.int64))
+    place = np.zeros(BUCKETS, np.int16 if len(features) < 1 << 15 else np.int32)
+    place[ranked] = np.arange(len(ranked))
+    col = place[np.concatenate([np.zeros(0, np.int32), *bags["buckets"]]).astype(np.int32)]
+    # So many features at a time, whole sentences each, so that what a step needs besides the arrays above stays small.
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, len(col), FIT_FEATURES)), len(sizes)))
+    slices = [(a, b, int(ends[a] - sizes[a]), int(ends[b - 1])) for a, b in zip(cuts, cuts[1:])]
     w, n = np.zeros(len(features) + 1), len(bags)
     w[-1] = -6.0
     speed, spread = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(w[-1] + np.bincount(row, w[col], len(bag)), -30, 30)))
+        z = np.concatenate([np.zeros(0), *(np.bincount(np.repeat(np.arange(b - a), sizes[a:b]), w[col[c:d]], b - a) for a, b, c, d in slices)])
+        p = 1 / (1 + np.exp(-np.clip(w[-1] + z, -30, 30)))
         p0 = 1 / (1 + np.exp(-w[-1]))
         p = np.minimum(p, 1 - 1e-9)
         log_none = np.bincount(bag, np.log1p(-p), n) + bare * np.log1p(-p0)
         none = np.exp(log_none)
         per_bag = (1 - y) - y * none / np.maximum(1 - none, 1e-9)
         dz = p * per_bag[bag]
-        grad = np.append(np.bincount(col, dz[row], len(features)), dz.sum() + p0 * (bare * per_bag).sum()) / n
+        by_feature = np.zeros(len(features))
+        for a, b, c, d in slices:
+            by_feature += np.bincount(col[c:d], np.repeat(dz[a:b], sizes[a:b]), len(features))
+        grad = np.append(by_feature, dz.sum() + p0 * (bare * per_bag).sum()) / n
         grad[:-1] += penalty * w[:-1]
         speed, spread = 0.9 * speed + 0.1 * grad, 0.99 * spread + 0.01 * grad**2
         w -= 0.1 * (speed / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-8)
@@ -155,12 +163,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
             found = [active(t, chosen.value, cache) for t in frame["text"]]
             yield pd.DataFrame(
                 {
-                    "doc_id": frame["doc_id"], "label": frame["label"], "n": [n for n, _ in found], "sizes": [[len(s) for _, s in x] for _, x in found],
-                    "buckets": [[b for _, s in x for b in sorted(s)] for _, x in found],
+                    "doc_id": frame["doc_id"], "label": frame["label"], "n": [n for n, _ in found],
+                    "sizes": [np.array([len(s) for _, s in x], np.int32).tobytes() for _, x in found],
+                    "buckets": [np.array([b for _, s in x for b in sorted(s)], np.int32).tobytes() for _, x in found],
                 }
             )
 
-    rows = texts.mapInPandas(bags, "doc_id long, label int, n int, sizes array<int>, buckets array<int>").toPandas()
+    rows = texts.mapInPandas(bags, "doc_id long, label int, n int, sizes binary, buckets binary").toPandas()
+    for name in ("sizes", "buckets"):
+        rows[name] = [np.frombuffer(x, np.int32) for x in rows[name]]
     if rows["label"].nunique() < 2:
         return Model()
     return fit_noisy_or(rows.sort_values(["doc_id", "n"], ignore_index=True), features)
