@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from prioscope.llm import benchmark, exact, html, near, passages, pieces, quality, sharding, toxicity, urls
+from prioscope.llm import benchmark, exact, html, mixing, near, passages, phrases, pieces, quality, sharding, toxicity, urls, variants
 
 SHARD_BYTES = 64 * 1024 * 1024
 
@@ -55,6 +55,18 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.decide(_read(spark, folder, "documents"), exact.fresh_index(spark))
 
 
+def op11_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_read(spark, folder, "documents")).rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variants(_read(spark, folder, "documents"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(_read(spark, folder, "documents"), top=phrases.TOP)
+
+
 QUERIES = {
     "op1_repeated_passages": op1_repeated_passages,
     "op2_url_filter": op2_url_filter,
@@ -66,6 +78,9 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_mixing": op11_mixing,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_collocations": op13_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -78,4 +93,6 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """,
+    "op11_mixing": mixing.oracle(),
+    "op13_collocations": phrases.ORACLE,
 }
