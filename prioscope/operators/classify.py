@@ -97,7 +97,7 @@ def fit_text_model(train: DataFrame, label_col: str = "label", id_col: str = "ti
     """
     rows = train.count()
     documents = F.lit(float(rows))
-    vocabulary = X.vocabulary(train, id_col=id_col, profile=profile)
+    vocabulary = X.vocabulary(train, profile=profile)
     found = vocabulary.withColumn("idf", X.smoothed_idf(F.col("document_count"), documents)).select("term", "idf").collect()
     ordered = sorted(found, key=lambda r: r["term"])
     terms, idf = [r["term"] for r in ordered], [r["idf"] for r in ordered]

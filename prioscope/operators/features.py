@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from prioscope.functions.levels import band
 from prioscope.functions.text import word_ngrams, word_tokens
 from prioscope.functions.vectors import sparse_vector
-from prioscope.operators.grams import distinct_documents, gram_rows
+from prioscope.operators.grams import counted_terms, gram_spots
 from prioscope.operators.ordering import number_values, running_sums
 from prioscope.settings import (
     DEFAULT_HOURS, FULL, MAX_NGRAM, MAX_TERMS, MIN_DOCUMENTS, Profile, RESOLUTION_TOKENS,
 )
 from prioscope.sources.staging import kept
 
+#: Cells of the first count, and how many of them per wanted term are counted exactly at first.
+COUNT_CELLS, FIRST_CELLS = 1 << 20, 3
 META = ["channel_code", "type_code", "log_hours", "text_length"]
 
 
@@ -29,30 +31,48 @@ def with_grams(df: DataFrame, text_col: str = "combined_text", profile: Profile
 
 
 def vocabulary(
-    df: DataFrame, text_col: str = "combined_text", id_col: str = "ticket_id", profile: Profile = FULL,
-    size: int = MAX_TERMS, min_documents: int = MIN_DOCUMENTS,
+    df: DataFrame, text_col: str = "combined_text", profile: Profile = FULL, size: int = MAX_TERMS, min_documents: int = MIN_DOCUMENTS,
+    cells: int = COUNT_CELLS,
 ) -> DataFrame:
     """The most used terms that occur in enough documents, at most ``size`` rows.
 
-    A term is counted per document first, on the tasks that hold the documents. The count
-    that the last place needs is found from the counts alone, so the final sort only sees
-    the winners and those tied with the last one.
+    First every term adds its count to one of ``cells`` cells, so a cell's total is never below the
+    count of a term in it, and what is shuffled is a table of fixed size per task. Then only terms of the fullest
+    cells are counted one by one, within their rows first. The count that the last place needs among those is a
+    lower bound of the true one; if no other cell reaches it, no winner is lost. Otherwise all cells that reach
+    it are counted. Terms are told apart by 64-bit hashes. Texts are cut into words once; after
+    that only one text per winner is looked at, to put the winner's words together.
     """
-    documents = distinct_documents(df, id_col, text_col)
-    per_document = (
-        gram_rows(documents, ["doc", "copies"], "text", MAX_NGRAM, profile.shortest_token)
-        .groupBy("doc", "copies", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    counted = per_document.groupBy("term").agg(
-        F.sum(F.col("tf") * F.col("copies")).alias("term_count"), F.sum("copies").alias("document_count")
-    )
-    usable = kept(counted.where(F.col("document_count") >= min_documents), "term-counts")
-    levels = usable.groupBy("term_count").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_sums(levels, "term_count", ["n"])
-    reached = F.col("all_n") - F.col("before_n") >= size
-    cut = placed.agg(F.coalesce(F.max(F.when(reached, F.col("term_count"))), F.lit(0))).scalar()
-    return usable.where(F.col("term_count") >= cut).orderBy(F.desc("term_count"), "term").limit(size)
+    text = (text_col, MAX_NGRAM, profile.shortest_token)
+    keyed = df.select(text_col, F.xxhash64(text_col).alias("example"))
+    terms = kept(counted_terms(keyed, ["example"], *text, hashed=True), "term-counts").select("example", F.inline("terms"))
+    cell = F.pmod("term", F.lit(cells))
+    totals = kept(terms.groupBy(cell.alias("cell")).agg(F.sum("tf").alias("total")), "cells")
+    least = _reached(totals, "total", FIRST_CELLS * size)
+    while True:
+        full = totals.where(F.col("total") >= least).select("cell")
+        counted = (
+            terms.withColumn("cell", cell)
+            .join(F.broadcast(full), "cell", "left_semi")  # at most ``cells`` numbers
+            .groupBy("term")
+            .agg(F.sum("tf").alias("term_count"), F.count(F.lit(1)).alias("document_count"), F.min("example").alias("example"))
+        )
+        usable = kept(counted.where(F.col("document_count") >= min_documents), "usable")
+        cut = _reached(usable, "term_count", size)
+        if cut >= least or totals.where((F.col("total") >= max(cut, 1)) & (F.col("total") < least)).isEmpty():
+            break
+        least = max(cut, 1)
+    winners = kept(usable.where(F.col("term_count") >= cut).withColumnRenamed("term", "hash"), "winners")
+    shown = keyed.join(winners.select("example").distinct(), "example", "left_semi").select(text_col).distinct()
+    named = gram_spots(shown, *text).join(winners.select("hash"), "hash", "left_semi").groupBy("hash").agg(F.min("term").alias("term"))
+    return winners.join(named, "hash").select("term", "term_count", "document_count").orderBy(F.desc("term_count"), "term").limit(size)
+
+
+def _reached(counts: DataFrame, column: str, places: int) -> int:
+    """The largest number that at least ``places`` rows reach, 0 if there are fewer rows."""
+    levels = counts.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    placed = running_sums(levels, column, ["n"])
+    return placed.agg(F.coalesce(F.max(F.when(F.col("all_n") - F.col("before_n") >= places, F.col(column))), F.lit(0)).alias("cut")).first().cut
 
 
 def smoothed_idf(document_count: Column, documents: Column) -> Column:

@@ -1,37 +1,69 @@
-"""Words and runs of words as rows."""
+"""Words and runs of words, counted inside the row that holds them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prioscope.functions.text import word_tokens
+from prioscope.functions.text import word_ngrams, word_tokens
 
 
-def document_key(id_col: str, text_col: str) -> Column:
-    """Names a row by id and text, so rows that share an id by mistake stay apart."""
-    return F.concat_ws(" ", F.col(id_col), F.xxhash64(text_col))
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def distinct_documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, text, copies), spread by document so that its terms can be counted in place.
+def gram_hashes(tokens: Column, longest: int) -> Column:
+    """64-bit hashes of all runs of one to ``longest`` words; the words of a run are hashed together."""
+    size = F.size(tokens)
+    found = F.transform(tokens, lambda t: F.xxhash64(t))
+    run = found
+    for n in range(2, longest + 1):
+        left = F.greatest(size - (n - 1), F.lit(0))
+        run = F.zip_with(F.slice(run, F.lit(1), left), F.slice(tokens, F.lit(n), left), lambda a, b: F.xxhash64(a, b))
+        found = F.concat(found, run)
+    return found
 
-    Rows that are equal in id and text become one, which counts ``copies`` times.
-    """
-    keyed = df.select(document_key(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
-    return keyed.repartition("doc").groupBy("doc", "text").agg(F.count(F.lit(1)).alias("copies"))
+
+def counted(values: Column) -> Column:
+    """Array of (term, tf): sorted, then cut where the value changes. Null for an empty array."""
+
+    def fold(s: Column) -> Column:
+        size = F.size(s)
+        starts = F.filter(F.sequence(F.lit(1), size), lambda i: ~F.get(s, i - 1).eqNullSafe(F.get(s, i - 2)))
+        return _bound(
+            starts,
+            lambda at: F.zip_with(
+                at, F.concat(F.slice(at, F.lit(2), size), F.array(size + 1)), lambda a, b: F.struct(F.get(s, a - 1).alias("term"), (b - a).alias("tf"))
+            ),
+        )
+
+    return _bound(F.sort_array(values), lambda s: F.when(F.size(s) > 0, fold(s)))
 
 
-def gram_rows(df: DataFrame, keys: list[str], text_col: str, longest: int, shortest: int = 1) -> DataFrame:
-    """One row ``term`` per run of up to ``longest`` (one to three) neighbouring words.
+def term_rows(df: DataFrame, keys: list[str], text_col: str, longest: int, shortest: int = 1, hashed: bool = False) -> DataFrame:
+    """One row (keys, term, tf) per distinct term of a row: runs of one to ``longest`` words of at least ``shortest`` characters.
 
-    ``shortest`` is the least length of a word.
+    Terms are counted where their row lies, so nothing is shuffled. ``hashed`` gives 64-bit
+    hashes instead of texts; a corpus of a billion distinct terms has a clash with a probability of 3 percent.
     """
-    tokens = df.select(*keys, word_tokens(F.col(text_col), shortest).alias("a"))
-    shifted = [F.slice("a", F.lit(i), F.size("a")).alias(n) for i, n in ((2, "b"), (3, "c"))]
-    spots = tokens.select(*keys, F.explode(F.arrays_zip("a", *shifted[: longest - 1])).alias("p"))
-    names = ["p.a", "p.b", "p.c"][:longest]
-    runs = [F.concat_ws(" ", *names[:n]) for n in range(1, longest + 1)]
-    terms = F.array(runs[0])
-    for n in range(2, longest + 1):
-        terms = F.when(F.col(names[n - 1]).isNotNull(), F.array(*runs[:n])).otherwise(terms)
-    return spots.select(*keys, F.explode(terms).alias("term"))
+    return counted_terms(df, keys, text_col, longest, shortest, hashed).select(*keys, F.inline("terms"))
+
+
+def counted_terms(df: DataFrame, keys: list[str], text_col: str, longest: int, shortest: int = 1, hashed: bool = False) -> DataFrame:
+    """(keys, terms): the distinct terms of each row with their counts, as one array."""
+    grams = (lambda t: gram_hashes(t, longest)) if hashed else (lambda t: word_ngrams(t, longest))
+    return df.select(*keys, counted(_bound(word_tokens(F.col(text_col), shortest), grams)).alias("terms"))
+
+
+def gram_spots(df: DataFrame, text_col: str, longest: int, shortest: int = 1) -> DataFrame:
+    """(hash, term) of every run of every row, as often as it occurs. ``term`` is only put together where it is asked for."""
+    tokens = df.select(word_tokens(F.col(text_col), shortest).alias("tokens"))
+    spots = tokens.select("tokens", F.posexplode(gram_hashes(F.col("tokens"), longest)).alias("pos", "hash"))
+    size, term = F.size("tokens"), None
+    for n in range(longest, 0, -1):  # runs of n words come after all shorter ones
+        before = sum((F.greatest(size - k, F.lit(0)) for k in range(n - 1)), F.lit(0))
+        here = F.concat_ws(" ", F.slice("tokens", F.col("pos") - before + 1, F.lit(n)))
+        term = here if n == longest else F.when(F.col("pos") < before + F.greatest(size - (n - 1), F.lit(0)), here).otherwise(term)
+    return spots.select("hash", term.alias("term"))

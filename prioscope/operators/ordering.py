@@ -14,6 +14,7 @@ from prioscope.sources.staging import kept
 
 _FIRST_DIGIT = 1024
 _SECOND_DIGIT = 65536
+_TIE_ROWS = 4096
 
 
 def _digits(value: Column) -> tuple[Column, Column]:
@@ -146,27 +147,27 @@ def median(df: DataFrame, value_col: str, name: str = "median") -> DataFrame:
 def number_by(df: DataFrame, key_col: str, out_col: str) -> DataFrame:
     """Number rows from 1 in the order of a numeric key; NaN comes after all numbers, null last.
 
-    Rows with the same key, NaN or null are numbered in no particular order. Only the keys are
-    ranked; the other columns move once, when the numbers are joined back to the stored table.
+    Rows with the same key, NaN or null are numbered as they are stored. A key that very many rows share
+    is cut into runs of stored rows; runs are placed by sums of their sizes, so no task ranks more
+    than one run of it. Only the keys are ranked; the other columns move once, when the numbers are joined back.
     """
     stored = kept(df.withColumn("_row", F.monotonically_increasing_id()), "to-number")
     key = F.col(key_col).cast("double")
     kind = F.when(key.isNull(), 2).when(F.isnan(key), 1).otherwise(0)
-    keys = stored.select("_row", F.col(key_col).alias("_key"), kind.alias("_kind"))
-    sizes = {r["_kind"]: r["count"] for r in keys.groupBy("_kind").count().collect()}
-    parts, before = [], 0
-    for k, value in ((0, "_key"), (1, "_row"), (2, "_row")):
-        if sizes.get(k):
-            own = keys.where(F.col("_kind") == k).withColumn("_one", F.lit(1).cast("long"))
-            ranked = running_sums(own, value, ["_one"])
-            parts.append(ranked.select("_row", (F.col("before__one") + 1 + before).alias(out_col)))
-            before += sizes[k]
-    if not parts:
-        return stored.select(*df.columns, F.lit(0).cast("long").alias(out_col))
-    numbers = parts[0]
-    for more in parts[1:]:
-        numbers = numbers.unionByName(more)
-    return stored.join(numbers, "_row").select(*df.columns, out_col)
+    keys = stored.select(
+        "_row", kind.alias("_kind"), F.when(kind == 0, F.col(key_col)).otherwise(F.lit(0).cast(dict(df.dtypes)[key_col])).alias("_key"), F.floor(F.col("_row") / _TIE_ROWS).alias("_cut")
+    )
+    cells = kept(keys.groupBy("_kind", "_key", "_cut").agg(F.count(F.lit(1)).alias("_n")), "key-cells")
+    values = kept(cells.groupBy("_kind", "_key").agg(F.sum("_n").alias("_n")), "key-values")
+    numbers, not_a_number = (values.where(F.col("_kind") == k).agg(F.coalesce(F.sum("_n"), F.lit(0).cast("long"))).scalar() for k in (0, 1))
+    ranked = running_sums(values.where("_kind = 0"), "_key", ["_n"]).select("_kind", "_key", F.col("before__n").alias("_start"))
+    others = values.where("_kind > 0").select("_kind", "_key", (numbers + F.when(F.col("_kind") == 2, not_a_number).otherwise(0)).alias("_start"))
+    earlier = Window.partitionBy("_kind", "_key").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    within = cells.select("_kind", "_key", "_cut", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    starts = within.join(ranked.unionByName(others), ["_kind", "_key"]).select("_kind", "_key", "_cut", (F.col("_start") + F.col("_before")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_kind", "_key", "_cut").orderBy("_row"))
+    numbered = keys.withColumn("_place", place).join(starts, ["_kind", "_key", "_cut"]).select("_row", (F.col("_before") + F.col("_place")).alias(out_col))
+    return stored.join(numbered, "_row").select(*df.columns, out_col)
 
 
 def number_values(df: DataFrame, column: str, out_col: str) -> DataFrame:

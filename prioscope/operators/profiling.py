@@ -12,6 +12,7 @@ from prioscope.operators.ordering import quantiles
 from prioscope.settings import LEVELS
 from prioscope.sources.staging import kept
 
+_HEAD = 32
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
@@ -59,14 +60,22 @@ def describe_all(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def _describe_texts(df: DataFrame, texts: list[str]) -> DataFrame:
-    values = _long(df, texts).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    most = F.min_by("value", F.struct((-F.col("n")).alias("n"), F.col("value")))
-    return values.groupBy("column").agg(
+    """Values are counted by a 128-bit digest. Of the most frequent ones, those whose first characters come
+    first are looked up in the table again; their list is short, so the texts themselves stay where they are.
+    """
+    rows = _long(df, texts).select(
+        "column", F.xxhash64("value").alias("a"), F.xxhash64(F.lit(1), F.col("value")).alias("b"), F.substring("value", 1, _HEAD).alias("head"), "value"
+    )
+    counts = kept(rows.groupBy("column", "a", "b").agg(F.min("head").alias("head"), F.count(F.lit(1)).alias("n")), "value-counts")
+    summary = counts.groupBy("column").agg(
         F.sum("n").alias("count"),
         F.count(F.lit(1)).alias("unique"),
-        most.alias("top"),
         F.max("n").alias("freq"),
     )
+    first = counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("n"), "head")).alias("first"))
+    leading = counts.join(F.broadcast(first), "column").where((F.col("n") == -F.col("first.n")) & (F.col("head") == F.col("first.head")))
+    tops = rows.join(kept(leading.select("column", "a", "b"), "leading"), ["column", "a", "b"], "left_semi").groupBy("column").agg(F.min("value").alias("top"))
+    return summary.join(F.broadcast(tops), "column").select("column", "count", "unique", "top", "freq")
 
 
 def _describe_numbers(df: DataFrame, numbers: list[str], names: list[str]) -> DataFrame:

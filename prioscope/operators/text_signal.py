@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from prioscope.functions.levels import best_level
 from prioscope.functions.numbers import rounded
-from prioscope.operators.grams import distinct_documents, document_key, gram_rows
+from prioscope.operators.grams import counted_terms, term_rows
 from prioscope.functions.vectors import cosine, norm
-from prioscope.sources.staging import kept
+from prioscope.sources.staging import kept, numbered_rows
 from prioscope.settings import FULL, LEVELS, Profile
 
 MAX_COMMON_TERMS = 200_000
 SOFTMAX_FACTOR = 10.0
+ROW = "_ticket_row"
 _SIDES = [f"anchor_{level.lower()}" for level in LEVELS]
 
 
@@ -26,24 +27,19 @@ def anchor_table(spark, profile: Profile = FULL) -> DataFrame:
 # --- term weights ---------------------------------------------------------------
 
 
-def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document and term, counted where the document lies."""
-    documents = distinct_documents(df, id_col, text_col)
-    return (
-        gram_rows(documents, ["doc", "copies"], "text", longest=2, shortest=2)
-        .groupBy("doc", "copies", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+def term_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """(term, tf), one row per row of ``df`` and term, counted where the row lies."""
+    return term_rows(df, [], text_col, longest=2, shortest=2)
 
 
-def anchor_counts(spark, profile: Profile = FULL) -> DataFrame:
+def anchor_counts(spark, profile: Profile = FULL, hashed: bool = False) -> DataFrame:
     """Term counts of the four anchor documents, one column per level."""
     joined = [(level, " ".join(profile.anchors[level])) for level in LEVELS]
     documents = spark.createDataFrame(joined, "level string, text string")
     return (
-        gram_rows(documents.coalesce(1), ["level"], "text", longest=2, shortest=2)
+        term_rows(documents.coalesce(1), ["level"], "text", longest=2, shortest=2, hashed=hashed)
         .groupBy("term")
-        .agg(*[F.count_if(F.col("level") == level).alias(side) for level, side in zip(LEVELS, _SIDES)])
+        .agg(*[F.coalesce(F.sum(F.when(F.col("level") == level, F.col("tf"))), F.lit(0)).cast("long").alias(side) for level, side in zip(LEVELS, _SIDES)])
     )
 
 
@@ -51,7 +47,7 @@ def document_frequency(terms: DataFrame, anchors: DataFrame) -> DataFrame:
     """Documents per term, the four anchor documents included."""
     in_anchors = reduce(lambda a, b: a + b, [(F.col(s) > 0).cast("long") for s in _SIDES])
     return (
-        terms.select("term", F.col("copies").alias("n"))
+        terms.select("term", F.lit(1).cast("long").alias("n"))
         .unionByName(anchors.select("term", in_anchors.alias("n")))
         .groupBy("term")
         .agg(F.sum("n").alias("df"))
@@ -75,70 +71,49 @@ def anchor_weights(anchors: DataFrame, frequency: DataFrame, documents: Column)
     )
 
 
-def fit_vocabulary(df: DataFrame, id_col: str = "ticket_id", text_col: str = "combined_text", profile: Profile = FULL) -> DataFrame:
+def fit_vocabulary(df: DataFrame, text_col: str = "combined_text", profile: Profile = FULL) -> DataFrame:
     """Document frequency of every term of the anchors and of ``df``, written to storage."""
-    terms = term_counts(df, id_col, text_col)
-    return kept(document_frequency(terms, anchor_counts(df.sparkSession, profile)), "vocabulary")
-
+    return kept(document_frequency(term_counts(df, text_col), anchor_counts(df.sparkSession, profile)), "vocabulary")
 
-def tfidf_similarity(
-    df: DataFrame,
-    id_col: str = "ticket_id",
-    text_col: str = "combined_text",
-    profile: Profile = FULL,
-    vocabulary: DataFrame | None = None,
-) -> DataFrame:
-    """Cosine of each document to the four anchor texts, fitted on anchors plus ``df``.
 
-    Keyed by ``doc``, see ``document_key``.
+def tfidf_similarity(df: DataFrame, row_col: str, text_col: str = "combined_text", profile: Profile = FULL) -> DataFrame:
+    """(row_col, one cosine per anchor text) of each row, fitted on anchors plus ``df``; rows without terms are left out.
 
-    Terms split by how common they are. A term is common if it is in at least
-    ``postings / 200,000`` documents; there can be no more than 200,000 of those, so they
-    are broadcast and their rows are summed where they lie. The rest are rare, so no key
-    of the join that looks up their frequency is hot.
+    ``row_col`` tells rows apart. A text is cut into words once; its terms are counted in the row and
+    stored as hashes. Terms split by how common they are. A term is common if it is in at
+    least ``postings / 200,000`` documents; there can be no more than 200,000 of those, so they
+    are broadcast and their weights are summed where the row lies. The rest are rare: only those move
+    (row, hash and count) to look up their frequency, and no key of that join is hot.
     """
     spark = df.sparkSession
-    frequency = fit_vocabulary(df, id_col, text_col, profile) if vocabulary is None else vocabulary
+    counts = kept(counted_terms(df, [row_col], text_col, longest=2, shortest=2, hashed=True), "term-counts")
+    terms = counts.select(row_col, F.inline("terms"))
+    anchors = kept(anchor_counts(spark, profile, hashed=True), "anchor-terms")
+    frequency = kept(document_frequency(terms, anchors), "vocabulary")
     documents = df.agg((F.count(F.lit(1)) + len(LEVELS)).alias("n")).scalar()
     limit = frequency.agg(F.greatest(F.sum("df") / MAX_COMMON_TERMS, F.lit(2.0))).scalar()
 
-    weights = anchor_weights(anchor_counts(spark, profile), frequency, documents)
-    common = (
+    weights = anchor_weights(anchors, frequency, documents)
+    common = kept(
         frequency.join(F.broadcast(weights), "term", "left")
         .where((F.col("df") >= limit) | F.col(_SIDES[0]).isNotNull())
-        .select("term", inverse_frequency(F.col("df"), documents).alias("idf"), *_SIDES)
-    )
-    rare = frequency.where(F.col("df") < limit).select(
-        F.col("term").alias("key"), inverse_frequency(F.col("df"), documents).alias("rare_idf")
+        .select("term", inverse_frequency(F.col("df"), documents).alias("idf"), *_SIDES),
+        "common-terms",
     )
+    rare = frequency.where(F.col("df") < limit).select("term", inverse_frequency(F.col("df"), documents).alias("idf"))
 
-    # All common terms of a document collapse to one row. Its key starts with a blank,
-    # which no term does, and is unique, so it spreads evenly over the join below.
     weight = F.col("tf") * F.col("idf")
-    key = F.when(F.col("idf").isNull(), F.col("term")).otherwise(F.concat(F.lit(" "), F.col("doc")))
-    summed = (
-        term_counts(df, id_col, text_col)
-        .join(F.broadcast(common), "term", "left")
-        .groupBy("doc", key.alias("key"))
-        .agg(
-            F.sum("tf").alias("tf"),
-            F.sum(weight * weight).alias("square"),
-            *[F.sum(weight * F.col(s)).alias(s) for s in _SIDES],
-        )
+    near = terms.join(F.broadcast(common), "term").select(row_col, (weight * weight).alias("square"), *[(weight * F.col(s)).alias(s) for s in _SIDES])
+    far = (
+        terms.join(F.broadcast(common.select("term")), "term", "left_anti")
+        .join(rare, "term")
+        .select(row_col, (weight * weight).alias("square"), *[F.lit(None).cast("double").alias(s) for s in _SIDES])
     )
-    rare_weight = F.col("tf") * F.col("rare_idf")
-    square = F.coalesce(F.col("square"), rare_weight * rare_weight)
     return (
-        summed.join(rare, "key", "left")
-        .groupBy("doc")
-        .agg(F.sum(square).alias("square"), *[F.sum(s).alias(s) for s in _SIDES])
-        .select(
-            "doc",
-            *[
-                F.round(F.coalesce(F.col(s), F.lit(0.0)) / F.sqrt("square"), 12).alias(s)
-                for s in _SIDES
-            ],
-        )
+        near.unionByName(far)
+        .groupBy(row_col)
+        .agg(F.sum("square").alias("square"), *[F.sum(s).alias(s) for s in _SIDES])
+        .select(row_col, *[F.round(F.coalesce(F.col(s), F.lit(0.0)) / F.sqrt("square"), 12).alias(s) for s in _SIDES])
     )
 
 
@@ -202,7 +177,7 @@ def semantic_signal(
     df: DataFrame,
     mode: str = "tfidf",
     text_col: str = "combined_text",
-    id_col: str = "ticket_id",
+    row_col: str | None = None,
     vector_col: str | None = None,
     anchors: DataFrame | None = None,
     profile: Profile = FULL,
@@ -210,7 +185,8 @@ def semantic_signal(
     """Add ``semantic_severity`` and ``semantic_score``.
 
     ``tfidf`` compares texts, ``embedding`` compares a vector column with ``anchors``,
-    ``rule`` copies signal C at nine tenths of its score.
+    ``rule`` copies signal C at nine tenths of its score. For ``tfidf``, rows of a table from
+    ``numbered_rows`` are not moved again if ``row_col`` names their number; other tables are stored that way first.
     """
     if mode == "rule":
         return df.withColumns(
@@ -225,15 +201,14 @@ def semantic_signal(
         )
     if mode != "tfidf":
         raise ValueError(f"unknown mode {mode!r}")
-    similar = tfidf_similarity(df, id_col, text_col, profile)
+    rows, name = (df, row_col) if row_col else (numbered_rows(df, ROW, "rows"), ROW)
     scores = {level: F.col(side) for level, side in zip(LEVELS, _SIDES)}
-    picked = similar.select(
-        "doc",
+    picked = tfidf_similarity(rows, name, text_col, profile).select(
+        name,
         best_level(scores, prefer_severe=False).alias("semantic_severity"),
         F.greatest(*_SIDES).alias("semantic_score"),
     )
-    keyed = df.withColumn("doc", document_key(id_col, text_col))
-    joined = keyed.join(picked, "doc", "left").select(*df.columns, "semantic_severity", "semantic_score")
+    joined = rows.join(picked.hint("shuffle_hash"), name, "left").select(*df.columns, "semantic_severity", "semantic_score")
     return joined.na.fill({"semantic_severity": LEVELS[0], "semantic_score": 0.0})
 
 

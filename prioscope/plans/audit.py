@@ -10,11 +10,11 @@ from prioscope.operators import classify, evaluate, evidence, fusion
 from prioscope.operators.cleaning import clean_tickets
 from prioscope.operators.rule_signal import rule_signal
 from prioscope.operators.splitting import stratified_split
-from prioscope.operators.text_signal import semantic_signal
+from prioscope.operators.text_signal import ROW, semantic_signal
 from prioscope.operators.time_signal import fit_thresholds, time_signal
 from prioscope.settings import FULL, Profile
 from prioscope.sources import files
-from prioscope.sources.staging import kept
+from prioscope.sources.staging import kept, numbered_rows
 
 
 def label_tickets(
@@ -22,11 +22,20 @@ def label_tickets(
     thresholds: DataFrame | None = None, mode: str | None = None, text_col: str = "combined_text",
     **semantic,
 ) -> DataFrame:
-    """All three signals, fused and compared with the assigned priority."""
+    """All three signals, fused and compared with the assigned priority.
+
+    Where texts are compared, the tickets are first stored bucketed by a row number, so that
+    the similarities, which come from shuffles of terms, join back without moving the tickets.
+    """
+    mode = mode or profile.text_signal
+    own_rows = mode == "tfidf" and not semantic.get("row_col")
+    if own_rows:
+        clean, semantic = numbered_rows(clean, ROW, "tickets"), {**semantic, "row_col": ROW}
     scored = rule_signal(clean, text_col, profile)
     scored = time_signal(scored, thresholds=thresholds, profile=profile, filled=True)
-    scored = semantic_signal(scored, mode or profile.text_signal, text_col, profile=profile, **semantic)
-    return fusion.label_mismatch(fusion.fuse_signals(scored, weights))
+    scored = semantic_signal(scored, mode, text_col, profile=profile, **semantic)
+    labeled = fusion.label_mismatch(fusion.fuse_signals(scored, weights))
+    return labeled.drop(ROW) if own_rows else labeled
 
 
 def audit_fast(

@@ -15,13 +15,12 @@ from prioscope.operators import (
     breakdowns, classify, cleaning, evaluate, evidence, features, fusion, ordering, profiling,
     rule_signal as rules, splitting, text_signal as texts, time_signal as times,
 )
-from prioscope.operators.grams import document_key
 from prioscope.plans.audit import audit_batch, audit_fast, audit_rows, label_tickets
 from prioscope.settings import (
     COMPACT, FULL, LEVELS, CRITICAL_WORDS, ESCALATION_PHRASES, IMPACT_PATTERNS, QUANTIFIER_PATTERNS,
 )
 from prioscope.sources import files
-from prioscope.sources.staging import shared_folder, staged
+from prioscope.sources.staging import numbered_rows, shared_folder, staged
 from prioscope.sources.tables import read, ticket_table
 from prioscope.streaming import score as streams
 
@@ -425,7 +424,7 @@ def rt6_thresholds_in_hours(spark, d):
 @query("se1_anchor_terms")
 def se1_anchor_terms(spark, d):
     anchors = texts.anchor_counts(spark)
-    terms = texts.term_counts(clean(spark, d), "ticket_id", "combined_text")
+    terms = texts.term_counts(clean(spark, d), "combined_text")
     found = texts.document_frequency(terms, anchors).join(F.broadcast(anchors), "term")
     return found.select("term", "df", *[F.col(f"anchor_{l.lower()}") for l in LEVELS])
 
@@ -482,10 +481,11 @@ def se6_softmax_confidence(spark, d):
 
 @query("se7_tfidf_similarity")
 def se7_tfidf_similarity(spark, d):
-    found = texts.tfidf_similarity(clean(spark, d))
+    rows = numbered_rows(clean(spark, d).select("ticket_id", "combined_text"), texts.ROW, "rows")
+    found = texts.tfidf_similarity(rows, texts.ROW)
     sides = [f"anchor_{l.lower()}" for l in LEVELS]
-    keyed = clean(spark, d).select("ticket_id", document_key("ticket_id", "combined_text").alias("doc"))
-    return _round(keyed.join(found, "doc", "left").na.fill(0.0).drop("doc"), 6, *sides)
+    joined = rows.select("ticket_id", texts.ROW).join(found.hint("shuffle_hash"), texts.ROW, "left")
+    return _round(joined.na.fill(0.0).drop(texts.ROW), 6, *sides)
 
 
 @query("se8_text_signal")

@@ -6,7 +6,7 @@ import hashlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,3 +58,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def numbered_rows(df: DataFrame, row_col: str, name: str) -> DataFrame:
+    """The table stored with a row number, bucketed by it, one file per bucket.
+
+    A narrow result keyed by the row number joins back without moving the stored columns again.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    rows = df.withColumn(row_col, F.monotonically_increasing_id()).repartition(buckets, row_col)
+    rows.write.format("parquet").bucketBy(buckets, row_col).option("path", fresh_path(spark, name)).saveAsTable(table)
+    return spark.table(table)

@@ -1,3 +1,4 @@
+import re
 import random
 
 import numpy as np
@@ -40,6 +41,59 @@ def test_running_sums_and_numbering(spark):
     assert {r.k: r.n for r in rows} == {k: i for i, k in enumerate(sorted(keys), 1)}
 
 
+def test_a_key_of_a_third_of_all_rows_is_numbered_in_runs(spark):
+    df = spark.range(0, 60_000, 1, 6).selectExpr("id", "if(id % 3 = 0, 777, 9007199254740993 + id) AS k")
+    numbered = ordering.number_by(df, "k", "n")
+    rows = numbered.collect()
+    assert sorted(r.n for r in rows) == list(range(1, 60_001))
+    assert {r.n for r in rows if r.k == 777} == set(range(1, 20_001))
+    assert [r.id for r in sorted(rows, key=lambda r: r.n)][20_000:] == [i for i in range(60_000) if i % 3]
+    # The windows that see rows are cut by run as well as by key.
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "row_number" in line and "_cut" in line]
+
+
+def moved(df) -> list[str]:
+    """The columns that each exchange of the plan moves."""
+    text = df.sparkSession.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return re.findall(r"^\(\d+\) (?:Broadcast)?Exchange.*\nInput[^:]*: (.*)", text, re.M)
+
+
+def test_similarities_come_back_without_moving_texts(spark):
+    from prioscope.plans.audit import label_tickets
+
+    rows = [(f"T{i}", f"word{i % 7} system down server", "Low", "Email", float(i + 1)) for i in range(40)]
+    df = spark.createDataFrame(rows, "ticket_id string, combined_text string, priority string, channel string, resolution_hours double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for out in (A.semantic_signal(df), label_tickets(df)):
+            assert A.ROW not in out.columns and "combined_text" in out.columns
+            assert moved(out) and not [line for line in moved(out) if "combined_text" in line]
+            assert out.count() == 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_vocabulary_that_needs_a_second_count(spark):
+    from prioscope.operators.features import vocabulary
+
+    texts = [" ".join(f"w{(i * j) % 50}" for j in range(1, 30)) for i in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "combined_text string")
+    want = [tuple(r) for r in vocabulary(df, size=40).collect()]
+    for cells in (1, 3, 64):  # few cells say little about their terms
+        assert [tuple(r) for r in vocabulary(df, size=40, cells=cells).collect()] == want
+
+
+def test_most_frequent_texts_by_digest(spark):
+    from prioscope.operators.profiling import describe_all
+
+    long = "x" * 40
+    rows = [(long + "b", f"id{i}", None) for i in range(3)] + [(long + "a", f"id{i + 3}", None) for i in range(3)] + [("zz", "id9", None), (None, "id0", None)]
+    found = {r["column"]: r for r in describe_all(spark.createDataFrame(rows, "t string, i string, n string")).collect()}
+    assert (found["t"]["count"], found["t"]["unique"], found["t"]["top"], found["t"]["freq"]) == (7, 3, long + "a", 3)
+    assert (found["i"]["unique"], found["i"]["top"], found["i"]["freq"]) == (7, "id0", 2) and "n" not in found
+
+
 def test_quick_quantiles_are_close(spark):
     df = hours_frame(spark, [float(i) for i in range(1001)])
     row = ordering.quick_quantiles(df, "resolution_hours", [0.15, 0.65], ["a", "b"]).first()
