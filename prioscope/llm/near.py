@@ -147,9 +147,9 @@ def _alike_in_size(a: Column, b: Column, limit: float) -> Column:
 def near_links(docs: DataFrame, limit: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (key, doc_id, content, n), nodes (id, content) with words, and (node, label) of nodes that have links."""
     rows = kept(
-        docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(
-            _sketches, "key binary, doc_id long, content binary, n int, bands array<long>, registers binary"
-        ),
+        docs.select(row_key().alias("key"), F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text"))
+        .mapInPandas(_sketches, "key binary, doc_id string, content binary, n int, bands array<long>, registers binary")
+        .withColumn("doc_id", F.col("doc_id").cast("long")),
         "sketches",
     )
     nodes = kept(

@@ -17,7 +17,7 @@ that share one anchor in a text form a segment of at most 2 * LENGTH bytes aroun
 An anchor with more than ``LARGE`` different segments is cut into single windows, which Spark groups
 by 128-bit hash with partial aggregation, so no task gets a large group.
 
-Defined results: a null text counts as empty. A null id counts as later than all others, rows with
+Defined results: a null text counts as empty. A null id counts as later than all ids below 2^63 - 2^40, rows with
 the same id follow the order of a hash of their texts, and of rows alike in id and text one counts
 as first. Texts under ``LENGTH`` bytes are left alone. An empty table gives an empty result. Extra
 columns are ignored.
@@ -147,8 +147,9 @@ def _segments(pieces: list[tuple[int, int, bytes]], whole: bool) -> dict[str, np
 
 
 def _order() -> tuple[Column, Column]:
-    """A row's place in the order of documents: id (null last) and a hash of the text."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("doc"), F.xxhash64(text_of()).bitwiseAND(F.lit(0x7FFFFFFF)).alias("tie")
+    """A row's place in the order of documents: id and a hash of the text. Null ids are put at the end of all numbers, told apart by 40 more bits."""
+    unnamed = F.lit(_LAST_ID) - F.xxhash64(F.lit(40), text_of()).bitwiseAND(F.lit((1 << 40) - 1))
+    return F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("doc"), F.xxhash64(text_of()).bitwiseAND(F.lit(0x7FFFFFFF)).alias("tie")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -363,13 +364,13 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     def maybe(slot: pd.Series) -> pd.Series:
         return pd.Series(passes(shared.value, slot.to_numpy(np.int64)))
 
-    rows = _texts(docs).withColumn("maybe", maybe(slot_of(mark)))
+    rows = docs.select(*_order(), text_of().alias("text"), F.col("doc_id").isNotNull().alias("named")).withColumn("maybe", maybe(slot_of(mark)))
     nothing = F.array().cast("array<bigint>")
     cut = rows.where("maybe").join(spans, ["doc", "tie"], "left").withColumn("cut", _cutter(with_bytes)("text", F.coalesce("spans", nothing)))
     size = F.octet_length("text").cast("long").alias("n_bytes")
-    touched = cut.select("doc", "tie", size, "cut.n_removed", "cut.n_spans", "cut.kept_sha256", "cut.kept_bytes")
+    touched = cut.select("doc", "tie", "named", size, "cut.n_removed", "cut.n_spans", "cut.kept_sha256", "cut.kept_bytes")
     clean = rows.where("NOT maybe").select(
-        "doc", "tie", size, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"),
+        "doc", "tie", "named", size, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"),
         (F.col("text").cast("binary") if with_bytes else F.lit(None).cast("binary")).alias("kept_bytes"),
     )
     verdicts = touched.unionByName(clean)
@@ -378,11 +379,11 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
 
 def _spread_copies(verdicts: DataFrame, with_bytes: bool) -> DataFrame:
     """Of rows alike in id and text the first keeps its verdict; the others are removed whole, if they hold a window."""
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"]
+    names = ["named", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"]
     one = verdicts.groupBy("doc", "tie").agg(*[F.first(n).alias(n) for n in names], F.count(F.lit(1)).alias("rows"))
     each = one.withColumn("nr", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     gone = (F.col("nr") > 1) & (F.col("n_bytes") >= LENGTH)
-    doc_id = F.when(F.col("doc") != _LAST_ID, F.col("doc")).alias("doc_id")
+    doc_id = F.when(F.col("named"), F.col("doc")).alias("doc_id")
     return each.select(
         doc_id, "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(gone, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),

@@ -120,8 +120,8 @@ def features(docs: DataFrame) -> DataFrame:
                     {"doc_id": part["doc_id"].values, "held_out": part["held_out"].values, "features": list(pooled(list(part["text"]), *shared.value))}
                 )
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of().alias("text"))
-    return kept(given.mapInPandas(pool, "doc_id long, held_out boolean, features array<float>"), "features")
+    given = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out().alias("held_out"), text_of().alias("text"))
+    return kept(given.mapInPandas(pool, "doc_id string, held_out boolean, features array<float>"), "features")
 
 
 @dataclass
@@ -181,7 +181,7 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Data
     """(doc_id, held_out, score, predicted) per row of ``docs``."""
     table = features(docs)
     sample = training_labels(labels, "quality", most)
-    rows = table.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "features").toPandas().sort_values("doc_id", ignore_index=True)
+    rows = table.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "features").toPandas().sort_values("doc_id", ignore_index=True)
     y = (rows["label"].to_numpy() > 0).astype(float)
     both = len(y) > 0 and 0 < y.sum() < len(y)
     shared = docs.sparkSession.sparkContext.broadcast(train(np.stack(rows["features"].to_numpy()).astype(float), y) if both else None)
@@ -193,5 +193,5 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Data
                 x = np.stack(frame["features"].to_numpy()).astype(float)
                 yield frame[["doc_id", "held_out"]].assign(score=net.probability(x) if net else 0.5)
 
-    scored = table.mapInPandas(answer, "doc_id long, held_out boolean, score double")
+    scored = table.mapInPandas(answer, "doc_id string, held_out boolean, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))

@@ -58,7 +58,7 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
 def _asked(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
     """One row per page and domain it belongs to."""
     host, path = url_parts(F.col(url_col).cast("string"))
-    base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
+    base = pages.select(F.col(id_col).cast("string").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
     labels = reversed_labels(F.col("host"))
     return base.withColumn("depth", F.explode(F.sequence(F.lit(1), F.size(labels)))).withColumn(
         "key", canonical_key(F.slice(labels, 1, F.col("depth")), F.col("path"))
@@ -138,17 +138,17 @@ def judge_urls(
 
     def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = _sweep(left, right)[["page_id", "host", "path", "row", "rule", "verdict", "length", "host_length"]]
-        return found.astype({c: object for c in ("host", "path", "rule", "verdict")})  # one Arrow array per column, whatever came in batches
+        return found.astype({c: object for c in ("page_id", "host", "path", "rule", "verdict")})  # one Arrow array per column, whatever came in batches
 
-    kind = dict(asked.dtypes)["page_id"]
+    kind = dict(pages.dtypes)[id_col]
     found = placed.groupBy("range").cogroup(spread.groupBy("range")).applyInPandas(
-        met, f"page_id {kind}, host string, path string, row long, rule string, verdict string, length int, host_length int"
+        met, "page_id string, host string, path string, row long, rule string, verdict string, length int, host_length int"
     )
     best = F.max(F.when(F.col("rule").isNotNull(), F.struct("length", "host_length", (F.col("verdict") == "block").alias("b"), "rule", "verdict")))
     return (
         found.groupBy("row")
         .agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), best.alias("best"))
-        .select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+        .select(F.col("page_id").cast(kind).alias("page_id"), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
     )
 
 
