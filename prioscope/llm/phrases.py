@@ -36,6 +36,7 @@ TOP = 2000
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz .........")
 _STOP = b"."
 _CHUNK = 4_000_000
+_WORDS_PER_PART, _MOST_PART_BITS = 2_000_000, 26
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -90,9 +91,14 @@ def _joined(relation: np.ndarray) -> np.ndarray:
     return np.append(both, np.uint64(0))
 
 
-def _surviving(groups: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def _numbers(groups: np.ndarray, parts: int) -> np.ndarray:
+    """The part (one of a power of two) and 32 more bits of the number of a group."""
+    return groups >> np.uint64(64 - 32 - (parts.bit_length() - 1))
+
+
+def _surviving(groups: np.ndarray, bits: np.ndarray, parts: int) -> np.ndarray:
     """The relation of the groups that the filter lets through, as 32-bit numbers."""
-    stays = (groups != 0) & passes(bits, groups.view(np.int64))
+    stays = (groups != 0) & passes(bits, _numbers(groups, parts).view(np.int64))
     return np.where(stays, (groups >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
 
 
@@ -110,31 +116,54 @@ def _stored(relation: DataFrame, name: str) -> DataFrame:
     return relation.sparkSession.read.parquet(path)
 
 
-def _frequent_groups(relation: DataFrame, least: int) -> np.ndarray:
-    """Bit filter of the groups that occur often enough one word further on."""
+def _packed(numbers: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side, so that those that are mostly zero take no room in a shuffle."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _frequent_groups(relation: DataFrame, least: int, parts: int) -> np.ndarray:
+    """Bit filter of the groups that occur often enough one word further on.
+
+    Groups are dealt to ``parts`` by their number. A chunk sends its distinct groups of a part
+    as one row, sorted and as differences, which is a third of what a row per group would take.
+    The number of parts follows the number of words, so what meets in a part does not grow with the corpus.
+    """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for packed in frame["places"]:
                 groups = _joined(np.frombuffer(packed, np.uint32))
-                found, n = np.unique(groups[groups != 0], return_counts=True)
-                yield pd.DataFrame({"mark": found.view(np.int64), "n": n})
+                found, n = np.unique(_numbers(groups[groups != 0], parts), return_counts=True)
+                ends = np.searchsorted(found >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+                rows = [(part, found[a:b].astype(np.uint32), n[a:b]) for part, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+                yield pd.DataFrame([(part, _packed(np.diff(rest, prepend=np.uint32(0))), _packed(m)) for part, rest, m in rows], columns=["part", "rests", "n"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        rests = np.concatenate([np.cumsum(_unpacked(r), dtype=np.uint32) for r in rows["rests"]])
+        found, inverse = np.unique(rests, return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([_unpacked(m) for m in rows["n"]]))
+        often = found[total >= least].astype(np.int64)
+        return pd.DataFrame({"mark": (np.int64(rows["part"].iloc[0]) << np.int64(32)) | often})
 
-    counted = relation.mapInPandas(count, "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n"))
-    return bit_filter(counted.where(F.col("n") >= least), "mark")
+    counted = relation.mapInPandas(count, "part int, rests binary, n binary").groupBy("part").applyInPandas(add, "mark long")
+    return bit_filter(counted, "mark")
 
 
-def _extended(relation: DataFrame, bits: np.ndarray) -> DataFrame:
+def _extended(relation: DataFrame, bits: np.ndarray, parts: int) -> DataFrame:
     known = relation.sparkSession.sparkContext.broadcast(bits)
 
     def extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"places": [_surviving(_joined(np.frombuffer(p, np.uint32)), known.value).tobytes() for p in frame["places"]]})
+            yield pd.DataFrame({"places": [_surviving(_joined(np.frombuffer(p, np.uint32)), known.value, parts).tobytes() for p in frame["places"]]})
 
     return _stored(relation.mapInPandas(extend, "places binary"), "relation")
 
 
-def _exact(texts: DataFrame, filters: list[np.ndarray], least: int) -> DataFrame:
+def _exact(texts: DataFrame, filters: list[np.ndarray], least: int, parts: int) -> DataFrame:
     """(lang, phrase, a) of the phrases of two words and more, counted by their words."""
     known = texts.sparkSession.sparkContext.broadcast(filters)
 
@@ -143,7 +172,7 @@ def _exact(texts: DataFrame, filters: list[np.ndarray], least: int) -> DataFrame
             relation = _relation_of_words(flat, lang, known.value[0])
             ids = pd.factorize(np.array(flat, dtype=object))[0].astype(np.int64)
             for nr, bits in enumerate(known.value[1:]):
-                relation = _surviving(_joined(relation), bits)
+                relation = _surviving(_joined(relation), bits, parts)
                 at = np.flatnonzero(relation)
                 # The shorter phrases at a place and at the next name the longer one, by dense numbers.
                 pair = ids[at] * (ids.max() + 1) + ids[np.minimum(at + 1, len(ids) - 1)] if len(at) else at
@@ -163,6 +192,8 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("text"))
     words = word_counts(texts)
+    total = words.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n")).first().n
+    parts = 1 << min(_MOST_PART_BITS, max(3, (total // _WORDS_PER_PART).bit_length()))
     filters = [bit_filter(words.where(F.col("a") >= least), "mark")]
     first = spark.sparkContext.broadcast(filters[0])
 
@@ -172,11 +203,11 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
 
     relation = _stored(texts.mapInPandas(relate, "places binary"), "relation")
     for size in range(2, longest + 1):
-        filters.append(_frequent_groups(relation, least))
+        filters.append(_frequent_groups(relation, least, parts))
         if size < longest:
-            relation = _extended(relation, filters[-1])
+            relation = _extended(relation, filters[-1], parts)
     single = words.where(F.col("a") >= least).select("lang", "phrase", "a")
-    phrases = single.unionByName(_exact(texts, filters, least)).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "a")
+    phrases = single.unionByName(_exact(texts, filters, least, parts)).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "a")
     return kept(phrases, "phrases"), kept(words.groupBy("lang").agg(F.sum("a").alias("n")), "languages")
 
 
