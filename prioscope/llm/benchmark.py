@@ -3,13 +3,14 @@
 Spark builds an inverted index of the items: (term, item, impact), where the impact is the BM25
 weight of the term in the item as a share of the least score that a passage can have which holds
 enough of the item's shingles, so one threshold serves all items and loses nothing that would
-count. Every document is cut into passages that overlap by half and are long enough
-to hold any item whole, and every passage that has a shingle of some item at all queries the index
-by block-max WAND: sums of the
+count. Every document is cut into passages that overlap by half, and every passage that has a
+shingle of some item at all queries the index by block-max WAND: sums of the
 largest impacts per block of items rule out nearly all passages, the rest walk the posting lists
-with a pivot, and every item over the threshold is retrieved. An item with a question and an
-answer counts only if the passage holds enough of the five-word shingles of both; an item given as
-one text counts if the passage holds enough of all its shingles, wherever they are in it.
+with a pivot, and every item over the threshold is retrieved. A retrieved item is verified in a window of
+twice its own length, wherever it stands: with a question and an answer it counts only if
+the window holds enough of the five-word shingles of both; given as one text, if the
+window holds enough of all its shingles. Passages are long enough to hold every window of every
+item, so a verdict on a document and an item does not depend on what else the benchmark holds.
 
 The index is split by item into shards of a bounded number of postings; each shard is broadcast
 in a pass of its own, so a driver or task never holds more than one bounded shard.
@@ -143,6 +144,7 @@ class Shard:
     block: int
     least: list[float]
     runs: dict[int, np.ndarray]
+    windows: list[int]
 
 
 def _runs(term: np.ndarray, width: int) -> np.ndarray:
@@ -177,7 +179,10 @@ def _shard(items: pd.DataFrame, rows: pd.DataFrame, passage: int) -> Shard:
         runs.setdefault(min(WIDTH, len(own)), []).append(_runs(own, min(WIDTH, len(own))))
     by_nr = dict(zip(rows["nr"], rows["least"]))
     least = [float(by_nr[nr]) for nr in items["nr"]]
-    return Shard(list(items["item_id"]), parts, terms, lists, block_max, passage, block, least, {k: np.unique(np.concatenate(x)) for k, x in runs.items()})
+    windows = [window_of(len(q) + len(a)) for q, a in zip(items["question"], items["answer"])]
+    return Shard(
+        list(items["item_id"]), parts, terms, lists, block_max, passage, block, least, {k: np.unique(np.concatenate(x)) for k, x in runs.items()}, windows
+    )
 
 
 def wand(query: list[int], shard: Shard) -> list[tuple[int, float]]:
@@ -215,11 +220,33 @@ def wand(query: list[int], shard: Shard) -> list[tuple[int, float]]:
     return found
 
 
+def window_of(words: int) -> int:
+    """How many neighbouring words of a document an item of so many words is looked for in: twice its own length."""
+    return 2 * max(LEAST_PASSAGE // 2, words)
+
+
 def _verified(words: list[str], item: int, shard: Shard) -> bool:
-    have = set(_shingles(words))
-    short = [x for part, _ in shard.parts[item] for x in part if len(x) < WIDTH]  # an item of fewer than five words
-    have |= {tuple(words[i : i + len(x)]) for x in short for i in range(len(words))}
-    return all(len(part & have) >= share * len(part) for part, share in shard.parts[item])
+    """Whether some window of the item's own size holds enough shingles of each part of the item."""
+    parts, window = shard.parts[item], shard.windows[item]
+    spots = []
+    for nr, (part, _) in enumerate(parts):
+        for width in {len(x) for x in part}:
+            found = ((i, tuple(words[i : i + width])) for i in range(len(words) - width + 1))
+            spots += [(i, i + width, nr, x) for i, x in found if x in part]
+    spots.sort()
+    inside: dict[tuple, int] = {}
+    distinct, left = [0] * len(parts), 0
+    for _, end, nr, x in spots:
+        inside[nr, x] = inside.get((nr, x), 0) + 1
+        distinct[nr] += inside[nr, x] == 1
+        while end - spots[left][0] > window:
+            gone = spots[left][2:]
+            inside[gone] -= 1
+            distinct[gone[0]] -= inside[gone] == 0
+            left += 1
+        if all(n >= share * len(part) for n, (part, share) in zip(distinct, parts)):
+            return True
+    return False
 
 
 def _passages(texts: list[str], shard: Shard) -> Iterator[tuple[int, int, float]]:
@@ -272,7 +299,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = item_words(benchmark)
     rows = postings(items)
     longest = items.agg(F.max(F.size("question") + F.size("answer"))).first()[0] or 0
-    passage = 2 * max(LEAST_PASSAGE // 2, longest)
+    passage = 2 * window_of(longest)  # passages overlap by half, so every window of every item lies in one
     shape = "key binary, item_id long, score double"
     passes = [spark.createDataFrame([], shape)]
     for shard_nr in [r.shard for r in rows.select("shard").distinct().collect()]:

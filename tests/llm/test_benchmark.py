@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from prioscope.llm.benchmark import SCORE_SHARE, _shard, clean_rows, contamination, item_words, postings, split_item, wand
@@ -94,3 +96,41 @@ def test_short_items(spark):
     rows = [(1, "a red car"), (2, "the sky blue"), (3, "a blue sky " * 100), (4, "x " * 63 + "one two three four five"), (5, "one two three four six")]
     found = {r.doc_id: r.item_ids for r in contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert found == {1: [1], 2: [], 3: [2], 4: [3], 5: []}
+
+
+def plain_verdict(text, item):
+    """Any window of twice the item's length that holds half of its shingles."""
+    words, own = words_of(text), words_of(item)
+    width = min(5, len(own))
+    wanted = {tuple(own[i : i + width]) for i in range(len(own) - width + 1)}
+    window = 2 * max(32, len(own))
+    for start in range(max(1, len(words) - window + 1)):
+        part = words[start : start + window]
+        have = {tuple(part[i : i + width]) for i in range(len(part) - width + 1)}
+        if own and 2 * len(wanted & have) >= len(wanted):
+            return True
+    return False
+
+
+def test_verdicts_equal_brute_force_and_do_not_depend_on_other_items(spark):
+    rng = random.Random(3)
+    pool = [f"w{i}" for i in range(300)]
+    items = [" ".join(rng.choices(pool, k=k)) for k in (3, 5, 10, 10, 24, 40, 60, 90)]
+    rows = []
+    for n in range(60):
+        words = rng.choices(pool, k=rng.choice([0, 4, 30, 400]))
+        own = rng.choice(items).split()
+        cut = sorted(rng.sample(range(len(own) + 1), 2))
+        for part in (own[: cut[0]], own[cut[0] : cut[1]], own[cut[1] :]):
+            at = rng.randint(0, len(words))
+            words[at:at] = part
+        rows.append((n, " ".join(words)))
+    own = items[2].split()
+    rows.append((60, " ".join([*own[:5], *rng.choices(pool, k=150), *own[5:]])))
+    rows += [(61 + n, " ".join(rng.choices(pool, k=50)) + " " + item) for n, item in enumerate(items)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    given = list(enumerate(items))
+    for more in ([], [(100, " ".join(rng.choices([f"v{i}" for i in range(900)], k=400)))]):
+        found = {r.doc_id: r.item_ids for r in contamination(docs, spark.createDataFrame(given + more, "item_id long, text string")).collect()}
+        assert found == {n: [i for i, item in given if plain_verdict(text, item)] for n, text in rows}
+    assert not found[60]
