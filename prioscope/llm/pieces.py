@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from prioscope.llm.common import kept, text_of
@@ -36,6 +37,9 @@ FREQUENT = 1 << 18
 LONGEST_UNIT = 64
 _COUNTER_SIZE = 400_000
 SHORT_UNIT = 32
+BLOCK_CHARS = 2_000_000
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_UNBASE = np.uint64(pow(int(_BASE), -1, 2**64))
 _NO_PIECE = (float("-inf"), -1)
 
 
@@ -56,18 +60,29 @@ class PieceModel:
     def marked(self, text: str) -> str:
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
 
+    def cuts(self, codes: np.ndarray) -> np.ndarray:
+        """For each place between two neighbouring code points whether no piece connects them."""
+        letter = self.letters[codes]
+        return ~self.joined[letter[:-1], letter[1:]]
+
     def units(self, text: str) -> list[str]:
         """The parts of a marked text that no piece connects."""
         if not text:
             return []
-        letter = self.letters[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        cuts = (np.flatnonzero(~self.joined[letter[:-1], letter[1:]]) + 1).tolist()
-        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        places = (np.flatnonzero(self.cuts(_code_points(text))) + 1).tolist()
+        return [text[a:b] for a, b in zip([0, *places], [*places, len(text)])]
 
     def spelled(self, text: str) -> list[int]:
         """Ids of a character that has no piece."""
         return [self.byte_ids[b] for b in text.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
 
+    def round_trips(self, unit: str, ids: list[int]) -> bool:
+        """Units are cut between characters, so a text is decoded to itself just when all of its units are.
+
+        An id never gives less than the characters it stands for, so no two errors cancel out.
+        """
+        return b"".join([self.names[i] for i in ids]) == unit.replace(MARK, " ").encode("utf-8", "surrogatepass")
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join([self.names[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
@@ -114,26 +129,91 @@ def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
     return spark.createDataFrame([(p, i, -s) for p, (s, i) in model.scores.items()], "piece string, id int, cost double")
 
 
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _slices(text: str, model: PieceModel, most: int) -> Iterator[str]:
+    """A long marked text in slices of about ``most`` characters that end where a unit ends."""
+    start, width = 0, most
+    while start + width < len(text):
+        places = np.flatnonzero(model.cuts(_code_points(text[start : start + width + 1])))
+        if len(places):
+            yield text[start : start + int(places[-1]) + 1]
+            start, width = start + int(places[-1]) + 1, most
+        else:
+            width *= 2
+    yield text[start:]
+
+
+def _blocks(texts: list[str], model: PieceModel, most: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Row numbers and marked texts, or slices of long ones, of about ``most`` characters together."""
+    rows, parts, size = [], [], 0
+    for row, text in enumerate(texts):
+        marked = model.marked(text)
+        for part in _slices(marked, model, most) if len(marked) > most else [marked]:
+            if part:
+                rows.append(row)
+                parts.append(part)
+                size += len(part)
+            if size > most:
+                yield rows, parts
+                rows, parts, size = [], [], 0
+    if parts:
+        yield rows, parts
+
+
+def occurrences(texts: list[str], model: PieceModel, most: int = BLOCK_CHARS) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """(distinct units, unit number of each occurrence, row of each occurrence), block by block in order.
+
+    Units are told apart by a polynomial hash; each occurrence is then compared with the first one
+    letter by letter, and a block with a false match is numbered by the strings themselves.
+    """
+    powers = [np.zeros(0, np.uint64)] * 2
+    for rows, parts in _blocks(texts, model, most):
+        whole = "".join(parts)
+        codes = _code_points(whole)
+        ends_of_parts = np.cumsum([len(p) for p in parts])
+        cut = model.cuts(codes)
+        cut[ends_of_parts[:-1] - 1] = True
+        begin = np.append(0, np.flatnonzero(cut) + 1)
+        size = np.diff(np.append(begin, len(codes)))
+        if len(powers[0]) < len(codes):
+            powers = [np.cumprod(np.append(np.uint64(1), np.full(len(codes), b))) for b in (_BASE, _UNBASE)]
+        total = np.append(np.uint64(0), np.cumsum((codes + np.uint64(1)) * powers[0][: len(codes)]))
+        number, distinct = pd.factorize(np.diff(total[np.append(begin, len(codes))]) * powers[1][begin])
+        first = np.empty(len(distinct), np.int64)
+        first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
+        shift = (begin[first][number] - begin).astype(np.int32)
+        if (size == size[first][number]).all() and (codes == codes[np.repeat(shift, size) + np.arange(len(codes), dtype=np.int32)]).all():
+            units = [whole[a : a + n] for a, n in zip(begin[first].tolist(), size[first].tolist())]
+        else:
+            number, found = pd.factorize(np.array([whole[a : a + n] for a, n in zip(begin.tolist(), size.tolist())], dtype=object))
+            units = list(found)
+        yield units, number, np.repeat(rows, np.diff(np.searchsorted(begin, np.append(0, ends_of_parts))))
+
+
 def unit_counts(docs: DataFrame, shared) -> DataFrame:
     """(unit, n) over all documents. Tasks add up before they send, in a table of bounded size."""
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, found = shared.value, Counter()
 
-        def out() -> pd.DataFrame:
-            frame = pd.DataFrame({"unit": list(found), "n": list(found.values())}, columns=["unit", "n"])
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["unit", "n"])
             found.clear()
-            return frame
+            return batch
 
-        for frame in frames:
-            for text in frame["text"]:
-                found.update(model.units(model.marked(text)))
+        for batch in batches:
+            for units, number, _ in occurrences(batch.column(0).to_pylist(), model):
+                for unit, n in zip(units, np.bincount(number, minlength=len(units)).tolist()):
+                    found[unit] += n
                 if len(found) > _COUNTER_SIZE:
                     yield out()
         if found:
             yield out()
 
-    return docs.select(text_of().alias("text")).mapInPandas(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return docs.select(text_of().alias("text")).mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
@@ -310,34 +390,44 @@ def encode(docs: DataFrame, model: PieceModel, most: int = FREQUENT) -> DataFram
     shared = context.broadcast(model)
     known = context.broadcast(dictionary(docs, model, shared, most))
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table = shared.value, known.value
-        rest: dict[str, bytes] = {}
         rule = merge_ids if model.merges else viterbi_ids
+        rest: dict[str, bytes] = {}
+        whole: dict[str, bool] = {}
 
-        def tail(unit: str) -> bytes:
-            packed = rest.get(unit)
+        def packed_ids(unit: str) -> bytes:
+            packed = table.get(unit) or rest.get(unit)
             if packed is None:
                 if len(rest) > 200_000:
                     rest.clear()
                 packed = rest[unit] = np.array(rule(unit, model), np.int32).tobytes()
             return packed
 
-        def packed_ids(units: list[str]) -> bytes:
-            found = list(map(table.get, units))
-            if None in found:
-                found = [f if f is not None else tail(u) for f, u in zip(found, units)]
-            return b"".join(found)
-
-        for frame in frames:
-            for start in range(0, len(frame), 500):
-                part = frame.iloc[start : start + 500]
-                ids = [np.frombuffer(packed_ids(model.units(model.marked(t))), np.int32) for t in part["text"]]
-                same = [model.decode(i.tolist()) == t.replace(MARK, " ") for i, t in zip(ids, part["text"])]
-                yield pd.DataFrame({"doc_id": part["doc_id"].values, "ids": ids, "round_trip": same})
+        def comes_back(unit: str, packed: bytes) -> bool:
+            found = whole.get(unit)
+            if found is None:
+                if len(whole) > 400_000:
+                    whole.clear()
+                found = whole[unit] = model.round_trips(unit, np.frombuffer(packed, np.int32).tolist())
+            return found
+
+        for batch in batches:
+            n_ids, same, flat = np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows, bool), [np.zeros(0, np.int32)]
+            for units, number, row in occurrences(batch.column("text").to_pylist(), model):
+                packed = [packed_ids(u) for u in units]
+                back = np.array([comes_back(u, p) for u, p in zip(units, packed)])
+                size = np.array([len(p) // 4 for p in packed])
+                start, each = (np.cumsum(size) - size)[number], size[number]
+                place = np.repeat(start - (np.cumsum(each) - each), each) + np.arange(each.sum())
+                flat.append(np.frombuffer(b"".join(packed), np.int32)[place])
+                n_ids += np.bincount(row, weights=each, minlength=batch.num_rows).astype(np.int64)
+                same[row[~back[number]]] = False
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_ids)), pa.int32()), pa.array(np.concatenate(flat)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(same)], ["doc_id", "ids", "round_trip"])
 
     given = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text"))
-    found = given.mapInPandas(work, "doc_id string, ids array<int>, round_trip boolean")
+    found = given.mapInArrow(work, "doc_id string, ids array<int>, round_trip boolean")
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "ids", F.size("ids").alias("n_ids"), "round_trip")
 
 

@@ -1,9 +1,11 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
-from prioscope.llm.pieces import PieceModel, decode, encode, encoded_units, load_model, merge_ids, viterbi_ids
+from prioscope.llm import pieces
+from prioscope.llm.pieces import PieceModel, decode, encode, encoded_units, load_model, merge_ids, occurrences, viterbi_ids
 
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
 pytestmark = pytest.mark.skipif(not os.path.exists(PATH), reason="no public model here")
@@ -50,6 +52,37 @@ def test_encoding_is_the_librarys(spark, model, library, folder):
         assert all(r.round_trip and r.n_ids == len(r.ids) for r in found)
 
 
+def listed(texts, model, most):
+    found = [[] for _ in texts]
+    for units_, number, row in occurrences(texts, model, most):
+        for i, r in zip(number.tolist(), row.tolist()):
+            found[r].append(units_[i])
+    return found
+
+
+def test_occurrences_are_the_units_in_order(model):
+    pick = random.Random(4)
+    texts = TEXTS + ["".join(pick.choice("ab e▁漢1.") for _ in range(pick.randrange(0, 90))) for _ in range(60)]
+    want = [model.units(model.marked(t)) for t in texts]
+    for most in (1, 7, 50, 10**6):
+        assert listed(texts, model, most) == want
+
+
+def test_units_of_one_hash_stay_apart(model, monkeypatch):
+    texts = ["one two", "three one", "two neo"]
+    want = [model.units(model.marked(t)) for t in texts]
+    monkeypatch.setattr(pieces, "_BASE", np.uint64(1))
+    monkeypatch.setattr(pieces, "_UNBASE", np.uint64(1))
+    assert listed(texts, model, 10**6) == want
+
+
+def test_a_text_with_an_unknown_letter_does_not_come_back(spark, model):
+    bare = PieceModel(**{**vars(model), "byte_ids": []})
+    assert "𓀀" not in model.scores
+    docs = spark.createDataFrame([(1, "plain text"), (2, "plain 𓀀 text"), (3, "")], "doc_id long, text string")
+    assert {r.doc_id: r.round_trip for r in encode(docs, bare).collect()} == {1: True, 2: False, 3: True}
+
+
 def test_lattice_folds_equal_the_plain_rules(spark, model, unigram):
     wanted = units(model)
     assert ids_of(spark, wanted, model) == {u: merge_ids(u, model) for u in wanted}
