@@ -580,6 +580,22 @@ check(
     "fast",
 )
 check("an9_type_volumes", "SELECT ticket_type, count(*) AS total, sum(label)::BIGINT AS mismatches, round_even(sum(label) / count(*) * 100, 1) AS mismatch_rate FROM fast GROUP BY 1", "fast")
+DASHBOARD = {
+    "all": [], "priority": ["priority"], "inferred_severity": ["inferred_severity"], "channel": ["channel"], "ticket_type": ["ticket_type"],
+    "mismatch_type": ["mismatch_type"], "matrix": ["priority", "inferred_severity"],
+    "signals": ["semantic_severity", "rt_severity", "rule_severity", "inferred_severity"],
+}
+check(
+    "an_dashboard_counts",
+    " UNION ALL ".join(
+        f"""SELECT '{q}' AS question, {', '.join(f"{(keys + ['NULL'] * 4)[i]}::VARCHAR AS k{i + 1}" for i in range(4))}, count(*) AS total, {count_if("mismatch_label = 'Mismatch'", 'mismatches')},
+        count(label) AS labels, sum(label)::BIGINT AS label_sum, count(mismatch_label) AS judged, count(severity_delta) AS deltas,
+        count(signal_agreement) AS agreements, round(sum(signal_agreement), 4) AS agreement_sum
+        FROM labeled {'GROUP BY ' + ', '.join(keys) if keys else ''}"""
+        for q, keys in DASHBOARD.items()
+    ),
+    "labeled",
+)
 
 
 def box(source: str, group: str, value: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import product
+from itertools import combinations_with_replacement, product
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -220,15 +220,18 @@ def length_box_by_priority(df: DataFrame) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every pair, long form, one pass."""
-    pairs = list(product(columns, columns))
+    """Pearson correlation of every pair, long form, one pass.
+
+    Only the upper triangle of the matrix is summed up; its mirror image reads the same numbers.
+    """
+    number = {pair: i for i, pair in enumerate(combinations_with_replacement(columns, 2))}
     wide = df.agg(
-        *[rounded(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), 3).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+        *[rounded(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), 3).alias(f"c{i}") for (a, b), i in number.items()]
     )
     listed = F.array(
         *[
-            F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"c{i}").alias("correlation"))
-            for i, (a, b) in enumerate(pairs)
+            F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"c{number.get((a, b), number.get((b, a)))}").alias("correlation"))
+            for a, b in product(columns, columns)
         ]
     )
     return wide.select(F.inline(listed))

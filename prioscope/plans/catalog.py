@@ -12,7 +12,7 @@ from prioscope.functions import text as T
 from prioscope.functions.levels import best_level
 from prioscope.functions.numbers import to_hours
 from prioscope.operators import (
-    breakdowns, classify, cleaning, evaluate, evidence, features, fusion, ordering, profiling,
+    breakdowns, classify, cleaning, dashboard, evaluate, evidence, features, fusion, ordering, profiling,
     rule_signal as rules, splitting, text_signal as texts, time_signal as times,
 )
 from prioscope.plans.audit import audit_batch, audit_fast, audit_rows, label_tickets
@@ -1114,6 +1114,11 @@ def an9_type_volumes(spark, d):
     return breakdowns.type_volumes(audited(spark, d))
 
 
+@query("an_dashboard_counts")
+def an_dashboard_counts(spark, d):
+    return _round(dashboard.dashboard_counts(labeled(spark, d)), 4, "agreement_sum")
+
+
 _BOX = ["minimum", "q1", "median", "q3", "maximum", "lower_whisker", "upper_whisker"]
 
 
