@@ -554,7 +554,8 @@ check("do14_record_summary", f"SELECT ticket_id, mismatch_type, severity_delta,
 
 # --- streams ------------------------------------------------------------------------------------------------------------------
 
-check("st1_stream_scoring", "SELECT ticket_id, rt_severity, rt_score, inferred_severity, mismatch_label, mismatch_type, severity_delta FROM fast", "fast")
+for name in ("st1_stream_scoring", "st1_stream_published_thresholds"):
+    check(name, "SELECT ticket_id, rt_severity, rt_score, inferred_severity, mismatch_label, mismatch_type, severity_delta FROM fast", "fast")
 check("st2_stream_evidence", RECORDS, "flagged", "fast_items")
 
 # --- group-by analytics ---------------------------------------------------------------------------------------------------------

@@ -1036,6 +1036,19 @@ def st1_stream_scoring(spark, d):
     )
 
 
+@query("st1_stream_published_thresholds")
+def st1_stream_published_thresholds(spark, d):
+    state, out = _fresh(spark, d, "published"), _fresh(spark, d, "scored-published")
+    streams.publish_scoring(spark.read.parquet(_scoring_state(spark, d)), state)
+    source, folder = tickets(spark, d).drop("ticket_key"), work_folder(spark, d, "published-tickets")
+    source.write.mode("overwrite").parquet(folder)
+    raw = streams.read_ticket_stream(spark, folder, "parquet", source.schema)
+    streams.start_published_scoring(raw, state, out, f"{out}-state").awaitTermination()
+    return spark.read.parquet(out).select(
+        "ticket_id", "rt_severity", "rt_score", "inferred_severity", "mismatch_label", "mismatch_type", "severity_delta"
+    )
+
+
 @query("st1_stream_with_stored_model")
 def st1_stream_with_stored_model(spark, d):
     path, out = work_folder(spark, d, "stream-model"), _fresh(spark, d, "scored-by-model")

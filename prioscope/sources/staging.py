@@ -42,6 +42,31 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def versions_of(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the versions below ``folder`` that are written to their end, the oldest first."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(hadoop_path):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(hadoop_path)]
+    numbers = sorted(int(n.removeprefix("version-")) for n in names if n.startswith("version-") and n.removeprefix("version-").isdigit())
+    return [n for n in numbers if folder_exists(spark, f"{folder}/version-{n}/_SUCCESS")]
+
+
+def publish_version(df: DataFrame, folder: str) -> int:
+    """Write a table beside its earlier versions; readers see it when it is whole. A half-written one is overwritten."""
+    number = max(versions_of(df.sparkSession, folder), default=0) + 1
+    df.write.mode("overwrite").parquet(f"{folder}/version-{number}")
+    return number
+
+
+def newest_version(spark: SparkSession, folder: str) -> tuple[int, DataFrame]:
+    found = versions_of(spark, folder)
+    if not found:
+        raise FileNotFoundError(f"no version has been published in {folder}")
+    return found[-1], spark.read.parquet(f"{folder}/version-{found[-1]}")
+
+
 def remove_staged(spark: SparkSession) -> None:
     """Delete every table this application has staged; call it when no result is read any more."""
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/prioscope/{spark.sparkContext.applicationId}")

@@ -288,6 +288,33 @@ def test_stream_of_texts_without_other_columns(spark, tmp_path):
     assert fit_thresholds(hours, "h").count() == 1
 
 
+def test_thresholds_published_between_two_batches_take_effect(spark, tmp_path):
+    raw, state, out = str(tmp_path / "arriving"), str(tmp_path / "state"), str(tmp_path / "out")
+    rows = spark.createDataFrame([(f"T{i}", "a subject", "some text", "Low", str(h)) for i, h in enumerate((1, 5, 30, 90))], "`Ticket ID` string, `Ticket Subject` string, `Ticket Description` string, `Ticket Priority` string, `Resolution Time` string")
+    fitted = [
+        streams.fit_scoring(hours.withColumnRenamed("h", "resolution_hours"), hours)
+        for hours in (spark.createDataFrame([(x * f,) for x in (1.0, 5.0, 30.0, 90.0)], "h double") for f in (1.0, 20.0))
+    ]
+    assert streams.publish_scoring(fitted[0], state) == 1
+    rows.write.parquet(raw)
+    running = streams.start_published_scoring(streams.read_ticket_stream(spark, raw, "parquet", rows.schema), state, out, str(tmp_path / "check"), once=False)
+    try:
+        running.processAllAvailable()
+        assert streams.publish_scoring(fitted[1], state) == 2
+        fitted[1].write.parquet(f"{state}/version-3")
+        (tmp_path / "state" / "version-3" / "_SUCCESS").unlink()
+        rows.write.mode("append").parquet(raw)
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    columns = ["ticket_id", "rt_severity", "rt_score", "inferred_severity", "mismatch_label"]
+    found = spark.read.parquet(out)
+    for version, limits in enumerate(fitted, 1):
+        batch = streams.score_stream(rows, limits, limits.first()["median_hours"]).select(columns)
+        assert sorted(map(tuple, found.where(F.col("state_version") == version).select(columns).collect())) == sorted(map(tuple, batch.collect()))
+    assert len({r.rt_severity for r in found.where("ticket_id = 'T2'").collect()}) == 2
+
+
 def test_numbers_survive_gaps_and_ties(spark):
     from prioscope.operators.ordering import median, number_by, number_values
 
