@@ -12,9 +12,9 @@ probability of 3 in a million. Registers only order the candidates of a bucket;
 Texts with the same words are one node from the start. First every node is
 compared with the centre of one of its buckets and components are found, twice with other centres;
 then only pairs of a bucket that lie in different components are tried, so a group of n copies
-costs about n comparisons. Buckets that are still very large and mixed are cut by the other bands
-first, since a pair over the limit also agrees in other bands; no candidate is dropped for the size
-of a bucket.
+costs about n comparisons. The nodes of buckets that are still very large and mixed meet by their rarest
+shingles instead, which loses no link; what is large and mixed even then is compared block by block.
+No candidate is dropped for the size of a bucket.
 
 Defined results: null texts count as empty; a text without words is a class of its own; a text of
 one to four words is one shingle. A null id counts as the largest. Rows alike in id and text are
@@ -40,7 +40,7 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 32, 5
 REGISTERS = BANDS * BAND_ROWS
 STAR_ROUNDS = 2
-LARGE_BUCKET, REFINEMENTS = 4096, 3
+LARGE_BUCKET = 4096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xD1B54A32D192ED03)
 
@@ -159,35 +159,69 @@ def near_links(docs: DataFrame, limit: float = SIMILARITY) -> tuple[DataFrame, D
         .withColumn("id", F.monotonically_increasing_id()),
         "nodes",
     )
-    level = nodes.select("id", F.explode("bands").alias("bucket"))
-    sets, labels, links, refined = None, None, None, 0
-    while True:
-        sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        shared = kept(level.join(sizes, "bucket"), "buckets")
-        if sets is None:
-            sets = _sets_of(docs, nodes.select("id", "key").join(shared.select("id").distinct(), "id", "left_semi"))
-        mixed_ = shared if labels is None else _mixed_buckets(shared, labels)
-        for turn in range(STAR_ROUNDS):
-            links = _grown(links, _linked(_stars(mixed_, turn), sets, limit))
+    shared = _shared(nodes.select("id", F.explode("bands").alias("bucket")), "buckets")
+    sets = _sets_of(docs, nodes.select("id", "key").join(shared.select("id").distinct(), "id", "left_semi"))
+    links, labels, large = _searched(shared, None, None, nodes, sets, limit)
+    if not large.isEmpty():
+        rare = _shared(_rare_shingles(large.select("id").distinct(), sets, limit), "rare")
+        links, labels, large = _searched(rare, links, labels, nodes, sets, limit)
+        if not large.isEmpty():
+            links = links.union(_links_in_buckets(_block_pairs(_mixed_buckets(large, labels)), nodes, sets, limit))
             labels = components(links)
-            mixed_ = _mixed_buckets(shared, labels)
-        last = refined >= REFINEMENTS
-        links = links.union(_links_in_buckets(mixed_.where(F.col("size") <= LARGE_BUCKET), nodes, sets, limit))
-        large = mixed_.where(F.col("size") > LARGE_BUCKET)
-        if last:
-            links = _grown(links, _linked(_cross_pairs(large, nodes, limit), sets, limit))
+    return rows.select("key", "doc_id", "content", "n"), nodes.select("id", "content"), labels
+
+
+def _shared(level: DataFrame, name: str) -> DataFrame:
+    """Rows (bucket, id, size) of buckets with two nodes or more."""
+    sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return kept(level.join(sizes, "bucket"), name)
+
+
+def _searched(
+    shared: DataFrame, links: DataFrame | None, labels: DataFrame | None, nodes: DataFrame, sets: DataFrame, limit: float
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links and labels after stars in all buckets and comparisons in small ones, and the large buckets still mixed then."""
+    mixed_ = shared if labels is None else _mixed_buckets(shared, labels)
+    for turn in range(STAR_ROUNDS):
+        links = _grown(links, _linked(_stars(mixed_, turn), sets, limit))
         labels = components(links)
-        if last or large.isEmpty():
-            return rows.select("key", "doc_id", "content", "n"), nodes.select("id", "content"), labels
-        refined += 1
-        level = kept(
-            large.select("bucket", "id")
-            .join(nodes.select("id", "bands"), "id")
-            .select("id", "bucket", F.explode("bands").alias("band"))
-            .select("id", F.xxhash64("bucket", "band").alias("bucket"))
-            .distinct(),
-            "refined",
-        )
+        mixed_ = _mixed_buckets(shared, labels)
+    links = links.union(_links_in_buckets(mixed_.where(F.col("size") <= LARGE_BUCKET), nodes, sets, limit))
+    return links, components(links), mixed_.where(F.col("size") > LARGE_BUCKET)
+
+
+def _rare_shingles(ids: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
+    """(id, bucket): the shingles of each node that are rarest among these nodes, as many as a link must meet.
+
+    Two sets alike enough share all but n - limit * n shingles of either, so in any common order one of the
+    first n - limit * n + 1 is shared. No link is lost, and what many texts share makes no bucket
+    where texts also have rarer shingles of their own.
+    """
+
+    def shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for node, packed in zip(frame["id"], frame["shingles"]):
+                found = _numbers(packed)
+                needed = len(found) - int(np.ceil(limit * len(found) - 1e-9)) + 1
+                yield pd.DataFrame({"id": node, "needed": needed, "bucket": found.astype(np.int64)})
+
+    each = kept(sets.join(ids, "id", "left_semi").mapInPandas(shingles, "id long, needed int, bucket long"), "shingles")
+    counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # A shingle of one node alone meets nothing, but comes first in the order, so it takes a place.
+    common = each.join(counts, "bucket")
+    ordered = common.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "bucket"))).alias("order"))
+    sizes = each.groupBy("id").agg(F.first("needed").alias("needed"), F.count(F.lit(1)).alias("size"))
+    left = F.col("needed") - (F.col("size") - F.size("order"))
+    chosen = ordered.join(sizes, "id").where(left > 0).select("id", F.explode(F.slice("order", F.lit(1), left.cast("int"))).alias("x"))
+    return chosen.select("id", F.col("x.bucket").alias("bucket"))
+
+
+def _block_pairs(large: DataFrame) -> DataFrame:
+    """Rows (bucket, id, label) in which every two blocks of a large bucket meet as one bucket of at most about LARGE_BUCKET nodes."""
+    blocks = F.ceil(F.col("size") * 4 / LARGE_BUCKET).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    pairs = large.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))}).where("own <> other")
+    return pairs.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "id", "label")
 
 
 def _stars(buckets: DataFrame, turn: int) -> DataFrame:
@@ -218,7 +252,7 @@ def _mixed_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
 def _links_in_buckets(rows: DataFrame, nodes: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
     """Links between the components of a bucket, as few as connect what is alike.
 
-    A bucket has at most LARGE_BUCKET nodes, so one task can hold their registers and shingles. It
+    A bucket has at most about LARGE_BUCKET nodes, so one task can hold their registers and shingles. It
     compares every pair whose sizes allow a link and whose ends are not yet in one component,
     and returns the links it finds, not the pairs it tried.
     """
@@ -253,15 +287,6 @@ def _bucket_links(members: list, limit: float) -> list[tuple[int, int]]:
     return found
 
 
-def _cross_pairs(rows: DataFrame, nodes: DataFrame, limit: float) -> DataFrame:
-    """Pairs of a bucket in different components whose sizes allow a link."""
-    full = kept(rows.select("bucket", "id", "label").join(nodes.select("id", "n"), "id"), "cross")
-    left = full.select("bucket", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    right = full.select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    pairs = left.join(right, "bucket").where((F.col("la") < F.col("lb")) & _alike_in_size(F.col("na"), F.col("nb"), limit))
-    return pairs.select("a", "b").distinct()
-
-
 def near_classes(docs: DataFrame, limit: float = SIMILARITY) -> DataFrame:
     """(key, doc_id, class_id, class_size, kept) per row; the row with the least id of a class stays.
 

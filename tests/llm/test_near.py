@@ -105,3 +105,43 @@ def test_repeated_shingles_do_not_hide_a_link(spark):
         rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(edited[:104] * 20 + edited[104:]))]
     found = check(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in found if r.kept) == list(range(0, 80, 2))
+
+
+def test_what_many_unlike_texts_share_makes_no_large_bucket(spark, monkeypatch):
+    """Eighty texts of half a common passage share bands but no links; few of them may ever be compared."""
+    monkeypatch.setattr(near, "LARGE_BUCKET", 8)
+    monkeypatch.setattr(near, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(near, "_block_pairs", lambda large: pytest.fail("all pairs of a bucket"))
+    met = []
+    in_buckets = near._links_in_buckets
+    monkeypatch.setattr(near, "_links_in_buckets", lambda rows, *rest: met.append(rows.groupBy("bucket").count().collect()) or in_buckets(rows, *rest))
+    common = [f"c{i}" for i in range(300)]
+    rows = [(i, " ".join(common + [f"t{i}w{k}" for k in range(110)])) for i in range(80)]
+    rows += [(80 + i, rows[i][1] + " end") for i in range(20)]
+    found = check(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in found} == {i: i % 80 for i in range(100)}
+    pairs = sum(r["count"] ** 2 // 2 for rows_ in met for r in rows_)
+    assert met and pairs <= 32 * 8 * 100, pairs
+
+
+def test_rare_shingles_meet_for_every_link(spark):
+    pick = random.Random(5)
+    sets = {i: set(pick.sample(range(60), pick.randrange(1, 40))) for i in range(60)}
+    sets |= {100 + i: {*list(s)[1:], 1000 + i} if len(s) > 12 else set(s) for i, s in sets.items()}
+    pack = lambda s: np.array(sorted(x << 24 for x in s), "<u8").view(np.uint8).reshape(-1, 8)[:, 3:8].tobytes()
+    table = spark.createDataFrame([(i, bytearray(pack(s))) for i, s in sets.items()], "id long, shingles binary")
+    buckets = {}
+    for r in near._rare_shingles(table.select("id"), table, 0.8).collect():
+        buckets.setdefault(r.bucket, set()).add(r.id)
+    links = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(links) > 30 and all(any({a, b} <= m for m in buckets.values()) for a, b in links)
+
+
+def test_blocks_let_every_pair_meet(spark, monkeypatch):
+    monkeypatch.setattr(near, "LARGE_BUCKET", 10)
+    large = spark.createDataFrame([(7, i, 25, i) for i in range(25)], "bucket long, id long, size long, label long")
+    groups = {}
+    for r in near._block_pairs(large).collect():
+        groups.setdefault(r.bucket, set()).add(r.id)
+    assert all(any({a, b} <= g for g in groups.values()) for a in range(25) for b in range(a))
+    assert max(map(len, groups.values())) < 25
