@@ -273,6 +273,7 @@ check("rt2_log_hours", "SELECT ticket_id, round(rt_log, 9) AS rt_log FROM timed"
 check("rt3_time_level", "SELECT ticket_id, rt_severity FROM timed", "timed")
 check("rt4_time_confidence", "SELECT ticket_id, rt_score FROM timed", "timed")
 check("rt5_fit_on_input", "SELECT rt_severity, count(*) AS n, round(avg(rt_score), 6) AS mean_score FROM timed GROUP BY 1", "timed")
+check("rt5_thresholds_from_state", "SELECT round(a, 9) AS q_critical, round(b, 9) AS q_high, round(c, 9) AS q_medium FROM limits", "limits")
 check("rt6_thresholds_in_hours", "SELECT round(exp(a) - 1, 6) AS hours_critical, round(exp(b) - 1, 6) AS hours_high, round(exp(c) - 1, 6) AS hours_medium FROM limits", "limits")
 
 # --- text signal -----------------------------------------------------------------------------------------

@@ -27,6 +27,11 @@ def _digits(value: Column) -> tuple[Column, Column]:
     return first, F.floor((finite - first) * _SECOND_DIGIT)
 
 
+def coarse_digit(value: Column) -> Column:
+    """A whole number that keeps the order of the values; about a thousand of them for each e-fold."""
+    return _digits(value)[0]
+
+
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     condition = F.lit(True)
     for key in keys:
@@ -101,7 +106,11 @@ def value_counts(df: DataFrame, value_col: str, by: list[str]) -> DataFrame:
 
 def quantiles_of_counts(counts: DataFrame, shares: list[float], names: list[str], by: list[str]) -> DataFrame:
     """Quantiles from stored ``value_counts``."""
-    placed = running_sums(counts, "_v", ["_n"], by)
+    return quantiles_of_ranked(running_sums(counts, "_v", ["_n"], by), shares, names, by)
+
+
+def quantiles_of_ranked(placed: DataFrame, shares: list[float], names: list[str], by: list[str]) -> DataFrame:
+    """Quantiles from values with the rows before them (``before__n``) and all rows (``all__n``); only values at the ranks need be there."""
     last = F.col("all__n") - 1
 
     def at(rank: Column) -> Column:

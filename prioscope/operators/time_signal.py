@@ -11,14 +11,19 @@ from prioscope.settings import FULL, Profile
 LIMITS = {"q_critical": 0.15, "q_high": 0.35, "q_medium": 0.65}
 
 
+def usable_logs(df: DataFrame, hours_col: str = "resolution_hours", profile: Profile = FULL) -> DataFrame:
+    """(_log): the log hours that the limits are taken over."""
+    hours = df.where(F.col(hours_col).isNotNull())
+    if profile.fit_positive_only:
+        hours = hours.where(F.col(hours_col) > 0)
+    return hours.select(F.log1p(hours_col).alias("_log"))
+
+
 def fit_thresholds(
     df: DataFrame, hours_col: str = "resolution_hours", profile: Profile = FULL, approximate: bool = False
 ) -> DataFrame:
     """One row with the three limits, taken over log hours."""
-    hours = df.where(F.col(hours_col).isNotNull())
-    if profile.fit_positive_only:
-        hours = hours.where(F.col(hours_col) > 0)
-    logs = hours.select(F.log1p(hours_col).alias("_log"))
+    logs = usable_logs(df, hours_col, profile)
     find = quick_quantiles if approximate else quantiles
     return find(logs, "_log", list(LIMITS.values()), list(LIMITS))
 

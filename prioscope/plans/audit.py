@@ -14,6 +14,7 @@ from prioscope.operators.text_signal import ROW, semantic_signal
 from prioscope.operators.time_signal import fit_thresholds, time_signal
 from prioscope.settings import FULL, Profile
 from prioscope.sources import files
+from prioscope.sources.runs import run_once
 from prioscope.sources.staging import kept, numbered_rows
 
 
@@ -116,6 +117,11 @@ def audit_file(
     return made
 
 
+def audit_run(spark: SparkSession, path: str, base: str, run_id: str | None = None, **options) -> BatchAudit:
+    """``audit_file`` whose two outputs are published together; ``runs.outputs`` names the newest whole set."""
+    return run_once(spark, base, lambda folder: audit_file(spark, path, folder, **options), run_id)
+
+
 @dataclass
 class Training:
     labeled: DataFrame
@@ -158,3 +164,8 @@ def train(raw: DataFrame, out: str, profile: Profile = FULL, with_second: bool =
     for name, one in zip(("baseline", "advanced"), reports):
         files.write_json(one, f"{out}/report_{name}")
     return Training(labeled, first, second, report, records)
+
+
+def train_run(raw: DataFrame, base: str, run_id: str | None = None, **options) -> Training:
+    """``train`` whose outputs are published together; a run that dies leaves the earlier set as it is."""
+    return run_once(raw.sparkSession, base, lambda folder: train(raw, folder, **options), run_id)

@@ -12,7 +12,7 @@ from prioscope.functions import text as T
 from prioscope.functions.levels import best_level
 from prioscope.functions.numbers import to_hours
 from prioscope.operators import (
-    breakdowns, classify, cleaning, dashboard, evaluate, evidence, features, fusion, ordering, profiling,
+    breakdowns, classify, cleaning, dashboard, evaluate, evidence, features, fusion, ordering, profiling, quantile_state,
     rule_signal as rules, splitting, text_signal as texts, time_signal as times,
 )
 from prioscope.plans.audit import audit_batch, audit_fast, audit_rows, label_tickets
@@ -20,7 +20,7 @@ from prioscope.settings import (
     COMPACT, FULL, LEVELS, CRITICAL_WORDS, ESCALATION_PHRASES, IMPACT_PATTERNS, QUANTIFIER_PATTERNS,
 )
 from prioscope.sources import files
-from prioscope.sources.staging import numbered_rows, shared_folder, staged
+from prioscope.sources.staging import fresh_path, numbered_rows, shared_folder, staged
 from prioscope.sources.tables import read, ticket_table
 from prioscope.streaming import score as streams
 
@@ -412,6 +412,20 @@ def rt5_fit_on_input(spark, d):
     return stored.groupBy("rt_severity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("rt_score"), 6).alias("mean_score"))
 
 
+@query("rt5_thresholds_from_state")
+def rt5_thresholds_from_state(spark, d):
+    """The limits after ten batches of tickets; half of them merged, and one absorbed twice."""
+    state = fresh_path(spark, "quantile-state")
+    table = clean(spark, d)
+    for i in range(10):
+        part = table.where(F.pmod(F.xxhash64("ticket_id"), F.lit(10)) == i)
+        quantile_state.absorb_hours(part, state, f"part-{i}")
+        if i == 4:
+            quantile_state.merge_batches(spark, state)
+    quantile_state.absorb_hours(part, state, "part-9")
+    return _round(quantile_state.stored_thresholds(spark, state), 9, *times.LIMITS)
+
+
 @query("rt6_thresholds_in_hours")
 def rt6_thresholds_in_hours(spark, d):
     found = times.thresholds_in_hours(times.fit_thresholds(clean(spark, d)))

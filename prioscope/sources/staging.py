@@ -42,13 +42,23 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def versions_of(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the versions below ``folder`` that are written to their end, the oldest first."""
+def folders_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders in a folder, sorted; none if it is not there."""
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     system = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not system.exists(hadoop_path):
         return []
-    names = [status.getPath().getName() for status in system.listStatus(hadoop_path)]
+    return sorted(status.getPath().getName() for status in system.listStatus(hadoop_path) if status.isDirectory())
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def versions_of(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the versions below ``folder`` that are written to their end, the oldest first."""
+    names = folders_in(spark, folder)
     numbers = sorted(int(n.removeprefix("version-")) for n in names if n.startswith("version-") and n.removeprefix("version-").isdigit())
     return [n for n in numbers if folder_exists(spark, f"{folder}/version-{n}/_SUCCESS")]
 
@@ -69,8 +79,7 @@ def newest_version(spark: SparkSession, folder: str) -> tuple[int, DataFrame]:
 
 def remove_staged(spark: SparkSession) -> None:
     """Delete every table this application has staged; call it when no result is read any more."""
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/prioscope/{spark.sparkContext.applicationId}")
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    delete_folder(spark, f"{shared_folder(spark)}/prioscope/{spark.sparkContext.applicationId}")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
