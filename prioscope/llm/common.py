@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from prioscope.sources.staging import fresh_path
+from prioscope.sources.staging import delete_folder, fresh_path
 
-_SCRATCH: list[str] = []
-_COLLECT = False
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 HELD_OUT_PARTS, HELD_OUT_PART = 4, 2
@@ -26,21 +27,21 @@ def kept(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_BATCH, usual)
-    if _COLLECT:
-        _SCRATCH.append(path)
+    noted = _SCRATCH.get()
+    if noted is not None:
+        noted.append(path)
     return spark.read.parquet(path)
 
 
 def release(spark: SparkSession, collect: bool = True) -> None:
     """Delete the tables kept since the last call with ``collect``; nothing may read them any more.
 
-    Tables are only noted for this while ``collect`` holds, that is within the pipeline.
+    Tables are only noted for this while ``collect`` holds, that is within the pipeline, and
+    for each thread by itself, so two pipelines of one driver leave each other's tables alone.
     """
-    global _COLLECT
-    _COLLECT = collect
-    while _SCRATCH:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for path in _SCRATCH.get() or []:
+        delete_folder(spark, path)
+    _SCRATCH.set([] if collect else None)
 
 
 def text_of(name: str = "text") -> Column:

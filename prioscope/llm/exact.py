@@ -7,6 +7,9 @@ anti-join (the index side is neither shuffled nor sorted), and those are appende
 Defined results: a null text counts as empty, and empty texts are equal to each other. A null
 id counts as the smallest. Among rows with the same text and id, one row stays. An empty table
 gives an empty result. Extra columns are ignored by ``decide`` and returned by ``unique_rows``.
+
+A batch with a name owns what it enters: given again under that name, whole or after a run that
+died at any point, it gets the same verdicts as at first. Without a name every call is a new batch.
 """
 
 from __future__ import annotations
@@ -54,9 +57,9 @@ def fresh_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
     return DigestIndex(spark, fresh_path(spark, "digest-index"), buckets)
 
 
-def _dedupe(docs: DataFrame, index: DigestIndex) -> tuple[DataFrame, DataFrame, int]:
+def _dedupe(docs: DataFrame, index: DigestIndex, batch: str | None) -> tuple[DataFrame, DataFrame, int]:
     """Rows with digest, one verdict per digest, and the number of rows; the index has grown by the batch."""
-    batch = fresh_path(index.spark, "batch").rsplit("-", 1)[1]
+    batch = batch or fresh_path(index.spark, "batch").rsplit("-", 1)[1]
     rows = kept(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
@@ -75,21 +78,21 @@ def _dedupe(docs: DataFrame, index: DigestIndex) -> tuple[DataFrame, DataFrame,
     here = F.col("i.batch") == batch
     verdicts = entries.alias("e").join(index.read().alias("i").hint("merge"), "digest").select(
         "digest",
-        F.col("i.keep_id").alias("keep_id"),
-        F.when(here, F.col("i.keep_row")).alias("keep_row"),
+        F.when(here, F.col("e.keep_id")).otherwise(F.col("i.keep_id")).alias("keep_id"),
+        F.when(here, F.col("e.keep_row")).alias("keep_row"),
         F.when(here, F.col("e.n")).otherwise(F.col("e.n") + F.col("i.n")).alias("group_size"),
         F.col("e.n").alias("here"),
     )
     return rows, verdicts, rows.count()
 
 
-def decide(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def decide(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
     """One row per row of ``docs``: which row of its text stays.
 
     A text that the index already held keeps the row of that earlier batch; of equal texts that
     come together the row with the largest id stays.
     """
-    rows, verdicts, total = _dedupe(docs, index)
+    rows, verdicts, total = _dedupe(docs, index, batch)
     return by_group(rows, verdicts, "digest", "here", total).select(
         "doc_id",
         "keep_id",
@@ -99,8 +102,8 @@ def decide(docs: DataFrame, index: DigestIndex) -> DataFrame:
     )
 
 
-def unique_rows(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def unique_rows(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    rows, verdicts, _ = _dedupe(docs, index)
+    rows, verdicts, _ = _dedupe(docs, index, batch)
     staying = rows.join(verdicts.where("keep_row IS NOT NULL").select(F.col("keep_row").alias("row")), "row")
     return keep_rows(docs, staying, "key")

@@ -27,11 +27,10 @@ def _bits(c: Column) -> Column:
     return F.lpad(F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 8), 16, 2), 32, "0")
 
 
-def places(docs: DataFrame, key_col: str = "doc_id") -> DataFrame:
+def places(docs: DataFrame, key_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
     """(key, row, bits, n_bytes) per row, stored, so that the row numbers are fixed."""
-    narrow = docs.select(
-        F.col(key_col).alias("key"), F.octet_length(text_of()).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("row")
-    )
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    narrow = docs.select(F.col(key_col).alias("key"), F.octet_length(text_of()).cast("long").alias("n_bytes"), row.alias("row"))
     return kept(
         narrow.select("key", "row", "n_bytes", F.concat(_bits(F.coalesce(F.col("key").cast("string"), F.lit("null"))), _bits(F.col("row"))).alias("bits")),
         "places",
@@ -59,13 +58,15 @@ def _split_once(rows: DataFrame, start: int, limit: int) -> DataFrame:
     )
 
 
-def assign(docs: DataFrame, limit: int, key_col: str = "doc_id") -> DataFrame:
+def assign(docs: DataFrame, limit: int, key_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
     """One row per document: its shard (bits), the shard's depth, bytes and rows.
 
+    ``row_col`` is a column that numbers the rows; without it they are numbered as they are read.
+
     Every round joins the rows that are left to a directory of their next eight bits. The first
     one has at most 256 rows and is broadcast; later ones are as many as there are large buckets.
     """
-    left, done, start = places(docs, key_col), [], 0
+    left, done, start = places(docs, key_col, row_col), [], 0
     while True:
         directory = _split_once(left, start, limit)
         side = F.broadcast(directory) if start == 0 else directory
@@ -83,11 +84,13 @@ def assign(docs: DataFrame, limit: int, key_col: str = "doc_id") -> DataFrame:
 def write_shards(docs: DataFrame, limit: int, path: str, key_col: str = "doc_id") -> DataFrame:
     """Write each shard to its own folder ``shard=<bits>`` below ``path``; returns the assignment.
 
-    A shard fits its byte limit, so one task can write it: rows are sent by shard.
+    A shard fits its byte limit, so one task can write it: rows are sent by shard. The numbered rows are
+    stored first, since a shuffled input could come in another order when it is read again.
     """
-    table = kept(assign(docs, limit, key_col), "assignment")
     name, row = free_name(docs, "shard"), free_name(docs, "_row")
-    placed = docs.withColumn(row, F.monotonically_increasing_id()).join(
+    numbered = kept(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    table = kept(assign(numbered, limit, key_col, row), "assignment")
+    placed = numbered.join(
         table.select(F.col("row").alias(row), F.concat(F.lit("b"), "shard").alias(name)), row
     )
     placed.drop(row).repartition(F.col(name)).write.partitionBy(name).parquet(path)

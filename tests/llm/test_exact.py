@@ -43,3 +43,29 @@ def test_index_side_is_not_shuffled(spark):
     entries = index.read().selectExpr("digest", "1 AS x")
     plan = index.missing(entries)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_a_named_batch_can_be_repeated(spark, tricky):
+    index = fresh_index(spark, 4)
+    shape = "doc_id long, text string"
+    earlier = spark.createDataFrame([(1, "x"), (2, "empty or not"), (3, None)], shape)
+    decide(earlier, index, "monday").collect()
+
+    def verdicts():
+        return sorted(map(str, decide(tricky, index, "tuesday").collect()))
+
+    first, entered = verdicts(), index.read().count()
+    assert verdicts() == first and index.read().count() == entered
+    again = DigestIndex(spark, index.path, 4)
+    assert unique_rows(tricky, again, "tuesday").count() == sum("kept=True" in v for v in first)
+    assert not any(r.kept for r in decide(tricky, index, "wednesday").collect())
+    assert unique_rows(earlier, index, "monday").count() == 3
+
+
+def test_a_batch_that_died_while_it_was_entered(spark):
+    shape = "doc_id long, text string"
+    rows = [(i, f"text {i % 7}") for i in range(20)]
+    index, plain = fresh_index(spark, 4), fresh_index(spark, 4)
+    decide(spark.createDataFrame(rows[:5], shape), index, "b").collect()
+    found = decide(spark.createDataFrame(rows, shape), index, "b").collect()
+    assert sorted(map(str, found)) == sorted(map(str, decide(spark.createDataFrame(rows, shape), plain, "b").collect()))

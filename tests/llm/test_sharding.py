@@ -1,4 +1,5 @@
 import duckdb
+from pyspark.sql import functions as F
 
 from prioscope.llm.sharding import assign, oracle, write_shards
 from prioscope.sources.staging import fresh_path
@@ -43,3 +44,13 @@ def test_written_shards_hold_every_row(spark, tricky):
     back = spark.read.parquet(path)
     assert back.count() == docs.count() == table.count()
     assert back.select("shard_").distinct().count() == table.select("shard").distinct().count()
+
+
+def test_shards_of_a_shuffled_input(spark):
+    path = fresh_path(spark, "shuffled-shards")
+    docs = spark.range(3000).selectExpr("id % 40 AS doc_id", "concat('text ', id) AS text").repartition(7)
+    table = write_shards(docs, 2000, path)
+    sizes = {r.shard: (r.shard_bytes, r.shard_rows) for r in table.collect()}
+    read = spark.read.schema("doc_id long, text string, shard string").parquet(path)
+    found = {r.shard[1:]: (r.b, r.n) for r in read.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).collect()}
+    assert found == sizes and read.select("text").distinct().count() == 3000
