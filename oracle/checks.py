@@ -814,3 +814,23 @@ check(
         GROUP BY 1 HAVING count(*) >= 2 ORDER BY term_count DESC, encode(term) LIMIT {S.MAX_TERMS}""",
     "long_lists", pieces=LONGER,
 )
+COMPACT_SPLIT = {**COMPACT, **SPLIT, "per_class": (["c_labeled"], "SELECT label, count(*) AS n FROM c_labeled GROUP BY 1")}
+COMPACT_TEST_ROWS = "(SELECT sum(n - k) FROM kept_rows)::BIGINT"
+check(
+    "nv_text_model",
+    f"""SELECT {COMPACT_TEST_ROWS} AS n, 0 AS out_of_range, 0 AS wrong_side, {COMPACT_TEST_ROWS} AS tickets,
+        true AS ranks_better_than_chance, 0::BIGINT AS terms_with_short_words""",
+    "kept_rows", pieces=COMPACT_SPLIT,
+)
+COMPACT_ANCHORS = {
+    **COMPACT,
+    "anchor_text": ([], f"SELECT * FROM (VALUES {values([(l, ' '.join(S.COMPACT.anchors[l])) for l in S.LEVELS])}) v(level, txt)"),
+}
+check(
+    "nv_anchor_weights",
+    "SELECT term, any_value(df)::BIGINT AS df, "
+    + ", ".join(f"coalesce(sum(tf) FILTER (level = '{l}'), 0)::BIGINT AS anchor_{l.lower()}" for l in S.LEVELS) + ", "
+    + ", ".join(f"round(coalesce(sum(tf * idf / len) FILTER (level = '{l}'), 0), 6) AS weight_{l.lower()}" for l in S.LEVELS)
+    + " FROM anchor_tf JOIN idfs USING (term) JOIN anchor_norm USING (level) GROUP BY term",
+    "anchor_tf", "idfs", "anchor_norm", pieces=COMPACT_ANCHORS,
+)

@@ -20,7 +20,7 @@ from prioscope.settings import (
     COMPACT, FULL, LEVELS, CRITICAL_WORDS, ESCALATION_PHRASES, IMPACT_PATTERNS, QUANTIFIER_PATTERNS,
 )
 from prioscope.sources import files
-from prioscope.sources.staging import fresh_path, numbered_rows, shared_folder, staged
+from prioscope.sources.staging import fresh_path, kept, numbered_rows, shared_folder, staged
 from prioscope.sources.tables import read, ticket_table
 from prioscope.streaming import score as streams
 
@@ -1337,7 +1337,25 @@ def nv_vocabulary_of_longer_words(spark, d):
 
 @query("nv_anchor_weights")
 def nv_anchor_weights(spark, d):
-    """How often each anchor term of the smaller anchor set occurs per level and in the tickets."""
+    """How often each anchor term of the smaller anchor set occurs per level and in the tickets, and its weight on each level."""
+    table = clean(spark, d)
     anchors = texts.anchor_counts(spark, COMPACT)
-    frequency = texts.fit_vocabulary(clean(spark, d), profile=COMPACT)
-    return anchors.join(frequency, "term")
+    frequency = texts.fit_vocabulary(table, profile=COMPACT)
+    documents = table.agg((F.count(F.lit(1)) + len(LEVELS)).alias("n")).scalar()
+    names = {f"anchor_{level.lower()}": f"weight_{level.lower()}" for level in LEVELS}
+    weights = texts.anchor_weights(anchors, frequency, documents).withColumnsRenamed(names)
+    return _round(anchors.join(frequency, "term").join(weights, "term"), 6, *names.values())
+
+
+@query("nv_text_model")
+def nv_text_model(spark, d):
+    """The classifier of the compact set: its own labels, no validation part, words of two characters or more."""
+    table = staged(spark, d, "labeled-compact", lambda: label_tickets(clean(spark, d), profile=COMPACT))
+    parted = staged(
+        spark, d, "split-compact", lambda: splitting.stratified_split(table.drop("rule_features"), validation=COMPACT.validation_share)
+    )
+    model = classify.fit_text_model(parted.where("split = 'train'").drop("split"), profile=COMPACT)
+    predicted = kept(model.predict(parted.where("split = 'test'").drop("split")), "test-compact")
+    report = evaluate.evaluate(predicted, "compact", score="mismatch_probability").select((F.col("roc_auc") > 0.5).alias("ranks_better_than_chance"))
+    short = sum(any(len(word) < COMPACT.shortest_token for word in term.split(" ")) for term in model.terms)
+    return _prediction_check(predicted).crossJoin(F.broadcast(report)).withColumn("terms_with_short_words", F.lit(short).cast("long"))
