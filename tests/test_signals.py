@@ -247,3 +247,20 @@ def test_agreement_tolerates_absent_signals(spark):
     df = spark.createDataFrame([("Low", "High", "Low"), ("High", "High", "High")], "rt_severity string, rule_severity string, inferred_severity string")
     row = fusion.signal_agreement(df).first().asDict()
     assert row == {"resolution_time_vs_rule_based": 0.5, "resolution_time_vs_fused": 1.0, "rule_based_vs_fused": 0.5}
+
+
+def test_like_rows_side_by_side_share_their_postings(spark, monkeypatch):
+    stored = {}
+
+    def noted(df, name):
+        stored[name] = kept(df, name)
+        return stored[name]
+
+    from prioscope.sources.staging import kept
+
+    monkeypatch.setattr(A, "kept", noted)
+    df = spark.createDataFrame([(i, f"printer jams often office{i % 2}") for i in range(640)], "i int, combined_text string").coalesce(1).orderBy("i")
+    rows = A.semantic_signal(df).collect()
+    assert len({(r.semantic_severity, r.semantic_score) for r in rows}) <= 2 and len(rows) == 640
+    assert stored["run-terms"].count() <= 640 / 32 * 9 + 9
+    assert {r.df for r in stored["vocabulary"].where("df > 4").collect()} <= {640, 641, 642, 643, 644, 320, 321, 322, 323, 324}
