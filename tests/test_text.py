@@ -139,3 +139,9 @@ def test_compact_profile_differs(spark):
     compact = rules.rule_signal(frame(spark, [text]), "raw", S.COMPACT).first()
     assert full.rule_features.high_kw_hits == 1.0 and compact.rule_features.high_kw_hits == 0.0
     assert full.rule_features.escalation_hits == 0 and compact.rule_features.escalation_hits == 1
+
+
+def test_white_space_is_squeezed_whatever_its_kind(spark):
+    texts = ["a  b", "a\tb", "a \tb", "a b", " a b ", "　a  b\n", "a\n b", "a b"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(T.normalise(F.col("t")).alias("t")).collect()
+    assert [r.t for r in found] == ["a b"] * len(texts)
