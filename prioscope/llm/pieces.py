@@ -37,7 +37,8 @@ FREQUENT = 1 << 18
 LONGEST_UNIT = 64
 _COUNTER_SIZE = 400_000
 SHORT_UNIT = 32
-BLOCK_CHARS = 2_000_000
+#: A block is held some fifty bytes a character, a slice with its texts and ids.
+BLOCK_CHARS, SLICE_ROWS = 500_000, 1000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 2**64))
 _NO_PIECE = (float("-inf"), -1)
@@ -146,6 +147,13 @@ def _slices(text: str, model: PieceModel, most: int) -> Iterator[str]:
     yield text[start:]
 
 
+def _row_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time: the results of a slice are on their way before the next one is read."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def _blocks(texts: list[str], model: PieceModel, most: int) -> Iterator[tuple[list[int], list[str]]]:
     """Row numbers and marked texts, or slices of long ones, of about ``most`` characters together."""
     rows, parts, size = [], [], 0
@@ -204,7 +212,7 @@ def unit_counts(docs: DataFrame, shared) -> DataFrame:
             found.clear()
             return batch
 
-        for batch in batches:
+        for batch in _row_slices(batches):
             for units, number, _ in occurrences(batch.column(0).to_pylist(), model):
                 for unit, n in zip(units, np.bincount(number, minlength=len(units)).tolist()):
                     found[unit] += n
@@ -412,7 +420,7 @@ def encode(docs: DataFrame, model: PieceModel, most: int = FREQUENT) -> DataFram
                 found = whole[unit] = model.round_trips(unit, np.frombuffer(packed, np.int32).tolist())
             return found
 
-        for batch in batches:
+        for batch in _row_slices(batches):
             n_ids, same, flat = np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows, bool), [np.zeros(0, np.int32)]
             for units, number, row in occurrences(batch.column("text").to_pylist(), model):
                 packed = [packed_ids(u) for u in units]

@@ -117,3 +117,18 @@ def test_tricky_rows(spark, model, tricky, nothing):
     found = encode(tricky, model).collect()
     assert len(found) == tricky.count() and all(r.round_trip for r in found)
     assert encode(nothing, model).count() == 0
+
+
+def test_a_task_holds_blocks_of_bounded_size(model):
+    """A block of two million characters took 102 MB of a Python worker."""
+    import tracemalloc
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9))) for _ in range(50_000)]
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(1500)]
+    assert sum(map(len, texts)) > 3_000_000
+    tracemalloc.start()
+    total = sum(len(number) for _, number, _ in occurrences(texts, model))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total > 500_000 and peak < 80e6
