@@ -374,8 +374,29 @@ def frequent_units(counts: DataFrame, most: int) -> DataFrame:
     return stored.where(F.lit(False) if least is None else F.col("n") >= least).select("unit")
 
 
-def dictionary(docs: DataFrame, model: PieceModel, shared, most: int = FREQUENT) -> dict[str, bytes]:
-    """Ids (packed as 32-bit numbers) of the most frequent units, from the lattice."""
+@dataclass
+class PackedUnits:
+    """Units and their ids (packed as 32-bit numbers) as two Arrow columns; a task unpickles them as a dictionary.
+
+    The driver only hands them on, so it holds a few bytes a unit and no Python object for each.
+    """
+
+    units: pa.ChunkedArray
+    ids: pa.ChunkedArray
+
+    def __len__(self) -> int:
+        return len(self.units)
+
+    def __reduce__(self):
+        return _unpacked, (self.units, self.ids)
+
+
+def _unpacked(units: pa.ChunkedArray, ids: pa.ChunkedArray) -> dict[str, bytes]:
+    return dict(zip(units.to_pylist(), ids.to_pylist()))
+
+
+def dictionary(docs: DataFrame, model: PieceModel, shared, most: int = FREQUENT) -> PackedUnits:
+    """The most frequent units with their ids, from the lattice."""
     frequent = frequent_units(unit_counts(docs, shared).where(F.length("unit") <= LONGEST_UNIT), most)
     spread = frequent.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit")
 
@@ -388,8 +409,8 @@ def dictionary(docs: DataFrame, model: PieceModel, shared, most: int = FREQUENT)
             yield pd.DataFrame({"unit": frame["unit"], "ids": [np.array(x, np.int32).tobytes() for x in flat]})
 
     encoded = encoded_units(spread, docs.sparkSession, model).select("unit", "pieces.id", "pieces.text")
-    rows = encoded.mapInPandas(pack, "unit string, ids binary").toPandas()
-    return dict(zip(rows["unit"], rows["ids"]))
+    rows = encoded.mapInPandas(pack, "unit string, ids binary").toArrow()
+    return PackedUnits(rows["unit"], rows["ids"])
 
 
 def encode(docs: DataFrame, model: PieceModel, most: int = FREQUENT) -> DataFrame:

@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     counts = texts.select("text", "label").mapInPandas(_counts, "bucket long, other long, toxic long").groupBy("bucket").agg(
         F.sum("other").alias("other"), F.sum("toxic").alias("toxic")
     )
-    features = _telling(counts.toPandas().sort_values("bucket", ignore_index=True), seen[False], seen[True])
+    features = _telling(counts.toArrow().to_pandas().sort_values("bucket", ignore_index=True), seen[False], seen[True])
     chosen = docs.sparkSession.sparkContext.broadcast(dict.fromkeys(features))
 
     def bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
                 }
             )
 
-    rows = texts.mapInPandas(bags, "doc_id long, label int, n int, sizes binary, buckets binary").toPandas()
+    rows = texts.mapInPandas(bags, "doc_id long, label int, n int, sizes binary, buckets binary").toArrow().to_pandas()
     for name in ("sizes", "buckets"):
         rows[name] = [np.frombuffer(x, np.int32) for x in rows[name]]
     if rows["label"].nunique() < 2:

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from prioscope.llm.toxicity import Model, _judge, buckets_of, clean_rows, fit, fit_noisy_or, locate, score, sentences
 
@@ -77,3 +78,16 @@ def test_sentences_with_harmless_features_add_nothing():
     text = "all calm. a plain word. " * 5000
     assert _judge(model, text, {})[0] == 0 and _judge(model, text + "lump.", {})[0] > 0.9
     assert len(_judge(model, text, {})[1]) == 10_000
+
+
+def test_the_driver_holds_no_object_per_feature(spark):
+    """As rows the counts of features and the bags of the sample took 98 MB of the driver's Python here."""
+    import tracemalloc
+
+    docs, labels = made_up(spark)
+    many = docs.withColumn("text", F.concat_ws(" ", "text", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.hash("doc_id", i).cast("string")), " ")))
+    tracemalloc.start()
+    fit(many, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
