@@ -1,11 +1,13 @@
 """Main text of web pages with removal of site templates (operator 3).
 
-A page is parsed into blocks. Every element outside the main content (article or main) is hashed
-with all it holds, and Spark counts on how many pages of a host each such subtree occurs. Subtrees
-that recur on many pages of a host are its template: their blocks are deleted. Elements that are
-boilerplate by their kind (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments) go by name, class or role. If a page marks its main content, only blocks
-in it stay; what recurs inside it stays too, since articles may have copies.
+A page is parsed into blocks. Every element is hashed with all it holds, and Spark counts on how many
+pages of a host each such subtree occurs. Subtrees that recur on many pages of a host are its
+template: their blocks are deleted. Elements that are boilerplate by their kind (menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) go by name, class or
+role. If a page marks its main content (article or main), only blocks in it stay.
+
+Articles may have copies and near copies, so inside main content a subtree must be on at least half of
+the host's pages, and goes only from pages most of whose main text stands in no such subtree.
 
 A block is the text between two block-level tags, with character references decoded and white
 space runs made one space; blocks are joined in page order by an empty line.
@@ -24,13 +26,17 @@ from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from prioscope.llm.common import kept, text_of
+from prioscope.llm.filters import bit_filter, passes, slot_of
 from prioscope.llm.urls import url_parts
 
 LEAST_PAGES, LEAST_SHARE = 5, 0.01
+#: Inside main content: what articles quote or copy of each other is on few of a host's pages.
+INSIDE_SHARE = 0.5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
@@ -78,17 +84,23 @@ def _hash(text: str) -> int:
 
 
 def parse(page: str) -> tuple[list[tuple[str, int]], list[int], list[int]]:
-    """Blocks that may be main text with the number of the element around them, and of each element its parent and hash.
+    """Blocks that may be main text with the number of the element around them, and of each element its parent and hash."""
+    return _parse(page)[:3]
+
+
+def _parse(page: str) -> tuple[list[tuple[str, int]], list[int], list[int], list[bool]]:
+    """``parse``, and of each element whether it stands inside main content; such an element has no parent outside.
 
-    Blocks inside main content have no element (-1), so no template can delete them; the hash of an
-    element without text is 0. The hash of a subtree is cut out of running sums over the hashes of
-    the page's blocks, so the time is linear however deep elements are nested.
+    The hash of an element without text is 0; inside and outside of main content hashes differ. The hash of
+    a subtree is cut out of running sums over the hashes of the page's blocks, so the time is linear
+    however deep elements are nested.
     """
-    stack: list[tuple] = []  # (tag, is boilerplate, is main, element number, how many blocks came before)
+    stack: list[tuple] = []  # (tag, is boilerplate, is main, element number, how many blocks came before, element around it, in main)
     open_tags: Counter[str] = Counter()
     parents: list[int] = []
     hashes: list[int] = []
-    sums, powers = [0], [1]
+    sums, powers = ([0], [0]), [1]  # sums outside, and inside of main content
+    insides: list[bool] = []
     blocks: list[tuple[str, int, bool]] = []
     buffer: list[str] = []
     skip = main = 0
@@ -99,32 +111,38 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[int], list[int]]:
         buffer.clear()
         if not text:
             return
-        if not main:
-            sums.append((sums[-1] * _BASE + _hash(text)) % _PRIME)
-            powers.append(powers[-1] * _BASE % _PRIME)
+        if not main or not skip:
+            own = sums[main > 0]
+            own.append((own[-1] * _BASE + _hash(text)) % _PRIME)
+            if len(powers) < len(own):
+                powers.append(powers[-1] * _BASE % _PRIME)
         if not skip:
-            blocks.append((text, -1 if main else inner, main > 0))
+            blocks.append((text, inner, main > 0))
 
     def close() -> None:
         nonlocal skip, main, inner
-        tag, boiler, is_main, number, before = stack.pop()
+        tag, boiler, is_main, number, before, around, inside = stack.pop()
         open_tags[tag] -= 1
         skip -= boiler
         main -= is_main
+        inner = around
         if number >= 0:
-            inner = parents[number]
-            n = len(sums) - 1 - before
+            own = sums[inside]
+            n = len(own) - 1 - before
             if n:
-                hashes[number] = _hash(f"{tag} {n} {(sums[-1] - sums[before] * powers[n]) % _PRIME}")
+                hashes[number] = _hash(f"{'main ' * inside}{tag} {n} {(own[-1] - own[before] * powers[n]) % _PRIME}")
 
     def enter(tag: str, boiler: bool, is_main: bool, hashed: bool) -> None:
         nonlocal skip, main, inner
-        stack.append((tag, boiler, is_main, len(hashes) if hashed else -1, len(sums) - 1))
+        stack.append((tag, boiler, is_main, len(hashes) if hashed else -1, len(sums[main > 0]) - 1, inner, main > 0))
         open_tags[tag] += 1
+        if is_main and not main:
+            inner = -1
         if hashed:
             parents.append(inner)
             inner = len(hashes)
             hashes.append(0)
+            insides.append(main > 0)
         skip += boiler
         main += is_main
 
@@ -165,7 +183,7 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[int], list[int]]:
                 close()
             boiler = _boilerplate(tag, match[3], main > 0)
             is_main = not boiler and not skip and (tag in MAIN or re.search(r"\brole\s*=\s*[\"']?main\b", match[3]) is not None)
-            enter(tag, boiler, is_main, not main and not is_main and tag not in ("html", "body"))
+            enter(tag, boiler, is_main, not is_main and tag not in ("html", "body"))
         else:
             boiler = _boilerplate(tag, match[3], main > 0)
             if boiler:
@@ -175,38 +193,57 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[int], list[int]]:
     while stack:
         close()
     marked = any(b[2] for b in blocks)
-    return [(t, number) for t, number, in_main in blocks if in_main or not marked], parents, hashes
+    return [(t, number) for t, number, in_main in blocks if in_main or not marked], parents, hashes, insides
+
+
+def _around(blocks: list[tuple[str, int]], parents: list[int]) -> list[bool]:
+    """Of each element whether a block that may be main text stands in it."""
+    found = [False] * len(parents)
+    for _, number in blocks:
+        while number >= 0 and not found[number]:
+            found[number] = True
+            number = parents[number]
+    return found
 
 
 def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        found = [parse(h) for h in frame["html"]]
+        found = [_parse(h) for h in frame["html"]]
         yield frame.drop(columns="html").assign(
-            texts=[[t for t, _ in blocks] for blocks, _, _ in found],
-            inner=[[i for _, i in blocks] for blocks, _, _ in found],
-            parents=[p for _, p, _ in found],
-            hashes=[h for _, _, h in found],
+            texts=[[t for t, _ in blocks] for blocks, *_ in found],
+            inner=[[i for _, i in blocks] for blocks, *_ in found],
+            parents=[p for _, p, _, _ in found],
+            hashes=[h for _, _, h, _ in found],
+            insides=[i for *_, i in found],
+            holds=[_around(blocks, p) for blocks, p, _, _ in found],
         )
 
 
 def _without_template(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks that stand in no element of the template, however far up it is. Parents come before their children."""
+    """Blocks that stand in no element of the template, however far up it is. Parents come before their children.
+
+    Main content of which the template holds half or more is a copy of other pages' and stays whole.
+    """
     for frame in frames:
         texts = []
         for page in frame.itertuples():
-            template, gone = set(page.struck.tolist()), []
+            template, gone, insides = set(page.struck.tolist()), [], page.insides.tolist()
             for parent, h in zip(page.parents.tolist(), page.hashes.tolist()):
                 gone.append(h in template or (parent >= 0 and gone[parent]))
-            texts.append([t for t, i in zip(page.texts, page.inner.tolist()) if i < 0 or not gone[i]])
+            stay = [i < 0 or not gone[i] for i in page.inner.tolist()]
+            main = any(g and inside for g, inside in zip(gone, insides))
+            if main and 2 * sum(len(t) for t, s in zip(page.texts, stay) if s) <= sum(map(len, page.texts)):
+                stay = [True] * len(stay)
+            texts.append([t for t, s in zip(page.texts, stay) if s])
         yield frame[["page_id", "url"]].assign(texts=texts)
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, inside_share: float = INSIDE_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) per row of ``pages``.
 
     Counts per host and subtree are summed before they are shuffled. A subtree found on a third of
     all pages is a large key only in the join that marks pages, which Spark can split, as neither
-    side is fixed to a partitioning.
+    side is fixed to a partitioning. Only texts of pages that may lose a block are shuffled.
     """
     host, _ = url_parts(F.col("url").cast("string"))
     given = pages.select(
@@ -214,21 +251,34 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
         host.alias("host"), text_of("html").alias("html"),
     )
     parsed = kept(
-        given.mapInPandas(_parsed, "row long, page_id string, url string, host string, texts array<string>, inner array<int>, parents array<int>, hashes array<long>"),
+        given.mapInPandas(
+            _parsed,
+            "row long, page_id string, url string, host string, texts array<string>, inner array<int>, parents array<int>, hashes array<long>, insides array<boolean>, holds array<boolean>",
+        ),
         "parsed",
     )
-    seen = parsed.select("row", "host", F.explode(F.array_remove(F.array_distinct("hashes"), F.lit(0).cast("long"))).alias("hash"))
-    counts = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
+    each = parsed.select("row", "host", F.explode(F.array_distinct(F.arrays_zip("hashes", "insides"))).alias("e")).where("e.hashes <> 0")
+    counts = each.groupBy("host", F.col("e.hashes").alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.first("e.insides").alias("inside")).where(F.col("n") >= least_pages)
     hosts = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    template = kept(counts.join(hosts, "host").where(F.col("n") >= F.col("pages") * least_share).select("host", "hash"), "template")
-    struck = seen.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("struck"))
-    # Only a page with a block inside a hashed element can lose one; the texts of the others are not shuffled.
-    exposed = F.exists("inner", lambda i: i >= 0)
-    joined = parsed.where(exposed).join(struck, "row", "left").withColumn("struck", F.coalesce("struck", F.array().cast("array<bigint>")))
-    left = joined.select("page_id", "url", "texts", "inner", "parents", "hashes", "struck").mapInPandas(
+    often = F.col("n") >= F.col("pages") * F.when(F.col("inside"), inside_share).otherwise(least_share)
+    template = kept(counts.join(hosts, "host").where(often).select("host", "hash"), "template")
+    # Only a page with a block inside a subtree of the template loses one.
+    holding = F.filter("hashes", lambda h, i: F.get("holds", i) & (h != 0))
+    held = parsed.select("row", "host", F.explode(F.array_distinct(holding)).alias("hash"))
+    struck = kept(held.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("struck")), "struck")
+    mark = F.xxhash64("row")
+    shared = pages.sparkSession.sparkContext.broadcast(bit_filter(struck.select(mark.alias("mark")), "mark"))
+
+    @F.pandas_udf("boolean")
+    def maybe(slot: pd.Series) -> pd.Series:
+        return pd.Series(passes(shared.value, slot.to_numpy(np.int64)))
+
+    rows = parsed.withColumn("maybe", maybe(slot_of(mark)))
+    joined = rows.where("maybe").join(struck, "row", "left").withColumn("struck", F.coalesce("struck", F.array().cast("array<bigint>")))
+    left = joined.select("page_id", "url", "texts", "inner", "parents", "hashes", "insides", "struck").mapInPandas(
         _without_template, "page_id string, url string, texts array<string>"
     )
-    whole = left.unionByName(parsed.where(~exposed).select("page_id", "url", "texts"))
+    whole = left.unionByName(rows.where("NOT maybe").select("page_id", "url", "texts"))
     return whole.select(F.col("page_id").cast("long").alias("page_id"), "url", F.array_join("texts", "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -69,3 +69,28 @@ def test_template_far_above_a_block_deletes_it(spark):
     rows = [(i, f"http://a.example/{i}", f"{deep}<div><p>own text {i}</p></div>") for i in range(20)]
     found = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in found} == {i: f"own text {i}" for i in range(20)}
+
+
+def test_templates_inside_articles_go_and_copies_of_articles_stay(spark):
+    """Elements inside an article had no hash, so the counts decided nothing there."""
+    letter = "<div><p>Get our weekly letter</p><p>Sign up here</p></div>"
+    rows = [(i, f"http://a.example/{i}", f"<body><article><h1>Title {i}</h1><p>text {i} has many words of its own</p>{letter}<p>end {i} of an article</p></article></body>") for i in range(20)]
+    rows += [(100 + i, f"http://b.example/{i}", f"<article><h1>One title</h1><p>one text</p>{letter}<p>one end</p></article>") for i in range(20)]
+    words = "a b c d e f g h i j k l m n o p q r s t".split()
+    near = ["".join(f"<p>{w}{' changed' * (k == i)} and more</p>" for k, w in enumerate(words)) for i in range(20)]
+    rows += [(200 + i, f"http://c.example/{i}", f"<article>{near[i]}</article>") for i in range(20)]
+    rows += [(300 + i, f"http://d.example/{i}", f"<article><p>text {i}</p>{'<p>quoted</p>' * (i % 3 == 0)}</article>") for i in range(30)]
+    rows += [(400, "http://a.example/only", f"<article>{letter}</article>")]
+    texts = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(texts[i] == f"Title {i}\n\ntext {i} has many words of its own\n\nend {i} of an article" for i in range(20))
+    assert all(texts[100 + i] == "One title\n\none text\n\nGet our weekly letter\n\nSign up here\n\none end" for i in range(20))
+    assert all(texts[200 + i].count("and more") == 20 for i in range(20))
+    assert all(texts[300 + i] == f"text {i}" + "\n\nquoted" * (i % 3 == 0) for i in range(30))
+    assert texts[400] == "Get our weekly letter\n\nSign up here"
+
+
+def test_a_template_around_an_article_leaves_it(spark):
+    rows = [(i, f"http://a.example/{i}", f"<div>site name<article><p>text {i}</p></article></div>") for i in range(20)]
+    rows += [(100 + i, f"http://a.example/{i}", f"<div>site name</div><p>bare {i}</p>") for i in range(20)]
+    texts = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert texts == {**{i: f"text {i}" for i in range(20)}, **{100 + i: f"bare {i}" for i in range(20)}}
