@@ -41,6 +41,33 @@ def test_no_shuffle_finds_the_texts_or_joins_them_back(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_like_texts_stay_side_by_side_and_compress(spark):
+    """Texts that differ in their openings lie in one file; dealt out by a digest of the whole text each lay by itself."""
+    turn = F.concat_ws(" ", *[F.md5((F.floor(F.col("id") / 40) * 8 + i).cast("string")) for i in range(8)])
+    given = spark.range(4000, numPartitions=1).select(F.concat(F.lit("opening "), (F.col("id") % 40).cast("string"), F.lit(" of "), turn).alias("t"), turn.alias("turn"))
+    rows = text_rows(given, "t", "side-by-side")
+    files = rows.withColumn("file", F.input_file_name()).groupBy("turn").agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(files) == 100 and all((r.files, r.n) == (1, 40) for r in files)
+    assert len({r.file for r in rows.select(F.input_file_name().alias("file")).distinct().collect()}) > 1
+
+
+def test_texts_with_one_end_and_blocks_of_many_rows_meet_their_own_results(spark):
+    text = F.concat(F.format_string("ticket %d ", F.col("id") % 700), F.lit("kind regards, the same signature " * 5))
+    rows = text_rows(spark.range(9000, numPartitions=1).select("id", F.when(F.col("id") % 11 != 0, text).alias("t")), "t", "signed")
+    each = distinct_texts(rows, "t")
+    assert each.agg(F.sum("_copies")).first()[0] == 9000 and 701 <= each.count() <= 3 * 701
+    joined = with_text_results(rows, each.select(TEXT_KEY, F.xxhash64("t").alias("of"), "_copies"))
+    assert joined.columns == ["id", "t", "of", "_copies"] and joined.count() == 9000
+    assert joined.where("NOT of <=> xxhash64(t)").isEmpty() and joined.select("id").distinct().count() == 9000
+
+
+def test_numbering_the_texts_moves_them_once(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(text_signal, "numbered_rows", lambda texts, *_: given.append(texts) or texts)
+    text_signal.numbered_texts(text_rows(tickets(spark, 100), "combined_text", "once"), "combined_text")
+    assert "Exchange" not in given[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stored_once_for_an_input(spark):
     built = []
 
